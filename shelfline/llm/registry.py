@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from shelfline.llm import decontamination
+from shelfline.llm import bpe, decontamination, warc
 
 QUERIES = {
+    "op5_bpe_encoding": bpe.op5_bpe_encoding,
+    "op7_warc": warc.op7_warc,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
 }
 
 SQL = {
+    "op7_warc": warc.OP7_SQL,
     "op8_benchmark_decontamination": decontamination.OP8_SQL,
 }
