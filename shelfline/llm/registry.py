@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from shelfline.llm import bpe, decontamination, warc
+from shelfline.llm import bpe, decontamination, shingles, warc
 
 QUERIES = {
+    "op4_ngram_jaccard_join": shingles.op4_ngram_jaccard_join,
     "op5_bpe_encoding": bpe.op5_bpe_encoding,
     "op7_warc": warc.op7_warc,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
 }
 
 SQL = {
+    "op4_ngram_jaccard_join": shingles.OP4_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_benchmark_decontamination": decontamination.OP8_SQL,
 }
