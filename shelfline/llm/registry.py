@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from shelfline.llm import bpe, decontamination, shingles, warc
+from shelfline.llm import bpe, decontamination, lm_scoring, shingles, warc
 
 QUERIES = {
     "op4_ngram_jaccard_join": shingles.op4_ngram_jaccard_join,
     "op5_bpe_encoding": bpe.op5_bpe_encoding,
     "op7_warc": warc.op7_warc,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 
 SQL = {
