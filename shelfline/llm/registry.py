@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from shelfline.llm import bpe, decontamination, lm_scoring, shingles, warc
+from shelfline.llm import bpe, decontamination, language, lm_scoring, shingles, toxicity, warc
 
 QUERIES = {
     "op4_ngram_jaccard_join": shingles.op4_ngram_jaccard_join,
+    "op3_language_id": language.op3_language_id,
     "op5_bpe_encoding": bpe.op5_bpe_encoding,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_warc": warc.op7_warc,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
