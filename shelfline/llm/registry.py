@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shelfline.llm import bpe, decontamination, language, lm_scoring, shingles, toxicity, warc
+from shelfline.llm import bpe, decontamination, language, lm_scoring, quality_classifier, shingles, toxicity, warc
 
 QUERIES = {
     "op4_ngram_jaccard_join": shingles.op4_ngram_jaccard_join,
+    "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_language_id": language.op3_language_id,
     "op5_bpe_encoding": bpe.op5_bpe_encoding,
     "op6_toxicity": toxicity.op6_toxicity,
