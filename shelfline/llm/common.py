@@ -147,3 +147,8 @@ def combine(parts: list[np.ndarray]) -> np.ndarray:
     for k, p in enumerate(parts):
         out = (out + p) * np.uint64(0x2545F4914F6CDD1D + 2 * k)
     return mix(out)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, even where body uses it in lambdas."""
+    return F.transform(F.array(value), body)[0]

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from shelfline.llm import bpe, decontamination, language, lm_scoring, quality_classifier, shingles, toxicity, warc
+from shelfline.llm import bpe, decontamination, language, lm_scoring, quality_classifier, quality_rules, secrets, shingles, toxicity, warc
 
 QUERIES = {
     "op4_ngram_jaccard_join": shingles.op4_ngram_jaccard_join,
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_language_id": language.op3_language_id,
     "op5_bpe_encoding": bpe.op5_bpe_encoding,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_warc": warc.op7_warc,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 
