@@ -96,14 +96,26 @@ def score_column(intercept: float, rules: list[tuple[float, Rule]]) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
+def fitted_score(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, id_col: str, text_col: str, most_rows: int, trees: int, depth: int, lasso: float) -> Column:
+    """The score of a row that has the statistics of S.NAMES."""
+    sample = labelled_statistics(documents, labels, label, C.crc_mod(id_col, folds) != held, most_rows, id_col, text_col)
+    return score_column(*fit(sample, trees, depth, lasso))
+
+
 def score_quality(documents: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 6000, trees: int = 20, depth: int = 3, lasso: float = 0.002) -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
-    sample = labelled_statistics(documents, labels, label, C.crc_mod(id_col, folds) != held, most_rows, id_col, text_col)
-    intercept, rules = fit(sample, trees, depth, lasso)
+    score = fitted_score(documents, labels, label, folds, held, id_col, text_col, most_rows, trees, depth, lasso)
     rows = documents.select(F.col(id_col).alias("_id"), (C.crc_mod(id_col, folds) == held).alias("_held"), F.col(text_col).alias("_text"))
-    scored = S.with_statistics(rows, "_text").select("_id", "_held", score_column(intercept, rules).alias("score"))
+    scored = S.with_statistics(rows, "_text").select("_id", "_held", score.alias("score"))
     return scored.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 6000, trees: int = 20, depth: int = 3, lasso: float = 0.002) -> DataFrame:
+    """The documents, whole, whose score is 0.5 or more."""
+    score = fitted_score(documents, labels, label, folds, held, id_col, text_col, most_rows, trees, depth, lasso)
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), F.col(text_col).alias("_text"))
+    return S.with_statistics(rows, "_text").filter(score >= 0.5).select("_row.*")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))

@@ -162,17 +162,13 @@ def cutoffs(runs: DataFrame, fdr: float) -> dict[int, int]:
     return out
 
 
-def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.001, random_p: float = 0.001, also: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, base (spans of the patterns), spans (these and the battery's), each (first, kind, last) in order.
-
-    Kinds are places in KINDS. `also` names columns that pass through.
-    """
+def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.001, random_p: float = 0.001) -> DataFrame:
+    """One row per document: id, base (spans of the patterns), spans (these and the battery's), each (first, kind, last) in order. Kinds are places in KINDS."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = documents.select(F.col(id_col).alias("_id"), *(F.col(c).alias(f"_also{i}") for i, c in enumerate(also)), text.alias("_text"))
+    rows = documents.select(F.col(id_col).alias("_id"), text.alias("_text"))
     kinds = [of_kind(v, n) for n, v in enumerate(base_spans(F.col("_text")).values())]
     runs = F.transform(located(F.col("_text"), RUN), lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), battery(x["hit"]).alias("t")))
-    kept = [c for c in rows.columns if c != "_text"]
-    found = C.staged(rows.select(*kept, F.sort_array(F.concat(*kinds)).alias("base"), F.filter(runs, lambda x: x["t"].isNotNull()).alias("runs")), "secret-runs")
+    found = C.staged(rows.select("_id", F.sort_array(F.concat(*kinds)).alias("base"), F.filter(runs, lambda x: x["t"].isNotNull()).alias("runs")), "secret-runs")
     tested = found.select(F.explode("runs").alias("r")).select(length_class(F.col("r.t.n")).alias("length_class"), evidence(F.col("r.t.p_text")).alias("bin"))
     chosen = cutoffs(tested, fdr)
 
@@ -184,7 +180,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         return (x["t"]["p_random"] >= random_p) & (evidence(x["t"]["p_text"]) >= cut) & outside
 
     more = of_kind(F.filter("runs", is_secret), 3)
-    return found.select(F.col("_id").alias(id_col), *(F.col(f"_also{i}").alias(c) for i, c in enumerate(also)), "base", F.sort_array(F.concat("base", more)).alias("spans"))
+    return found.select(F.col("_id").alias(id_col), "base", F.sort_array(F.concat("base", more)).alias("spans"))
 
 
 def told(spans: Column) -> Column:
