@@ -6,10 +6,12 @@ The method is a blocked sparse product of the document by n-gram incidence matri
   that two of a corpus's n-grams share a hash is about n^2 / 2^62;
 * columns have one order everywhere: n-grams found often within a partition last, then by hash. Two sets of similarity t
   or more share one of their first n - ceil(t n) + 1 columns, so that only these make entries (size-derived bound);
-* in each column, a few sets drawn by hash (pivots) meet all others: as many pairs as entries. Pairs found similar are
-  united; then only columns that still hold sets of different groups can add a link, and in those all pairs of sets of
-  different groups are taken, in blocks of at most `block` sets, with sizes within the bound. Overlap counts are added up
-  over the columns, and a pair goes on only if count plus what the sets' later columns could add reaches the bound;
+* two sets of sizes m and n link only if they share `least(m, n)` columns, so that the first column they share stands at
+  place m - least at most in the one and n - least in the other: in any other column they needn't meet;
+* in each column, sets meet a pivot first, drawn by a hash of one of `pivots` kinds. Each set goes on with the `tries`
+  pivots that it meets most, and those found similar are united. The same is done once more with a few neighbours in an
+  order drawn by a hash, in columns that still hold sets of different groups. Then only such columns can add a link, and in
+  those all pairs of sets of different groups within the bounds are taken, in blocks of `block` sets;
 * each pair left is confirmed on the whole sets.
 
 No cap drops a pair, and copies in a group never make all their pairs. Sets of sets are recomputed from the texts rather
@@ -26,14 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfline.llm import common as C
 from shelfline.operators.graph import connected_components
 
 _NEED_BITS = 24
-_ZERO = np.uint64(0)
 
 
 def text_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +118,7 @@ def frequent_columns(documents: DataFrame, width: int, id_col: str, text_col: st
 
 
 def entries(documents: DataFrame, width: int, percent: int, frequent, id_col: str, text_col: str) -> DataFrame:
-    """(h, sid, n): each set's first columns in the common order."""
+    """(h, sid, n, place): each set's first columns in the common order."""
 
     def emit(ids, n_texts, grams, owner):
         size, sid = set_ids(grams, owner, n_texts)
@@ -132,48 +133,57 @@ def entries(documents: DataFrame, width: int, percent: int, frequent, id_col: st
         if len(often):
             at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
             late = often[at] == grams
-        order = np.lexsort((late, owner))  # stable: by text, frequent ones last, then by hash
-        grams, owner = grams[order], owner[order]
+        # Within a text, frequent ones come last, each part by hash.
         begin = np.cumsum(size) - size
-        place = np.arange(len(grams)) - begin[owner]
+        rank = np.arange(len(grams)) - begin[owner]
+        late_before = np.cumsum(late) - late
+        late_before = late_before - late_before[begin[owner]] if len(grams) else late_before
+        early = np.bincount(owner[~late], minlength=n_texts)
+        place = np.where(late, early[owner] + late_before, rank - late_before)
         first = size - -(-percent * size // 100) + 1
         keep = place < first[owner]
         owner = owner[keep]
-        return pa.RecordBatch.from_pydict({"h": _signed(grams[keep]), "sid": _signed(sid[owner]), "n": pa.array(size[owner].astype(np.int32))})
+        return pa.RecordBatch.from_pydict({"h": _signed(grams[keep]), "sid": _signed(sid[owner]), "n": pa.array(size[owner].astype(np.int32)), "place": pa.array(place[keep].astype(np.int32))})
 
-    return _over_texts(documents, id_col, text_col, width, "h long, sid long, n int", emit)
+    return _over_texts(documents, id_col, text_col, width, _ENTRY, emit)
+
+
+_ENTRY = "h long, sid long, n int, place int"
 
 
 def shared_entries(found: DataFrame) -> DataFrame:
-    """Entries of columns that two or more sets share, each once: (h, sid, n)."""
+    """Entries of columns that two or more sets share, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by h, then sid; a column may go on in the next batch, of which only the last row is kept.
-        last = None  # (h, sid, n, whether it has been given out)
+        last, given = None, False
         for batch in batches:
-            h, sid, n = (batch.column(i).to_numpy() for i in range(3))
-            if not len(h):
+            t = [batch.column(i).to_numpy() for i in range(4)]
+            if not len(t[0]):
                 continue
             if last is not None:
-                h, sid, n = np.concatenate(([last[0]], h)), np.concatenate(([last[1]], sid)), np.concatenate(([last[2]], n))
+                t = [np.concatenate((x, y)) for x, y in zip(last, t, strict=True)]
+            h, sid = t[0], t[1]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
-            carried = last is not None
-            given = carried and last[3]
-            idx = np.flatnonzero(new)
-            h, sid, n = h[idx], sid[idx], n[idx]
-            same = h[1:] == h[:-1]
-            shared = np.zeros(len(h), bool)
+            t = [x[new] for x in t]
+            same = t[0][1:] == t[0][:-1]
+            shared = np.zeros(len(t[0]), bool)
             shared[1:] |= same
             shared[:-1] |= same
             out = shared.copy()
             if given:
                 out[0] = False
-            last = (h[-1], sid[-1], n[-1], bool(out[-1]) or (len(h) == 1 and given))
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h[out]), "sid": pa.array(sid[out]), "n": pa.array(n[out].astype(np.int32))})
+            given = bool(out[-1]) or (len(out) == 1 and given)
+            last = [x[-1:] for x in t]
+            yield pa.RecordBatch.from_pydict({c: pa.array(x[out]) for c, x in zip(("h", "sid", "n", "place"), t, strict=True)})
+
+    return found.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(run, _ENTRY)
+
 
-    dealt = found.repartition("h").sortWithinPartitions("h", "sid")
-    return dealt.mapInArrow(run, "h long, sid long, n int")
+def least_common(m, n, percent: int):
+    """How many n-grams sets of sizes m and n share at least if they link, as columns."""
+    return F.ceil(percent * (m.cast("long") + n) / (100 + percent))
 
 
 def whole_sets(documents: DataFrame, pairs: DataFrame, firsts: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -212,69 +222,94 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def pivot_pairs(shared: DataFrame, percent: int, pivots: int) -> DataFrame:
-    """In each column every set meets the column's pivot: the set that comes first by a hash that `pivots` kinds of column draw."""
+def pivot_pairs(shared: DataFrame, percent: int, pivots: int, tries: int) -> DataFrame:
+    """(a, b) of each set and the pivots that it meets in most columns."""
     kind = F.pmod("h", F.lit(pivots))
-    first = shared.groupBy("h").agg(F.min_by(F.struct("sid", "n"), F.xxhash64("sid", kind)).alias("p"))
-    pairs = shared.join(first, "h").filter(F.col("sid") != F.col("p.sid"))
-    within = (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
-    return pairs.filter(within).select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct()
+    first = shared.groupBy("h").agg(F.min_by(F.struct("sid", "n", "place"), F.xxhash64("sid", kind)).alias("p"))
+    both = shared.join(first, "h").filter(F.col("sid") != F.col("p.sid"))
+    least = least_common(F.col("n"), F.col("p.n"), percent)
+    within = (F.col("place") <= F.col("n") - least) & (F.col("p.place") <= F.col("p.n") - least)
+    met = both.filter(within).groupBy("sid", F.col("p.sid").alias("pivot")).agg(F.count("*").alias("c"))
+    best = met.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "pivot")), asc=False), 1, tries).alias("best"))  # no more pivots than columns of one set
+    pairs = best.select("sid", F.explode("best.pivot").alias("pivot"))
+    return pairs.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
+
+
+def _mixed(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Entries, with their groups, of columns that hold sets of different groups."""
+    named = shared.join(groups, shared["sid"] == groups["node"], "left").select("h", "sid", "n", "place", F.coalesce("root", "sid").alias("g"))
+    mixed = named.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("size")).filter("g0 < g1").select("h", "size")
+    return named.join(mixed, "h")
+
+
+def _meetings(rows: DataFrame, percent: int, reach: int | None) -> DataFrame:
+    """(a, b, c) of sets of different groups within the bounds that meet in a run of equal (h, i, j), c times in all.
+
+    Rows come dealt and sorted. With reach, a set meets only those at most so many rows on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_runs(batches):
+            found = []
+            end = np.append(np.flatnonzero(np.any([t[c][1:] != t[c][:-1] for c in ("h", "i", "j")], axis=0)) + 1, len(t["h"]))
+            end = np.repeat(end, np.diff(np.concatenate(([0], end))))
+            n, spare = t["n"].astype(np.int64), t["n"] - t["place"]
+            left = np.arange(len(end))
+            d = 1
+            while (reach is None or d <= reach) and len(left := left[left + d < end[left]]):
+                p, q = left, left + d
+                least = -(-percent * (n[p] + n[q]) // (100 + percent))
+                ok = (spare[p] >= least) & (spare[q] >= least) & (t["g"][p] != t["g"][q]) & ((t["i"][p] == t["j"][p]) | (t["own"][p] != t["own"][q]))
+                found.append((t["sid"][p[ok]], t["sid"][q[ok]]))
+                d += 1
+            if found:
+                a, b = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+                pair, c = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1]), "c": pa.array(c)})
+
+    return rows.mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+
+
+def neighbour_pairs(shared: DataFrame, groups: DataFrame, percent: int, kinds: int, reach: int, tries: int) -> DataFrame:
+    """(a, b): in columns of different groups, in an order that a hash of one of `kinds` draws, each set meets the next
+    `reach`; it goes on with the `tries` sets that it meets most."""
+    one = F.lit(0)
+    rows = _mixed(shared, groups).select("h", one.alias("i"), one.alias("j"), one.alias("own"), "sid", "n", "place", "g", F.xxhash64("sid", F.pmod("h", F.lit(kinds))).alias("o"))
+    met = _meetings(rows.repartition("h").sortWithinPartitions("h", "o").drop("o"), percent, reach)
+    both = met.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "c").select("p.x", "p.y", "c")
+    best = both.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).filter(F.col("r") <= tries)
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def crossing_pairs(shared: DataFrame, groups: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b) of sets of different groups that meet in a column and whose counted overlap leaves the bound in reach."""
-    named = shared.join(groups, shared["sid"] == groups["node"], "left").select("h", "sid", "n", F.coalesce("root", "sid").alias("g"))
-    mixed = named.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("size")).filter("g0 < g1").select("h", "size")
-    rows = named.join(mixed, "h")
+    """(a, b) of all sets of different groups that meet in a column where a linked pair could meet first."""
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("sid", F.lit(7)), blocks).cast("int")
     # A set of block k meets blocks k to last as the first part, and blocks 0 to k as the second.
-    rows = rows.select("h", "sid", "n", "g", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), own.alias("own")))).alias("k"))
-    rows = rows.select("h", "sid", "n", "g", F.col("k.i").alias("i"), F.col("k.j").alias("j"), F.col("k.own").alias("own"))
+    dealt = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), own.alias("own"))))
+    rows = _mixed(shared, groups).select("h", "sid", "n", "place", "g", dealt.alias("k")).select("h", "k.i", "k.j", "k.own", "sid", "n", "place", "g")
+    return _meetings(rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j"), percent, None).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches):
-            sid, n, g, i, j, own = (table[c] for c in ("sid", "n", "g", "i", "j", "own"))
-            x = np.flatnonzero(own == i)
-            y = np.flatnonzero(own == j)
-            for at in range(0, len(x), 256):
-                p, q = (v.ravel() for v in np.meshgrid(x[at : at + 256], y, indexing="ij"))
-                ok = (g[p] != g[q]) & (100 * np.minimum(n[p], n[q]).astype(np.int64) >= percent * np.maximum(n[p], n[q]).astype(np.int64))
-                ok &= (i[p] != j[p]) | (sid[p] < sid[q])
-                p, q = p[ok], q[ok]
-                swap = sid[p] > sid[q]
-                p, q = np.where(swap, q, p), np.where(swap, p, q)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(sid[p]), "b": pa.array(sid[q]), "na": pa.array(n[p]), "nb": pa.array(n[q])})
-
-    dealt = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    met = dealt.mapInArrow(run, "a long, b long, na int, nb int")
-    counted = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    # Common n-grams are those counted, and at most those after the first columns of one of the sets.
-    rest = F.greatest(F.ceil(F.col("na") * percent / 100), F.ceil(F.col("nb") * percent / 100)) - 1
-    least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    return counted.filter(F.col("c") + rest >= least).select("a", "b")
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Rows of equal (h, i, j), which come sorted; each run has at most two blocks of sets."""
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows sorted by (h, i, j) in pieces that cut no run; a run has two blocks of sets at most."""
     held = None
-    names = ["h", "sid", "n", "g", "i", "j", "own"]
     for batch in batches:
-        t = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names}
-        if held is not None:
-            t = {c: np.concatenate((held[c], t[c])) for c in names}
+        t = {c: batch.column(k).to_numpy() for k, c in enumerate(batch.schema.names)}
         if not len(t["h"]):
             continue
+        if held is not None:
+            t = {c: np.concatenate((held[c], t[c])) for c in t}
         edge = np.flatnonzero((t["h"][1:] != t["h"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1])) + 1
-        cuts = [0, *edge.tolist()]
-        for a, b in zip(cuts, cuts[1:]):
-            yield {c: v[a:b] for c, v in t.items()}
-        held = {c: v[cuts[-1] :] for c, v in t.items()}
+        cut = int(edge[-1]) if len(edge) else 0
+        if cut:
+            yield {c: v[:cut] for c, v in t.items()}
+        held = {c: v[cut:] for c, v in t.items()}
     if held is not None:
         yield held
 
 
-def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", pivots: int = 4, block: int = 2000) -> DataFrame:
+def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", pivots: int = 16, tries: int = 2, reach: int = 16, block: int = 2000) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id of all documents that links reach)."""
     spark = documents.sparkSession
     C.small_batches(spark)
@@ -288,12 +323,14 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_c
         sets = whole_sets(documents, pairs, firsts, width, id_col, text_col)
         return C.staged(confirmed(pairs, sets, percent), name)
 
-    near = links(pivot_pairs(shared, percent, pivots), "pivot-links")
+    near = links(pivot_pairs(shared, percent, pivots, tries), "pivot-links")
     groups = C.staged(connected_components(near, "a", "b"), "groups")
-    more = links(crossing_pairs(shared, groups, percent, block), "crossing-links")
-    if not more.isEmpty():
-        # Groups stand for their sets: each set's link to its group's root, and the new links.
-        groups = C.staged(connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"), "all-groups")
+    rounds = {"neighbour-links": lambda g: neighbour_pairs(shared, g, percent, 4, reach, 2 * tries), "crossing-links": lambda g: crossing_pairs(shared, g, percent, block)}
+    for name, pairs in rounds.items():
+        more = links(pairs(groups), name)
+        if not more.isEmpty():
+            # Groups so far are stars around their roots.
+            groups = C.staged(connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"), "groups")
     # Only ids are joined: groups are over sets, and each set's smallest id stands for its copies.
     by_set = firsts.join(groups, firsts["sid"] == groups["node"], "left").select("sid", F.coalesce("root", "sid").alias("g"), "id")
     least = by_set.groupBy("g").agg(F.min("id").alias("component_id"))
