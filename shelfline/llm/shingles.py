@@ -12,7 +12,8 @@ The method is a blocked sparse product of the document by n-gram incidence matri
   pivots that it meets most, and those found similar are united. The same is done once more with a few neighbours in an
   order drawn by a hash, in columns that still hold sets of different groups. Then only such columns can add a link, and in
   those all pairs of sets of different groups within the bounds are taken, in blocks of `block` sets;
-* each pair left is confirmed on the whole sets.
+* a pair goes on if bitmaps of its sets (4 to 8 bits for each n-gram) leave the bound in reach, and is confirmed on the
+  whole sets.
 
 No cap drops a pair, and copies in a group never make all their pairs. Sets of sets are recomputed from the texts rather
 than shuffled: a bitmap of fixed size (`_NEED_BITS`) tells each task which sets are asked for.
@@ -92,15 +93,25 @@ def _over_texts(documents: DataFrame, id_col: str, text_col: str, width: int, sc
     return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def bit_sets(grams: np.ndarray, owner: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    """For each text a bitmap of its set as 64-bit words: 4 to 8 bits for each n-gram, a power of two in all."""
+    width = np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(4 * size, 64))).astype(np.int64), 0)
+    begin = np.cumsum(width) - width
+    bits = np.zeros(int(width.sum()), bool)
+    bits[begin[owner] + (grams & (width[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+    words = np.packbits(bits, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array((np.append(begin, width.sum()) // 64).astype(np.int32)), pa.array(words))
+
+
 def signatures(documents: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, sid) of each document."""
+    """(id, n, sid, bits) of each document."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def emit(ids, n, grams, owner):
         size, sid = set_ids(grams, owner, n)
-        return pa.RecordBatch.from_pydict({"id": ids, "n": pa.array(size), "sid": _signed(sid)})
+        return pa.RecordBatch.from_pydict({"id": ids, "n": pa.array(size), "sid": _signed(sid), "bits": bit_sets(grams, owner, size)})
 
-    return _over_texts(documents, id_col, text_col, width, f"id {kind}, n long, sid long", emit)
+    return _over_texts(documents, id_col, text_col, width, f"id {kind}, n long, sid long, bits array<long>", emit)
 
 
 def frequent_columns(documents: DataFrame, width: int, id_col: str, text_col: str, least: int = 8, most: int = 100_000) -> np.ndarray:
@@ -189,7 +200,7 @@ def least_common(m, n, percent: int):
 def whole_sets(documents: DataFrame, pairs: DataFrame, firsts: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(sid, grams) of the sets in pairs, from one document of each: `firsts` has (sid, id)."""
     spark = documents.sparkSession
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(firsts, "sid").select("id")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(firsts.select("sid", "id"), "sid").select("id")
     bit = F.shiftrightunsigned(F.xxhash64("id"), 64 - _NEED_BITS)
     words = asked.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(1 << (_NEED_BITS - 6), np.int64)
@@ -213,6 +224,22 @@ def whole_sets(documents: DataFrame, pairs: DataFrame, firsts: DataFrame, width:
     return docs.mapInArrow(wanted, "sid long, grams array<long>")
 
 
+def possible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave the bound in reach: a bit that only one set has is an n-gram that only it has."""
+    one = lambda name, tag: firsts.select(F.col("sid").alias(name), F.col("n").alias(f"n{tag}"), F.col("bits").alias(f"x{tag}"))
+    both = pairs.join(one("a", 0), "a").join(one("b", 1), "b")
+
+    def halved(x, other):
+        # Sizes within the bound differ by one power of two at most; the larger bitmap is folded.
+        half = F.greatest(F.size(other), F.lit(1))
+        return F.when(F.size(x) > F.size(other), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q))).otherwise(x)
+
+    both = both.select("a", "b", "n0", "n1", halved(F.col("x0"), F.col("x1")).alias("x0"), halved(F.col("x1"), F.col("x0")).alias("x1"))
+    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, k: n + k)
+    most = F.least(F.col("n0") - only("x0", "x1"), F.col("n1") - only("x1", "x0"))
+    return both.filter(most >= least_common(F.col("n0"), F.col("n1"), percent)).select("a", "b")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the bound."""
     # Both joins are plain: Spark splits a partition in which one set has many pairs.
@@ -316,10 +343,10 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_c
     sigs = C.staged(signatures(documents, width, id_col, text_col), "signatures")
     frequent = spark.sparkContext.broadcast(frequent_columns(documents, width, id_col, text_col))
     shared = C.staged(shared_entries(entries(documents, width, percent, frequent, id_col, text_col)), "entries")
-    firsts = sigs.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"))
+    firsts = C.staged(sigs.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = C.staged(pairs, f"{name}-pairs")
+        pairs = C.staged(possible(pairs, firsts, percent), f"{name}-pairs")
         sets = whole_sets(documents, pairs, firsts, width, id_col, text_col)
         return C.staged(confirmed(pairs, sets, percent), name)
 
@@ -332,7 +359,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_c
             # Groups so far are stars around their roots.
             groups = C.staged(connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"), "groups")
     # Only ids are joined: groups are over sets, and each set's smallest id stands for its copies.
-    by_set = firsts.join(groups, firsts["sid"] == groups["node"], "left").select("sid", F.coalesce("root", "sid").alias("g"), "id")
+    by_set = firsts.select("sid", "id").join(groups, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("g"), "id")
     least = by_set.groupBy("g").agg(F.min("id").alias("component_id"))
     named = by_set.join(least, "g").select("sid", "component_id")
     joined = sigs.join(named, "sid", "left")
