@@ -48,7 +48,7 @@ def fallback_history(conversation: Column, reason: Column, fields: list[tuple[Co
     """The stored conversation; else one made of the reason's parts and of fields (value, text before, text after); else one turn."""
     stored = F.from_json(conversation, TURNS)
     said = lambda t: F.struct(F.lit("user").alias("role"), t.alias("text"))
-    reasons = F.transform(F.filter(F.transform(F.coalesce(F.split(reason, " / "), F.array().cast("array<string>")), F.trim), lambda x: x != ""), said)
+    reasons = F.transform(F.filter(F.transform(F.coalesce(F.split(reason, " / "), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), said)
     told = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit("")).isin("", rules.NOT_MENTIONED), None).otherwise(said(F.concat(F.lit(a), c, F.lit(b)))) for c, a, b in fields)))
     made = F.concat(reasons, told)
     return F.when(F.size(stored) > 0, stored).when(F.size(made) > 0, made).otherwise(F.array(said(F.lit(default))))

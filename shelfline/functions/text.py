@@ -29,7 +29,7 @@ def valid_email(c: Column) -> Column:
 def parse_price(raw: Column) -> Column:
     """Price text to a double: currency marks and blanks go, a comma is a point; null if what is left isn't a plain number."""
     bare = raw
-    for mark in ("€", "EUR", " ", " "):
+    for mark in ("€", "EUR", " ", "\u00a0"):
         bare = F.replace(bare, F.lit(mark), F.lit(""))
     bare = F.trim(F.replace(bare, F.lit(","), F.lit(".")))
     return F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), bare.try_cast("double"))
@@ -170,7 +170,7 @@ def format_eur(c: Column, style: str = "plain") -> Column:
     """€1234.50; or in the German way 1.234,50 €."""
     if style == "plain":
         return F.format_string("€%.2f", round_half_up(c, 2))
-    return F.concat(F.translate(F.format_number(round_half_up(c, 2), 2), ",.", ".,"), F.lit(" €"))
+    return F.concat(F.translate(F.format_number(round_half_up(c, 2), 2), ",.", ".,"), F.lit("\u00a0€"))
 
 
 def prefer_existing(a: Column, b: Column) -> Column:
@@ -183,11 +183,11 @@ def surrogate_key(*cols: Column, sentinel: str = "_dbt_utils_surrogate_key_null_
     return F.md5(F.concat_ws("-", *(F.coalesce(c.cast("string"), F.lit(sentinel)) for c in cols)).cast("binary"))
 
 
-#: Fixed value: RFC 4122's name space of addresses.
-URL_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
+#: Fixed value: the name space of product ids, RFC 4122's name space of domain names.
+ID_SPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
 
-def uuid5(text: Column, space: str = URL_SPACE) -> Column:
+def uuid5(text: Column, space: str = ID_SPACE) -> Column:
     """Version 5 UUID of a text within a name space (RFC 4122): its SHA-1 with version and variant bits."""
     h = F.sha1(F.concat(F.unhex(F.lit(space)), F.encode(text, "UTF-8")))
     variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
