@@ -12,7 +12,7 @@ The method is a blocked sparse product of the document by n-gram incidence matri
   pivots that it meets most, and those found similar are united. The same is done once more with a few neighbours in an
   order drawn by a hash, in columns that still hold sets of different groups. Then only such columns can add a link, and in
   those all pairs of sets of different groups within the bounds are taken, in blocks of `block` sets;
-* a pair goes on if bitmaps of its sets (4 to 8 bits for each n-gram) leave the bound in reach, and is confirmed on the
+* a pair goes on if bitmaps of its sets (2 to 4 bits for each n-gram) leave the bound in reach, and is confirmed on the
   whole sets.
 
 No cap drops a pair, and copies in a group never make all their pairs. Sets of sets are recomputed from the texts rather
@@ -94,8 +94,8 @@ def _over_texts(documents: DataFrame, id_col: str, text_col: str, width: int, sc
 
 
 def bit_sets(grams: np.ndarray, owner: np.ndarray, size: np.ndarray) -> pa.ListArray:
-    """For each text a bitmap of its set as 64-bit words: 4 to 8 bits for each n-gram, a power of two in all."""
-    width = np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(4 * size, 64))).astype(np.int64), 0)
+    """For each text a bitmap of its set as 64-bit words: 2 to 4 bits for each n-gram, a power of two in all."""
+    width = np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(2 * size, 64))).astype(np.int64), 0)
     begin = np.cumsum(width) - width
     bits = np.zeros(int(width.sum()), bool)
     bits[begin[owner] + (grams & (width[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
@@ -160,25 +160,34 @@ def entries(documents: DataFrame, width: int, percent: int, frequent, id_col: st
 
 
 _ENTRY = "h long, sid long, n int, place int"
+_SHARED = ["h", "sid", "n", "place", "p_sid", "p_n", "p_place"]
 
 
-def shared_entries(found: DataFrame) -> DataFrame:
-    """Entries of columns that two or more sets share, each once."""
+def shared_entries(found: DataFrame, pivots: int) -> DataFrame:
+    """Entries of columns that two or more sets share, each once, with the column's pivot (p_sid, p_n, p_place).
+
+    The pivot is the set that comes first by a hash that each of `pivots` kinds of column draws anew.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by h, then sid; a column may go on in the next batch, of which only the last row is kept.
-        last, given = None, False
+        # Rows come sorted by column, pivots first. A column may go on in the next batch: its last row and pivot are kept.
+        last, pivot, given = None, None, False
         for batch in batches:
             t = [batch.column(i).to_numpy() for i in range(4)]
             if not len(t[0]):
                 continue
             if last is not None:
                 t = [np.concatenate((x, y)) for x, y in zip(last, t, strict=True)]
-            h, sid = t[0], t[1]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
+            new = np.ones(len(t[0]), bool)
+            new[1:] = (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1])
             t = [x[new] for x in t]
             same = t[0][1:] == t[0][:-1]
+            start = np.concatenate(([0], np.flatnonzero(~same) + 1))
+            of_run = np.repeat(start, np.diff(np.append(start, len(t[0]))))
+            p = [x[of_run] for x in t[1:]]
+            if pivot is not None:
+                for x, v in zip(p, pivot, strict=True):
+                    x[of_run == 0] = v
             shared = np.zeros(len(t[0]), bool)
             shared[1:] |= same
             shared[:-1] |= same
@@ -186,10 +195,12 @@ def shared_entries(found: DataFrame) -> DataFrame:
             if given:
                 out[0] = False
             given = bool(out[-1]) or (len(out) == 1 and given)
-            last = [x[-1:] for x in t]
-            yield pa.RecordBatch.from_pydict({c: pa.array(x[out]) for c, x in zip(("h", "sid", "n", "place"), t, strict=True)})
+            last, pivot = [x[-1:] for x in t], [x[-1] for x in p]
+            yield pa.RecordBatch.from_pydict({c: pa.array(x[out]) for c, x in zip(_SHARED, [*t, *p], strict=True)})
 
-    return found.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(run, _ENTRY)
+    order = F.xxhash64("sid", F.pmod("h", F.lit(pivots)))
+    dealt = found.repartition("h").sortWithinPartitions("h", order, "sid")
+    return dealt.mapInArrow(run, "h long, sid long, n int, place int, p_sid long, p_n int, p_place int")
 
 
 def least_common(m, n, percent: int):
@@ -249,24 +260,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def pivot_pairs(shared: DataFrame, percent: int, pivots: int, tries: int) -> DataFrame:
+def pivot_pairs(shared: DataFrame, percent: int, tries: int) -> DataFrame:
     """(a, b) of each set and the pivots that it meets in most columns."""
-    kind = F.pmod("h", F.lit(pivots))
-    first = shared.groupBy("h").agg(F.min_by(F.struct("sid", "n", "place"), F.xxhash64("sid", kind)).alias("p"))
-    both = shared.join(first, "h").filter(F.col("sid") != F.col("p.sid"))
-    least = least_common(F.col("n"), F.col("p.n"), percent)
-    within = (F.col("place") <= F.col("n") - least) & (F.col("p.place") <= F.col("p.n") - least)
-    met = both.filter(within).groupBy("sid", F.col("p.sid").alias("pivot")).agg(F.count("*").alias("c"))
+    least = least_common(F.col("n"), F.col("p_n"), percent)
+    within = (F.col("place") <= F.col("n") - least) & (F.col("p_place") <= F.col("p_n") - least)
+    met = shared.filter((F.col("sid") != F.col("p_sid")) & within).groupBy("sid", F.col("p_sid").alias("pivot")).agg(F.count("*").alias("c"))
     best = met.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "pivot")), asc=False), 1, tries).alias("best"))  # no more pivots than columns of one set
     pairs = best.select("sid", F.explode("best.pivot").alias("pivot"))
     return pairs.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
 
 
-def _mixed(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Entries, with their groups, of columns that hold sets of different groups."""
-    named = shared.join(groups, shared["sid"] == groups["node"], "left").select("h", "sid", "n", "place", F.coalesce("root", "sid").alias("g"))
-    mixed = named.groupBy("h").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("size")).filter("g0 < g1").select("h", "size")
-    return named.join(mixed, "h")
+def _named(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Entries with their groups."""
+    return shared.select("h", "sid", "n", "place").join(groups, F.col("sid") == F.col("node"), "left").select("h", "sid", "n", "place", F.coalesce("root", "sid").alias("g"))
 
 
 def _meetings(rows: DataFrame, percent: int, reach: int | None) -> DataFrame:
@@ -300,9 +306,9 @@ def _meetings(rows: DataFrame, percent: int, reach: int | None) -> DataFrame:
 def neighbour_pairs(shared: DataFrame, groups: DataFrame, percent: int, kinds: int, reach: int, tries: int) -> DataFrame:
     """(a, b): in columns of different groups, in an order that a hash of one of `kinds` draws, each set meets the next
     `reach`; it goes on with the `tries` sets that it meets most."""
-    one = F.lit(0)
-    rows = _mixed(shared, groups).select("h", one.alias("i"), one.alias("j"), one.alias("own"), "sid", "n", "place", "g", F.xxhash64("sid", F.pmod("h", F.lit(kinds))).alias("o"))
-    met = _meetings(rows.repartition("h").sortWithinPartitions("h", "o").drop("o"), percent, reach)
+    one, order = F.lit(0), F.xxhash64("sid", F.pmod("h", F.lit(kinds)))
+    rows = _named(shared, groups).repartition("h").sortWithinPartitions("h", order)
+    met = _meetings(rows.select("h", one.alias("i"), one.alias("j"), one.alias("own"), "sid", "n", "place", "g"), percent, reach)
     both = met.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "c").select("p.x", "p.y", "c")
     best = both.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).filter(F.col("r") <= tries)
     return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -310,11 +316,14 @@ def neighbour_pairs(shared: DataFrame, groups: DataFrame, percent: int, kinds: i
 
 def crossing_pairs(shared: DataFrame, groups: DataFrame, percent: int, block: int) -> DataFrame:
     """(a, b) of all sets of different groups that meet in a column where a linked pair could meet first."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    # Only columns of more than `block` sets are split: they are few, as they share the entries.
+    large = C.staged(shared.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > block), "large-columns")
+    small = F.broadcast(large) if large.count() <= 200_000 else large
+    blocks = F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("sid", F.lit(7)), blocks).cast("int")
     # A set of block k meets blocks k to last as the first part, and blocks 0 to k as the second.
     dealt = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), own.alias("own"))))
-    rows = _mixed(shared, groups).select("h", "sid", "n", "place", "g", dealt.alias("k")).select("h", "k.i", "k.j", "k.own", "sid", "n", "place", "g")
+    rows = _named(shared, groups).join(small, "h", "left").select("h", "sid", "n", "place", "g", dealt.alias("k")).select("h", "k.i", "k.j", "k.own", "sid", "n", "place", "g")
     return _meetings(rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j"), percent, None).select("a", "b")
 
 
@@ -342,7 +351,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_c
     C.small_batches(spark)
     sigs = C.staged(signatures(documents, width, id_col, text_col), "signatures")
     frequent = spark.sparkContext.broadcast(frequent_columns(documents, width, id_col, text_col))
-    shared = C.staged(shared_entries(entries(documents, width, percent, frequent, id_col, text_col)), "entries")
+    shared = C.staged(shared_entries(entries(documents, width, percent, frequent, id_col, text_col), pivots), "entries")
     firsts = C.staged(sigs.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
@@ -350,7 +359,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_c
         sets = whole_sets(documents, pairs, firsts, width, id_col, text_col)
         return C.staged(confirmed(pairs, sets, percent), name)
 
-    near = links(pivot_pairs(shared, percent, pivots, tries), "pivot-links")
+    near = links(pivot_pairs(shared, percent, tries), "pivot-links")
     groups = C.staged(connected_components(near, "a", "b"), "groups")
     rounds = {"neighbour-links": lambda g: neighbour_pairs(shared, g, percent, 4, reach, 2 * tries), "crossing-links": lambda g: crossing_pairs(shared, g, percent, block)}
     for name, pairs in rounds.items():
