@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,9 +213,9 @@ _LISTING_SCALARS = {
     "c42_node_key": (["shop_name", "product_name"], lambda: X.node_key(c("shop_name"), c("product_name")), "shop_name || '||' || product_name"),
     "c42_split_node": (["shop_name", "product_name"], lambda: X.split_node(X.node_key(c("shop_name"), c("product_name")))["name"], "product_name"),
 }
-_FIXED = lambda e, pairs: __import__("functools").reduce(lambda x, p: f"replace({x}, '{p[0]}', '{p[1]}')", pairs, f"lower({e})")
+_FIXED = lambda e, pairs: reduce(lambda x, p: f"replace({x}, '{p[0]}', '{p[1]}')", pairs, f"lower({e})")
 _NORMAL = lambda e: _FIXED(e, P.ALIASES)
-_STRIPPED = lambda e: __import__("functools").reduce(lambda x, p: f"replace({x}, '{p}', ' ')", sorted(P.PHRASES, key=len, reverse=True), _NORMAL(e))
+_STRIPPED = lambda e: reduce(lambda x, p: f"replace({x}, '{p}', ' ')", sorted(P.PHRASES, key=len, reverse=True), _NORMAL(e))
 _TOKENS = lambda e: rf"list_distinct(list_filter(string_split(regexp_replace(regexp_replace({_STRIPPED(e)}, '(\d+)\s+(ml|l|kg|g)\b', '\1\2', 'g'), '[^a-z0-9]', ' ', 'g'), ' '), lambda x: x <> ''))"
 _BRANDS = lambda e: "CASE WHEN len(list_filter([" + ", ".join(f"'{p}'" for p in P.PHRASES) + f"], lambda b: contains({_NORMAL(e)}, b))) > 0 THEN list_filter([" + ", ".join(f"'{p}'" for p in P.PHRASES) + f"], lambda b: contains({_NORMAL(e)}, b)) ELSE list_distinct(list_filter([" + ", ".join(f"CASE WHEN contains({_NORMAL(e)}, '{t}') THEN '{b}' END" for t, b in P.HINTS) + "], lambda b: b IS NOT NULL)) END"
 _JOINED = lambda x: f"array_to_string(list_sort({x}), ',')"
@@ -374,10 +375,10 @@ def _(s, d):
 # Joins
 
 
-@query("d01_attach_global_id", f"WITH {P.STAGED}, g AS (SELECT DISTINCT shop_name, product_name, 'G' || length(product_name) AS gid FROM staged WHERE shop_name < 'Supplier#000000050') SELECT s.scrape_run_id, s.product_id, coalesce(gid, s.product_id) AS global_product_id FROM staged s LEFT JOIN g USING (shop_name, product_name)")
+@query("d01_attach_global_id", f"WITH {P.STAGED}, g AS (SELECT DISTINCT shop_name, product_name, 'G' || length(product_name) AS gid FROM staged WHERE brand = 'Brand 4') SELECT s.scrape_run_id, s.product_id, coalesce(gid, s.product_id) AS global_product_id FROM staged s LEFT JOIN g USING (shop_name, product_name)")
 def _(s, d):
     rows = P.staged(s, d).drop("global_product_id")
-    groups = rows.filter("shop_name < 'Supplier#000000050'").select("shop_name", "product_name", F.concat(F.lit("G"), F.length("product_name").cast("string")).alias("global_product_id")).distinct()
+    groups = rows.filter("brand = 'Brand 4'").select("shop_name", "product_name", F.concat(F.lit("G"), F.length("product_name").cast("string")).alias("global_product_id")).distinct()
     return R.attach_global_id(rows, groups, ["shop_name", "product_name"], "global_product_id", "product_id").select("scrape_run_id", "product_id", "global_product_id")
 
 
@@ -541,10 +542,10 @@ def _(s, d):
     return marts.conversation_rollup(P.table(s, d, "conversations")).select("conv_id", "reason", "ai_reply", F.size("history").cast("long").alias("turns"))
 
 
-@query("e16_label_progress", f"WITH {P.SCORED} SELECT cast(count_if(v = 'SAME') AS bigint) AS same, cast(count_if(v = 'DIFFERENT') AS bigint) AS different, cast(count_if(v NOT IN ('SAME', 'DIFFERENT')) AS bigint) AS uncertain, cast(count_if(v IS NOT NULL) AS bigint) AS done, cast(count_if(v IS NULL) AS bigint) AS remaining, count(*) AS total FROM (SELECT CASE WHEN id_1 % 4 > 0 THEN coalesce(ground_truth_verdict, 'odd') END AS v FROM scored)")
+@query("e16_label_progress", f"WITH {P.SCORED} SELECT cast(count_if(v = 'SAME') AS bigint) AS same, cast(count_if(v = 'DIFFERENT') AS bigint) AS different, cast(count_if(v NOT IN ('SAME', 'DIFFERENT')) AS bigint) AS uncertain, cast(count_if(v IS NOT NULL) AS bigint) AS done, cast(count_if(v IS NULL) AS bigint) AS remaining, count(*) AS total FROM (SELECT CASE WHEN is_match THEN coalesce(ground_truth_verdict, 'odd') ELSE ground_truth_verdict END AS v FROM scored)")
 def _(s, d):
     rows = P.scored(s, d)
-    labels = rows.filter("id_1 % 4 > 0").select("id_1", "id_2", F.coalesce("ground_truth_verdict", F.lit("odd")).alias("verdict"))
+    labels = rows.filter("is_match OR ground_truth_verdict IS NOT NULL").select("id_1", "id_2", F.coalesce("ground_truth_verdict", F.lit("odd")).alias("verdict"))
     return marts.label_progress(rows, labels, ["id_1", "id_2"])
 
 
@@ -643,10 +644,10 @@ def _(s, d):
 
 
 def _groups(s, d):
-    return P.table(s, d, "embeddings").filter("vec_id % 50 < 2").select((c("vec_id") / 50).cast("int").alias("grp"), c("vec_id").cast("string").alias("node"))
+    return P.table(s, d, "embeddings").select(F.floor(c("vec_id") / 3).alias("grp"), c("vec_id").cast("string").alias("node"))
 
 
-_STARS = "stars AS (SELECT min(cast(vec_id AS varchar)) AS a, max(cast(vec_id AS varchar)) AS b FROM embeddings WHERE vec_id % 50 < 2 GROUP BY vec_id // 50 HAVING count(*) > 1)"
+_STARS = "members AS (SELECT vec_id // 3 AS grp, cast(vec_id AS varchar) AS node FROM embeddings), hubs AS (SELECT grp, min(node) AS a FROM members GROUP BY 1), stars AS (SELECT a, node AS b FROM members JOIN hubs USING (grp) WHERE node <> a)"
 
 
 @query("h02_edge_union", f"WITH {P.EDGES}, {_STARS} SELECT a, b FROM edges UNION ALL SELECT a, b FROM stars")
