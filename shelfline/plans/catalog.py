@@ -116,11 +116,11 @@ def _(s, d):
     return found.withColumn("pos", c("pos").cast("long"))
 
 
-@query("a12_write_csv")
+@query("a12_write_csv", f"WITH {P.LISTINGS} SELECT shop_name, product_name, raw_price, currency, product_url, image_url FROM listings")
 def _(s, d):
     path = _shared(s, "export")
     T.write_csv(P.listings(s, d), path, S.LISTING)
-    return s.read.csv(path, header=True)
+    return s.read.csv(path, header=True, escape='"')
 
 
 @query("a13_price_rows_export", f"WITH {P.COMPARISON} SELECT global_product_id, shop_name, coalesce(product_url, '') AS product_url, strftime(scrape_month, '%Y-%m') AS scrape_month, brand, product_name, volume_ml, shop_count, min_price_eur, max_price_eur, avg_price_eur, avg_price_per_100ml FROM comparison_all")
@@ -202,7 +202,7 @@ _LISTING_SCALARS = {
     "c02_strip_query": (["product_url"], lambda: X.strip_query(c("product_url")), "split_part(product_url, '?', 1)"),
     "c08_price_per_100ml": (["raw_price", "product_name"], lambda: X.price_per_100ml(X.parse_price(c("raw_price")), X.volume_ml_default(c("product_name"))), P.half_up(f"{P.PRICE} * 100 / ({P.VOLUME})", 4)),
     "c09_surrogate_key": (["shop_name", "product_name"], lambda: X.surrogate_key(c("product_name"), F.nullif(c("shop_name"), F.lit("Supplier#000000001")), X.volume_ml_default(c("product_name"))), f"md5(product_name || '-' || coalesce(nullif(shop_name, 'Supplier#000000001'), '_dbt_utils_surrogate_key_null_') || '-' || cast({P.VOLUME} AS varchar))"),
-    "c10_uuid5": (["shop_name", "product_name"], lambda: X.uuid5(X.node_key(c("shop_name"), c("product_name"))), None),
+    "c10_uuid5": (["shop_name", "product_name"], lambda: X.uuid5(X.node_key(c("shop_name"), c("product_name"))), P.uuid5("shop_name || '||' || product_name")),
     "c26_month_of": (["scraped_at"], lambda: X.month_of(c("scraped_at")), "cast(date_trunc('month', scraped_at) AS date)"),
     "c26_month_text": (["scraped_at"], lambda: X.month_text(c("scraped_at")), "strftime(scraped_at, '%Y-%m')"),
     "c26_date_of": (["scraped_at"], lambda: X.date_of(c("scraped_at")), "cast(scraped_at AS date)"),
@@ -670,7 +670,7 @@ def _(s, d):
     return marts.star_edges(_groups(s, d), "grp", ["node"])
 
 
-@query("i03_assign_group_ids")
+@query("i03_assign_group_ids", f"WITH {P.ROOTS} SELECT node, {P.uuid5('root')} AS global_product_id FROM roots")
 def _(s, d):
     return marts.assign_group_ids(graph.connected_components(P.edges(s, d), "a", "b"))
 

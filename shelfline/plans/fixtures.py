@@ -102,6 +102,11 @@ def half_up(expr: str, digits: int) -> str:
     return f"(floor(({expr}) * {float(10**digits)}::double + 0.5) / {float(10**digits)}::double)"
 
 
+def uuid5(expr: str) -> str:
+    h = f"sha1(unhex('{X.ID_SPACE}') || encode({expr}))"
+    return f"(substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || translate(substr({h}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr({h}, 18, 3) || '-' || substr({h}, 21, 12))"
+
+
 def mean(col: str, digits: int = 2) -> str:
     return half_up(f"(cast(sum(cast({col} AS decimal(18,4))) AS double) / count({col}))", digits)
 

@@ -41,8 +41,8 @@ def create_or_replace(name: str, df: DataFrame) -> None:
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Export with a fixed order of columns and a header."""
-    df.select(*columns).write.mode("overwrite").csv(path, header=True)
+    """Export with a fixed order of columns and a header; outer blanks stay."""
+    df.select(*columns).write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 #: Each layer's materialization unless a model says otherwise.
