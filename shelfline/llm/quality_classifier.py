@@ -114,7 +114,9 @@ def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality", f
     """The documents, whole, whose score is 0.5 or more."""
     score = fitted_score(documents, labels, label, folds, held, id_col, text_col, most_rows, trees, depth, lasso)
     rows = documents.select(F.struct(*documents.columns).alias("_row"), F.col(text_col).alias("_text"))
-    return S.with_statistics(rows, "_text").filter(score >= 0.5).select("_row.*")
+    scored = S.with_statistics(rows, "_text").select("_row", score.alias("_score"), F.monotonically_increasing_id().alias("_n"))
+    # The row number holds the filter above the projection: pushed below it, each rule would count the text anew.
+    return scored.filter("_score >= 0.5 AND _n >= 0").select("_row.*")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
