@@ -15,7 +15,7 @@ The method is a blocked sparse product of the document by n-gram incidence matri
 * a pair goes on if bitmaps of its sets (2 to 4 bits for each n-gram) leave the bound in reach, and is confirmed on the
   whole sets.
 
-No cap drops a pair, and copies in a group never make all their pairs. Sets of sets are recomputed from the texts rather
+No cap drops a pair, and copies in a group never make all their pairs. Whole sets are recomputed from the texts rather
 than shuffled: a bitmap of fixed size (`_NEED_BITS`) tells each task which sets are asked for.
 
 Defined results: null, empty and wordless texts have an empty set (n_shingles 0) and are linked with nothing; a text of
@@ -114,16 +114,25 @@ def signatures(documents: DataFrame, width: int, id_col: str, text_col: str) ->
     return _over_texts(documents, id_col, text_col, width, f"id {kind}, n long, sid long, bits array<long>", emit)
 
 
-def frequent_columns(documents: DataFrame, width: int, id_col: str, text_col: str, least: int = 8, most: int = 100_000) -> np.ndarray:
-    """Hashes of n-grams that many texts share, at most `most`. They only order columns: no result depends on them."""
+def frequent_columns(documents: DataFrame, width: int, id_col: str, text_col: str, least: int = 8, most: int = 100_000, held: int = 3_000_000) -> np.ndarray:
+    """Hashes of n-grams that many texts share, at most `most`. They only order columns: no result depends on them.
+
+    An n-gram counts if `least` texts share it among the texts of some `held` n-grams that one task reads in turn.
+    """
     schema = "h long, n long"
+    waiting: list[np.ndarray] = []
 
-    def emit(ids, n, grams, owner):
-        h, c = np.unique(grams, return_counts=True)
+    def flush():
+        h, c = np.unique(np.concatenate(waiting), return_counts=True)
+        waiting.clear()
         often = c >= least
         return pa.RecordBatch.from_pydict({"h": _signed(h[often]), "n": pa.array(c[often])})
 
-    counted = _over_texts(documents, id_col, text_col, width, schema, emit).groupBy("h").agg(F.sum("n").alias("n"))
+    def emit(ids, n, grams, owner):
+        waiting.append(grams)
+        return flush() if sum(map(len, waiting)) >= held else None
+
+    counted = _over_texts(documents, id_col, text_col, width, schema, emit, lambda: flush() if waiting else None).groupBy("h").agg(F.sum("n").alias("n"))
     found = counted.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
     return np.sort(found.column(0).to_numpy().view(np.uint64)) if found.num_rows else np.empty(0, np.uint64)
 
