@@ -11,7 +11,8 @@ The method is a blocked sparse product of the document by n-gram incidence matri
 * in each column, sets meet a pivot first, drawn by a hash of one of `pivots` kinds. Each set goes on with the `tries`
   pivots that it meets most, and those found similar are united. The same is done once more with a few neighbours in an
   order drawn by a hash, in columns that still hold sets of different groups. Then only such columns can add a link, and in
-  those all pairs of sets of different groups within the bounds are taken, in blocks of `block` sets;
+  those all pairs of sets of different groups within the bounds are taken, in blocks of `block` sets. A column of more
+  sets is dropped if they are all of one group, and a group of more sets in it has blocks that don't meet each other;
 * a pair goes on if bitmaps of its sets (2 to 4 bits for each n-gram) leave the bound in reach, and is confirmed on the
   whole sets.
 
@@ -284,22 +285,61 @@ def _named(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return shared.select("h", "sid", "n", "place").join(groups, F.col("sid") == F.col("node"), "left").select("h", "sid", "n", "place", F.coalesce("root", "sid").alias("g"))
 
 
+def _large_columns(shared: DataFrame, block: int) -> DataFrame:
+    """(h, size) of columns of more than `block` sets: they are few, as they share the entries."""
+    large = C.staged(shared.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > block), "large-columns")
+    return F.broadcast(large) if large.count() <= 200_000 else large
+
+
+def _block_plan(rows: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """(h, whole, of, first, own_blocks, blocks): how the large columns are cut.
+
+    A group of more than `block` sets of a column has blocks of its own (whole, of = group); all others share the rest. A
+    column of one group has no blocks, as no pair in it can add a link. Sets are counted within tasks before they meet.
+    """
+    counts = C.staged(rows.join(large, "h").groupBy("h", "g").agg(F.count("*").alias("c")), "column-groups")
+    mixed = counts.groupBy("h").agg((F.min("g") < F.max("g")).alias("mixed"))
+    whole = F.col("c") > block
+    parts = counts.groupBy("h", whole.alias("whole"), F.when(whole, F.col("g")).otherwise(0).alias("of")).agg(F.sum("c").alias("c"))
+    by_column = Window.partitionBy("h")
+    parts = parts.join(mixed, "h").withColumn("own_blocks", F.when(F.col("mixed"), F.ceil(F.col("c") / block)).otherwise(0).cast("int"))
+    before = F.sum("own_blocks").over(by_column.orderBy("whole", "of").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("own_blocks")
+    return C.staged(parts.select("h", "whole", "of", before.cast("int").alias("first"), "own_blocks", F.sum("own_blocks").over(by_column).cast("int").alias("blocks")), "blocks")
+
+
+def _dealt(rows: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """Entries with the blocks (i, j) in which they meet entries of other groups, and the block of their own."""
+    plan = _block_plan(rows, large, block)
+    sized = F.broadcast if plan.count() <= 200_000 else (lambda df: df)
+    wholes = plan.filter("whole").select("h", F.col("of").alias("g"), F.lit(True).alias("alone"))
+    rows = rows.join(sized(wholes), ["h", "g"], "left").withColumn("whole", F.coalesce("alone", F.lit(False))).withColumn("of", F.when(F.col("whole"), F.col("g")).otherwise(0))
+    rows = rows.join(sized(plan), ["h", "whole", "of"], "left").fillna({"first": 0, "own_blocks": 1, "blocks": 1}).filter("blocks > 0")
+    own = (F.col("first") + F.pmod(F.xxhash64("sid", F.lit(7)), F.col("own_blocks"))).cast("int")
+    # A set of block k meets blocks k to last as the first part, and blocks 0 to k as the second; none of its own group alone.
+    met = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: ~F.col("whole") | (j < F.col("first")) | (j >= F.col("first") + F.col("own_blocks")))
+    k = F.explode(F.transform(met, lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), own.alias("own"))))
+    return rows.select("h", "sid", "n", "place", "g", k.alias("k")).select("h", "k.i", "k.j", "k.own", "sid", "n", "place", "g")
+
+
 def _meetings(rows: DataFrame, percent: int, reach: int | None) -> DataFrame:
     """(a, b, c) of sets of different groups within the bounds that meet in a run of equal (h, i, j), c times in all.
 
-    Rows come dealt and sorted. With reach, a set meets only those at most so many rows on.
+    Rows come dealt and sorted. With reach, a set meets only those at most so many rows on; without, rows of a run come by
+    group, and a set meets all those of later groups.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_runs(batches):
             found = []
-            end = np.append(np.flatnonzero(np.any([t[c][1:] != t[c][:-1] for c in ("h", "i", "j")], axis=0)) + 1, len(t["h"]))
-            end = np.repeat(end, np.diff(np.concatenate(([0], end))))
+            new = np.any([t[c][1:] != t[c][:-1] for c in ("h", "i", "j")], axis=0)
+            ends = lambda new: np.repeat(e := np.append(np.flatnonzero(new) + 1, len(t["h"])), np.diff(np.concatenate(([0], e))))  # noqa: E731, B023
+            end = ends(new)
             n, spare = t["n"].astype(np.int64), t["n"] - t["place"]
             left = np.arange(len(end))
-            d = 1
-            while (reach is None or d <= reach) and len(left := left[left + d < end[left]]):
-                p, q = left, left + d
+            after = left + 1 if reach is not None else ends(new | (t["g"][1:] != t["g"][:-1]))
+            d = 0
+            while (reach is None or d < reach) and len(left := left[after[left] + d < end[left]]):
+                p, q = left, after[left] + d
                 least = -(-percent * (n[p] + n[q]) // (100 + percent))
                 ok = (spare[p] >= least) & (spare[q] >= least) & (t["g"][p] != t["g"][q]) & ((t["i"][p] == t["j"][p]) | (t["own"][p] != t["own"][q]))
                 found.append((t["sid"][p[ok]], t["sid"][q[ok]]))
@@ -325,15 +365,8 @@ def neighbour_pairs(shared: DataFrame, groups: DataFrame, percent: int, kinds: i
 
 def crossing_pairs(shared: DataFrame, groups: DataFrame, percent: int, block: int) -> DataFrame:
     """(a, b) of all sets of different groups that meet in a column where a linked pair could meet first."""
-    # Only columns of more than `block` sets are split: they are few, as they share the entries.
-    large = C.staged(shared.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > block), "large-columns")
-    small = F.broadcast(large) if large.count() <= 200_000 else large
-    blocks = F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("sid", F.lit(7)), blocks).cast("int")
-    # A set of block k meets blocks k to last as the first part, and blocks 0 to k as the second.
-    dealt = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), own.alias("own"))))
-    rows = _named(shared, groups).join(small, "h", "left").select("h", "sid", "n", "place", "g", dealt.alias("k")).select("h", "k.i", "k.j", "k.own", "sid", "n", "place", "g")
-    return _meetings(rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j"), percent, None).select("a", "b")
+    rows = _dealt(_named(shared, groups), _large_columns(shared, block), block)
+    return _meetings(rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "g"), percent, None).select("a", "b")
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:

@@ -77,6 +77,27 @@ def test_groups_at_the_threshold(spark, block):
     assert got == plain_groups(texts)
 
 
+def entries_of(spark, sizes):
+    """Entries and groups of one column in which group g has sizes[g] sets."""
+    rows = [(1, 1000 * g + k, 10, 0, g) for g, size in enumerate(sizes) for k in range(size)]
+    df = spark.createDataFrame(rows, "h long, sid long, n int, place int, g long")
+    return df.select("h", "sid", "n", "place"), df.select(F.col("sid").alias("node"), F.col("g").alias("root"))
+
+
+def test_large_columns_of_one_group_make_no_rows(spark):
+    shared, groups = entries_of(spark, [400])
+    assert shingles._dealt(shingles._named(shared, groups), shingles._large_columns(shared, 10), 10).count() == 0
+
+
+def test_blocks_of_one_group_do_not_meet(spark):
+    shared, groups = entries_of(spark, [400, 3, 2])
+    rows = shingles._dealt(shingles._named(shared, groups), shingles._large_columns(shared, 10), 10)
+    assert rows.count() == 400 + 5 * 41  # the group meets one block of others; those meet all 41
+    got = {tuple(r) for r in shingles.crossing_pairs(shared, groups, 75, 10).collect()}
+    of = [range(400), range(1000, 1003), range(2000, 2002)]
+    assert got == {(a, b) for g, x in enumerate(of) for y in of[g + 1 :] for a in x for b in y}
+
+
 def test_bpe(spark, texts):
     from tokenizers import Tokenizer
 
