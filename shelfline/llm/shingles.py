@@ -10,8 +10,8 @@ The method is a blocked sparse product of the document by n-gram incidence matri
   place m - least at most in the one and n - least in the other: in any other column they needn't meet;
 * in each column, sets meet a pivot first, drawn by a hash of one of `pivots` kinds. Each set goes on with the `tries`
   pivots that it meets most, and those found similar are united. The same is done once more with a few neighbours in an
-  order drawn by a hash, in columns that still hold sets of different groups. Then only such columns can add a link, and in
-  those all pairs of sets of different groups within the bounds are taken, in blocks of `block` sets. A column of more
+  order drawn by a hash, in runs of about `block` sets of a column. Then only columns that still hold sets of different
+  groups can add a link, and in those all pairs of sets of different groups within the bounds are taken, in blocks of `block` sets. A column of more
   sets is dropped if they are all of one group, and a group of more sets in it has blocks that don't meet each other;
 * a pair goes on if bitmaps of its sets (2 to 4 bits for each n-gram) leave the bound in reach, and is confirmed on the
   whole sets.
@@ -352,12 +352,21 @@ def _meetings(rows: DataFrame, percent: int, reach: int | None) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
-def neighbour_pairs(shared: DataFrame, groups: DataFrame, percent: int, kinds: int, reach: int, tries: int) -> DataFrame:
-    """(a, b): in columns of different groups, in an order that a hash of one of `kinds` draws, each set meets the next
-    `reach`; it goes on with the `tries` sets that it meets most."""
-    one, order = F.lit(0), F.xxhash64("sid", F.pmod("h", F.lit(kinds)))
-    rows = _named(shared, groups).repartition("h").sortWithinPartitions("h", order)
-    met = _meetings(rows.select("h", one.alias("i"), one.alias("j"), one.alias("own"), "sid", "n", "place", "g"), percent, reach)
+def _lined_up(rows: DataFrame, large: DataFrame, kinds: int, block: int) -> DataFrame:
+    """Entries in an order that a hash of one of `kinds` draws; a large column is cut into runs of about `block` entries."""
+    order = F.xxhash64("sid", F.pmod("h", F.lit(kinds)))
+    runs = F.coalesce(F.ceil(F.col("size") / block), F.lit(1))
+    rows = rows.join(large, "h", "left").withColumn("o", order)
+    # Runs are ranges of the order: of its 32 high bits, from 0 up.
+    i = F.shiftright((F.shiftright("o", 32) + F.lit(1 << 31)) * runs, 32).cast("int")
+    rows = rows.select("h", i.alias("i"), i.alias("j"), i.alias("own"), "sid", "n", "place", "g", "o")
+    return rows.repartition("h", "i").sortWithinPartitions("h", "i", "o").drop("o")
+
+
+def neighbour_pairs(shared: DataFrame, groups: DataFrame, percent: int, kinds: int, reach: int, tries: int, block: int) -> DataFrame:
+    """(a, b): in an order that a hash of one of `kinds` draws, each set meets the next `reach` of its column's run; it
+    goes on with the `tries` sets of other groups that it meets most."""
+    met = _meetings(_lined_up(_named(shared, groups), _large_columns(shared, block), kinds, block), percent, reach)
     both = met.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "c").select("p.x", "p.y", "c")
     best = both.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).filter(F.col("r") <= tries)
     return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -370,7 +379,7 @@ def crossing_pairs(shared: DataFrame, groups: DataFrame, percent: int, block: in
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Rows sorted by (h, i, j) in pieces that cut no run; a run has two blocks of sets at most."""
+    """Rows sorted by (h, i, j) in pieces that cut no run; a run has about two blocks of sets at most."""
     held = None
     for batch in batches:
         t = {c: batch.column(k).to_numpy() for k, c in enumerate(batch.schema.names)}
@@ -403,7 +412,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_c
 
     near = links(pivot_pairs(shared, percent, tries), "pivot-links")
     groups = C.staged(connected_components(near, "a", "b"), "groups")
-    rounds = {"neighbour-links": lambda g: neighbour_pairs(shared, g, percent, 4, reach, 2 * tries), "crossing-links": lambda g: crossing_pairs(shared, g, percent, block)}
+    rounds = {"neighbour-links": lambda g: neighbour_pairs(shared, g, percent, 4, reach, 2 * tries, block), "crossing-links": lambda g: crossing_pairs(shared, g, percent, block)}
     for name, pairs in rounds.items():
         more = links(pairs(groups), name)
         if not more.isEmpty():

@@ -79,7 +79,7 @@ def test_groups_at_the_threshold(spark, block):
 
 def entries_of(spark, sizes):
     """Entries and groups of one column in which group g has sizes[g] sets."""
-    rows = [(1, 1000 * g + k, 10, 0, g) for g, size in enumerate(sizes) for k in range(size)]
+    rows = [(1, 10_000 * g + k, 10, 0, g) for g, size in enumerate(sizes) for k in range(size)]
     df = spark.createDataFrame(rows, "h long, sid long, n int, place int, g long")
     return df.select("h", "sid", "n", "place"), df.select(F.col("sid").alias("node"), F.col("g").alias("root"))
 
@@ -94,10 +94,18 @@ def test_blocks_of_one_group_do_not_meet(spark):
     rows = shingles._dealt(shingles._named(shared, groups), shingles._large_columns(shared, 10), 10)
     assert rows.count() == 400 + 5 * 41  # the group meets one block of others; those meet all 41
     got = {tuple(r) for r in shingles.crossing_pairs(shared, groups, 75, 10).collect()}
-    of = [range(400), range(1000, 1003), range(2000, 2002)]
+    of = [range(400), range(10_000, 10_003), range(20_000, 20_002)]
     assert got == {(a, b) for g, x in enumerate(of) for y in of[g + 1 :] for a in x for b in y}
 
 
+def test_neighbours_of_a_large_column_are_in_many_runs(spark):
+    shared, groups = entries_of(spark, [3000, 2000])
+    rows = shingles._lined_up(shingles._named(shared, groups), shingles._large_columns(shared, 100), 4, 100)
+    sizes = [r["count"] for r in rows.groupBy("h", "i").count().collect()]
+    assert sum(sizes) == 5000 and len(sizes) == 50 and max(sizes) <= 200
+    assert shingles.neighbour_pairs(shared, groups, 75, 4, 16, 4, 100).count() > 0
+
+
 def test_bpe(spark, texts):
     from tokenizers import Tokenizer
 
