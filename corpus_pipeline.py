@@ -1,11 +1,12 @@
 """A corpus pipeline of five operators: each stage works on all that the stage before it kept.
 
 Each stage takes (spark, docs, sf_dir), with docs the Parquet that the stage before wrote, and returns documents with all
-their columns; the last returns the encoded corpus. Ids decide which rows stay: they are joined by broadcast only after a
-count shows at most MOST_BROADCAST of them, else by a shuffle.
+their columns; the last returns the encoded corpus. Keys of rows, given as a stage writes its input once, decide which rows
+stay: they are joined by broadcast only after a count shows at most MOST_BROADCAST of them, else by a shuffle.
 
-Defined results: null and empty texts pass the stages as the operators say; rows that repeat an id become one in the
-second stage; an empty table stays empty through all stages; further columns pass through.
+Defined results: null and empty texts pass the stages as the operators say; rows that repeat an id and its text become one
+in the second stage, and rows of one id with different texts, or of null ids, count as documents of their own; an empty
+table stays empty through all stages; further columns pass through.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from shelfline.llm import bpe, common, decontamination, quality_classifier, secrets, shingles
 
 MOST_BROADCAST = 1_000_000
+KEY = "_key"
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -27,26 +29,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.keep_good(docs, common.table(spark, sf_dir, "labels"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with keys of their own, fixed by writing them once: ids may be null or repeated."""
+    return common.staged(docs.withColumn(KEY, F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = common.staged(shingles.similar_groups(docs), "groups")
-    repeated = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    once = docs.dropDuplicates(["doc_id"]) if repeated else docs
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return once.join(_sized(common.staged(gone, "copies")), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates the row with the smallest id stays; of wordless rows, one for each id and text."""
+    rows = _keyed(docs)
+    found = common.staged(shingles.similar_groups(rows, id_col=KEY), "groups")
+    wordless = ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]") & F.col("doc_id").isNotNull()
+    told = rows.select(KEY, "doc_id", wordless.alias("_blank"), F.when(wordless, F.col("text")).alias("_text"))
+    by = [F.when(~F.col("_blank"), F.col("component_id")).alias("c"), F.when(F.col("_blank"), F.col("doc_id")).alias("d"), F.col("_text").alias("t")]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", KEY))
+    kept = found.select(KEY, "component_id").join(told, KEY).groupBy(*by).agg(first.alias("first")).select(f"first.{KEY}")
+    gone = found.select(KEY).join(kept, KEY, "left_anti")
+    return rows.join(_sized(common.staged(gone, "copies")), KEY, "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontamination.find_contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    gone = common.staged(found.filter(F.size("hits") > 0).select("doc_id").distinct(), "contaminated")
-    return docs.join(_sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    rows = _keyed(docs)
+    found = decontamination.find_contamination(rows, common.table(spark, sf_dir, "benchmark"), id_col=KEY)
+    gone = common.staged(found.filter(F.size("hits") > 0).select(KEY), "contaminated")
+    return rows.join(_sized(gone), KEY, "left_anti").select(*docs.columns)
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mask, and n_chars follows."""
-    found = secrets.scan(docs).filter(F.size("spans") > 0).groupBy("doc_id").agg(F.first("spans").alias("_spans"))
-    joined = docs.join(_sized(common.staged(found, "spans")), "doc_id", "left")
+    rows = _keyed(docs)
+    found = secrets.scan(rows, id_col=KEY).filter(F.size("spans") > 0).select(KEY, F.col("spans").alias("_spans"))
+    joined = rows.join(_sized(common.staged(found, "spans")), KEY, "left")
     masked = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("_spans")))
     changed = {"text": masked.alias("text"), "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(masked).cast("long")).alias("n_chars")}
     return joined.select(*(changed.get(c, F.col(c)) for c in docs.columns))

@@ -91,3 +91,31 @@ def test_stages(spark, docs, labels, benchmark, tmp_path, stage):
         assert out.count() <= df.count()
         if stage < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns
+
+
+def test_stages_tell_rows_apart_by_more_than_ids(spark, tmp_path):
+    """Null and repeated ids: what stays, worked out by hand."""
+    fill = lambda tag, n=30: " ".join(f"{tag}{k}" for k in range(n))
+    leak, secret = fill("bench", 12), "password = hunter2222"
+    spark.createDataFrame([("a", leak)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [
+        (None, fill("one")),
+        (None, fill("two")),
+        (None, fill("three")),
+        (1, fill("three") + " more"),  # the null id above is its near copy
+        (7, fill("four")),
+        (9, fill("four") + " more"),  # a near copy of 7 that shares its id with the next
+        (9, fill("five")),
+        (5, fill("six")),
+        (5, fill("six")),
+        (6, " "),
+        (6, " "),
+        (None, ""),
+        (None, ""),
+    ]
+    df = lambda rows: spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    got = lambda f, rows: sorted(((r.doc_id or 0, r.text) for r in f(spark, df(rows), str(tmp_path)).collect()))
+    want = [(None, fill("one")), (None, fill("two")), rows[3], rows[4], rows[6], rows[7], rows[9], (None, ""), (None, "")]
+    assert got(corpus_pipeline.near_duplicates, rows) == sorted((i or 0, t) for i, t in want)
+    assert got(corpus_pipeline.decontaminated, [(None, leak), (None, "clean"), (3, "x " + leak), (3, "clean too")]) == [(0, "clean"), (3, "clean too")]
+    assert got(corpus_pipeline.secrets_masked, [(None, secret), (4, secret), (4, "nothing here")]) == [(0, "[SECRET]"), (4, "[SECRET]"), (4, "nothing here")]
