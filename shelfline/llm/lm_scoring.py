@@ -1,13 +1,16 @@
 """Language-model scores of texts: a probabilistic suffix tree, beside plain word frequencies.
 
-A text is lower-cased (A-Z), its words joined by single blanks, and an end symbol added. The tree's symbols are the bytes
-of that text (those met most often in training; the rest share one symbol, evenly). Training counts every run of
-`depth` + 1 symbols of every training text. A context of k symbols stays in the tree if it was seen at least
-max(`least`, N * `share`) times and passes a divergence test against the context one symbol shorter:
-n(s) * KL(P(.|s) || P(.|parent)) must reach `nats` for each next symbol seen, and the KL itself `least_kl`. Of the
-contexts that pass, the `most_states` with the largest gain stay (the model's documented size), with all their prefixes
-and suffixes, so that the longest suffix state follows from the state before. Next-symbol distributions are smoothed:
-(n(sx) + beta * P(x|parent)) / (n(s) + beta). A text's score adds up log10 P(symbol | longest suffix state).
+A text is lower-cased (A-Z), its words joined by single blanks, and an end symbol added. The tree's symbols are the 256
+bytes of that text. Training counts every run of `depth` + 1 symbols of every training text (`depth` is at most 6). A
+context of k symbols is a state if it was seen `least` times (N * `share` times, if a share is given) and passes a
+divergence test against the context one symbol shorter: n(s) * KL(P(.|s) || P(.|parent)) must reach `nats` for each next
+symbol seen, and the KL itself `least_kl`. All contexts that pass are states, at every size of the corpus, with all their
+prefixes and suffixes. Next-symbol distributions are smoothed: (n(sx) + beta * P(x|parent)) / (n(s) + beta). A text's score
+adds up log10 P(symbol | longest suffix state).
+
+The states are a staged table. At most `dense_states` of them are scored by an automaton; else those seen most often, with
+`broadcast_contexts` next symbols in all, are broadcast as sorted keys, and runs that reach a state beyond them meet theirs
+in a shuffle join. All three give the same scores.
 
 The base score sums log10((c + 0.1) / (N + 0.1 * (V + 1))) over words and one end, with c a token's training count. Counts
 of the words met most often (at most `broadcast_words`) are broadcast; all others meet their counts in a shuffle join.
@@ -25,13 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.llm import common as C
 
 END = 10  # a line end never stands within a normalised text; a run of them stands before it
-LETTERS = 120
 
 
 def streams(texts: list[bytes], depth: int) -> tuple[bytes, np.ndarray]:
@@ -110,9 +112,9 @@ class Tree:
     """Tables of the suffix tree: from a state and a symbol to the next state, and the symbol's log10 probability."""
 
     def __init__(self, depth: int, letters: np.ndarray, states: list[bytes], counts: dict[bytes, tuple[np.ndarray, np.ndarray]], beta: float):
-        """letters: bytes with symbols of their own; states by length; counts: a state's (next byte, n)."""
+        """letters: bytes met, with symbols of their own, while the others are alike; states by length; counts: a state's (next byte, n)."""
         self.depth = depth
-        self.symbol = np.full(256, len(letters), np.uint8)
+        self.symbol = np.full(256, len(letters), np.int16)
         self.symbol[letters] = np.arange(len(letters))
         others = 256 - len(letters)
         width = len(letters) + 1
@@ -124,7 +126,7 @@ class Tree:
             if s in counts:
                 np.add.at(n, self.symbol[counts[s][0]], counts[s][1])
             if not s:
-                prob[i] = (n + 0.5) / (n.sum() + 0.5 * width)
+                prob[i] = (n + 0.5 * np.append(np.ones(len(letters)), max(1, others))) / (n.sum() + 0.5 * 256)
             else:
                 prob[i] = (n + beta * prob[index[s[1:]]]) / (n.sum() + beta)
                 self.next[i] = self.next[index[s[1:]]]
@@ -139,7 +141,7 @@ class Tree:
         buf = self.symbol[np.frombuffer(raw, np.uint8)]
         n, lane = len(buf), 256
         lanes = -(-n // lane)
-        whole = np.concatenate((np.full(self.depth, self.symbol[END], np.uint8), buf, np.zeros(lanes * lane - n, np.uint8)))
+        whole = np.concatenate((np.full(self.depth, self.symbol[END], np.int16), buf, np.zeros(lanes * lane - n, np.int16)))
         width = self.log10.shape[1]
         to, log10 = self.next.ravel(), self.log10.ravel()
         out = np.empty((lane, lanes), np.float32)
@@ -156,64 +158,163 @@ class Tree:
         return sums[ends] - sums[begins]
 
 
-def _contexts(grams: DataFrame, depth: int, least: int, share: float, nats: float, least_kl: float, total: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(k, ctx, gain) of contexts that pass the tests, at most 1 / share of each length, and the runs by length."""
-    floor = max(least, math.ceil(total * share))
+class Backoff:
+    """States as sorted keys by length: the log10 of next symbols seen, and what all others lose against the parent."""
+
+    def __init__(self, depth: int, root: np.ndarray, levels: list[tuple[np.ndarray, ...]], beyond: list[np.ndarray]):
+        """root: each byte's log10; levels: from length 1 (keys, log10, contexts, back); beyond: by length from 0, contexts
+        of which a longer one is a state that isn't held here."""
+        self.depth, self.root, self.levels, self.beyond = depth, root, levels, beyond
+
+    def values(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10, length of the state, whether a longer one may hold) of sorted distinct runs of depth + 1 symbols."""
+        chain, ups = [keys], []
+        for k in range(self.depth, 0, -1):
+            one, up = np.unique(chain[0] & np.uint64((1 << (8 * k)) - 1), return_inverse=True)
+            chain.insert(0, one)
+            ups.insert(0, up)
+        v = self.root[chain[0].astype(np.int64)]
+        length, deep = np.zeros(len(v), np.int64), np.full(len(v), len(self.beyond[0]) > 0)
+        for k, (own, own_log, contexts, back) in enumerate(self.levels, 1):
+            v, length, deep = v[ups[k - 1]], length[ups[k - 1]], deep[ups[k - 1]]
+            ctx = chain[k] >> np.uint64(8)
+            at, state = _found(contexts, ctx)
+            v[state] += back[at[state]]
+            at, seen = _found(own, chain[k])
+            v[seen] = own_log[at[seen]]
+            length[state] = k
+            deep[state] = _found(self.beyond[k], ctx[state])[1]
+        return v, length, deep
+
+    def score(self, raw: bytes, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each stream's sum over runs whose state is held; and the other runs' (keys with the length held above, log10 so
+        far, where each stream's begin)."""
+        pad = np.zeros(len(raw) + 1, np.int8)
+        pad[begins - self.depth] += 1
+        pad[begins] -= 1
+        inside = np.flatnonzero(np.cumsum(pad[:-1]) == 0)
+        one, back = np.unique(windows(raw, self.depth + 1)[inside], return_inverse=True)
+        v, length, deep = self.values(one)
+        first = np.append(np.searchsorted(inside, begins), len(inside))
+        sums = np.concatenate(([0.0], np.cumsum(np.where(deep, 0.0, v)[back])))
+        open_, before = deep[back], np.concatenate(([0], np.cumsum(deep[back])))[first]
+        keys = one | (length.astype(np.uint64) << np.uint64(56))
+        return sums[first[1:]] - sums[first[:-1]], keys[back[open_]], v[back[open_]], before
+
+
+def _found(held: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of asked stands in held, and whether it does."""
+    if not len(held):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(held, asked), len(held) - 1)
+    return at, held[at] == asked
+
+
+def _low(column: str, symbols) -> Column:
+    return F.col(column).bitwiseAND(F.lit((1 << (8 * symbols)) - 1))
+
+
+def _contexts(grams: DataFrame, depth: int, floor: int, nats: float, least_kl: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(k, ctx) of contexts that pass the tests and of all their parts, and the runs by length."""
     levels, found = [grams], None
     for k in range(depth - 1, -1, -1):
-        key = F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
-        levels.insert(0, C.staged(levels[0].groupBy(key.alias("key")).agg(F.sum("n").alias("n")), f"runs-{k}"))
+        levels.insert(0, C.staged(levels[0].groupBy(_low("key", k + 1).alias("key")).agg(F.sum("n").alias("n")), f"runs-{k}"))
     for k in range(1, depth + 1):
         ctx = F.shiftrightunsigned("key", 8).alias("ctx")
         of = lambda level: level.groupBy(ctx).agg(F.sum("n").alias("total"))
         kept = of(levels[k]).filter(F.col("total") >= floor)
         rows = levels[k].select("key", ctx, "n").join(kept, "ctx")
-        parent = F.col("key").bitwiseAND(F.lit((1 << (8 * k)) - 1))
         above = levels[k - 1].select(F.col("key").alias("up"), F.col("n").alias("up_n"))
         above = above.join(of(levels[k - 1]).select(F.col("ctx").alias("up_ctx"), F.col("total").alias("up_total")), F.shiftrightunsigned("up", 8) == F.col("up_ctx"))
-        both = rows.join(above, parent == F.col("up"))
+        both = rows.join(above, _low("key", k) == F.col("up"))
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / (F.col("up_n") / F.col("up_total"))))
         passed = both.groupBy("ctx").agg(gain.alias("gain"), F.count("*").alias("next"), F.first("total").alias("total")).filter((F.col("gain") >= nats * F.col("next")) & (F.col("gain") >= least_kl * F.col("total")))
-        passed = passed.select(F.lit(k).alias("k"), "ctx", "gain")
+        parts = [F.struct(F.lit(m).alias("k"), F.shiftrightunsigned("ctx", 8 * at).bitwiseAND(F.lit((1 << (8 * m)) - 1)).alias("ctx")) for m in range(1, k + 1) for at in range(k - m + 1)]
+        passed = passed.select(F.explode(F.array(*parts)).alias("p")).select("p.k", "p.ctx")
         found = passed if found is None else found.unionByName(passed)
-    return found, levels
+    return C.staged(found.distinct(), "states"), levels
 
 
-def fit_tree(counts: DataFrame, depth: int, least: int, share: float, nats: float, least_kl: float, most_states: int, beta: float) -> Tree:
-    """counts as training_counts() gives them. What comes to the driver is bounded by most_states."""
-    spark = counts.sparkSession
+def fit_states(counts: DataFrame, depth: int, least: int, share: float, nats: float, least_kl: float, beta: float) -> tuple[np.ndarray, DataFrame]:
+    """Counts of single symbols, and (k, key, ctx, n, total, prob): of each state the symbols seen next."""
     grams = counts.filter("kind = 1").select("key", "n")
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found, levels = _contexts(grams, depth, least, share, nats, least_kl, total)
-    best = found.orderBy(F.desc("gain"), "k", "ctx").limit(most_states).select("k", "ctx").toArrow().to_pydict()
-    names = {int(c).to_bytes(8, "big")[8 - k :] for k, c in zip(best["k"], best["ctx"], strict=True)}
-    states = {b""}
-    for s in names:
-        states.update(s[i:j] for i in range(len(s)) for j in range(i + 1, len(s) + 1))
-    ordered = sorted(states, key=lambda s: (len(s), s))
-    per: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-    for k in range(depth + 1):
-        own = [int.from_bytes(s, "big") for s in ordered if len(s) == k]
-        if not own:
-            continue
-        wanted = spark.createDataFrame(pa.table({"ctx": pa.array(own, pa.int64())}))
-        rows = levels[k].select("key", F.shiftrightunsigned("key", 8).alias("ctx"), "n").join(F.broadcast(wanted), "ctx").select("ctx", "key", "n").orderBy("key").toArrow()
-        ctx, key, n = (rows.column(i).to_numpy() for i in range(3))
-        cuts = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1], [True]))) if len(ctx) else np.zeros(1, int)
-        for a, b in zip(cuts, cuts[1:]):
-            per[int(ctx[a]).to_bytes(8, "big")[8 - k :] if k else b""] = ((key[a:b] & 255).astype(np.uint8), n[a:b])
+    states, levels = _contexts(grams, depth, max(least, math.ceil(total * share)), nats, least_kl)
     root = np.zeros(256, np.int64)
-    if b"" in per:
-        root[per[b""][0]] = per[b""][1]
-    letters = np.array(sorted(x for x in np.argsort(-root, kind="stable")[:LETTERS].tolist() if root[x] > 0), np.uint8)
-    if END not in letters:
-        letters = np.append(letters, np.uint8(END))
-    own_letters = set(letters.tolist())
-    ordered = [s for s in ordered if set(s) <= own_letters]
-    return Tree(depth, letters, ordered, per, beta)
-
-
-def score_texts(documents: DataFrame, held_fold: int = 10, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, least: int = 20, share: float = 1e-5, nats: float = 1.0, least_kl: float = 0.002, most_states: int = 20_000, beta: float = 5.0, broadcast_words: int = 400_000) -> DataFrame:
+    for key, n in levels[0].toLocalIterator():  # 256 at most
+        root[key] = n
+    above = levels[0].select(F.col("key").alias("up"), ((F.col("n") + 0.5) / (total + 128)).alias("up_prob"))
+    entries = None
+    for k in range(1, depth + 1):
+        rows = levels[k].select("key", F.shiftrightunsigned("key", 8).alias("ctx"), "n").join(states.filter(F.col("k") == k), "ctx")
+        rows = rows.join(rows.groupBy("ctx").agg(F.sum("n").alias("total")), "ctx").join(above, _low("key", k) == F.col("up"))
+        own = C.staged(rows.select("k", "key", "ctx", "n", "total", ((F.col("n") + beta * F.col("up_prob")) / (F.col("total") + beta)).alias("prob")), f"next-{k}")
+        above = own.select(F.col("key").alias("up"), F.col("prob").alias("up_prob"))
+        entries = own if entries is None else entries.unionByName(own)
+    return root, entries
+
+
+def _back(total: Column, beta: float) -> Column:
+    return F.log10(beta / (total + beta))
+
+
+def _automaton(root: np.ndarray, entries: DataFrame, depth: int, beta: float) -> Tree:
+    per: dict[bytes, tuple[np.ndarray, np.ndarray]] = {b"": (np.arange(256, dtype=np.uint8), root)}
+    t = entries.select("k", "ctx", "key", "n").orderBy("k", "key").toArrow()
+    k, ctx, key, n = (t.column(i).to_numpy() for i in range(4))
+    cuts = np.flatnonzero(np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (k[1:] != k[:-1]), [True]))) if len(k) else np.zeros(1, int)
+    for a, b in zip(cuts, cuts[1:]):
+        per[int(ctx[a]).to_bytes(8, "big")[8 - int(k[a]) :]] = ((key[a:b] & 255).astype(np.uint8), n[a:b])
+    letters = np.flatnonzero((root > 0) | (np.arange(256) == END)).astype(np.uint8)
+    per[b""] = (letters, root[letters])
+    return Tree(depth, letters, sorted(per, key=lambda s: (len(s), s)), per, beta)
+
+
+def _held(root: np.ndarray, entries: DataFrame, depth: int, beta: float, most: int) -> Backoff:
+    """The states seen most often, as many whole classes of counts as have at most `most` entries. States are seen no more
+    often than their suffixes, so that these are held too."""
+    rank = F.floor(8 * F.log2("total"))
+    cut, rows = 1 << 30, 0
+    for c, w in entries.groupBy(rank.alias("c")).agg(F.count("*").alias("w")).orderBy(F.desc("c")).collect():
+        rows += w
+        if rows > most:
+            break
+        cut = c
+    told = entries.withColumn("held", rank >= cut)
+    states = told.groupBy("k", "ctx").agg(F.first("total").alias("total"), F.first("held").alias("held"))
+    parent = F.expr("shiftleft(1L, 8 * (k - 1)) - 1")
+    beyond = states.filter("NOT held").select((F.col("k") - 1).alias("k"), F.col("ctx").bitwiseAND(parent).alias("ctx")).distinct()
+    roots = beyond.filter("k = 0").select("k", "ctx")
+    beyond = beyond.join(states.filter("held").select("k", "ctx"), ["k", "ctx"]).select("k", "ctx").unionByName(roots)
+    at_driver = lambda df: {k: [c.to_numpy() for c in df.filter(F.col("k") == k).drop("k").toArrow().columns] for k in range(depth + 1)}
+    held = at_driver(told.filter("held").select("k", "key", F.log10("prob").cast("float").alias("log10")))
+    contexts = at_driver(states.filter("held").select("k", "ctx", _back(F.col("total"), beta).cast("float").alias("back")))
+    levels = []
+    for k in range(1, depth + 1):
+        (keys, logs), (ctx, back) = held[k], contexts[k]
+        by_key, by_ctx = np.argsort(keys), np.argsort(ctx)
+        levels.append((keys[by_key].view(np.uint64), logs[by_key], ctx[by_ctx].view(np.uint64), back[by_ctx]))
+    return Backoff(depth, np.log10((root + 0.5) / (root.sum() + 128)), levels, [np.sort(x[0]).view(np.uint64) for x in at_driver(beyond).values()])
+
+
+def _beyond(open_runs: DataFrame, entries: DataFrame, depth: int, beta: float) -> DataFrame:
+    """(row, more): sums over the runs (row, key with the length held, v) whose states are not all held."""
+    runs = open_runs.groupBy("row", "key").agg(F.count("*").alias("times"), F.first("v").alias("v"))
+    # Only states beyond those held are met: each was seen too seldom to make a hot key.
+    asked = runs.select("key").distinct().select("key", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _low("key", k + 1).alias("sub"), F.shiftrightunsigned(_low("key", k + 1), 8).alias("ctx")) for k in range(1, depth + 1)))).alias("p"))
+    asked = asked.select("key", "p.*").filter(F.col("k") > F.shiftrightunsigned("key", 56))
+    states = entries.groupBy("k", "ctx").agg(_back(F.first("total"), beta).alias("back"))
+    met = asked.join(states, ["k", "ctx"]).join(entries.select("k", F.col("key").alias("sub"), F.log10("prob").alias("log10")), ["k", "sub"], "left")
+    best = F.max(F.when(F.col("log10").isNotNull(), F.struct("k", "log10")))
+    by_key = met.groupBy("key").agg(best.alias("best"), F.collect_list(F.struct("k", "back")).alias("backs"))  # no more than depth
+    longer = F.filter("backs", lambda x: x["k"] > F.coalesce("best.k", F.lit(0)))
+    lost = F.aggregate(longer, F.lit(0.0), lambda a, x: a + x["back"])
+    by_key = by_key.select("key", F.col("best.log10").alias("log10"), lost.alias("lost"))
+    joined = runs.join(by_key, "key", "left")
+    return joined.groupBy("row").agg(F.sum(F.col("times") * (F.coalesce("log10", "v") + F.coalesce("lost", F.lit(0.0)))).alias("more_score"))
+
+
+def score_texts(documents: DataFrame, held_fold: int = 10, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, least: int = 20, share: float = 0.0, nats: float = 1.0, least_kl: float = 0.002, beta: float = 5.0, broadcast_words: int = 400_000, dense_states: int = 20_000, broadcast_contexts: int = 2_000_000) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
     C.small_batches(spark)
@@ -224,7 +325,9 @@ def score_texts(documents: DataFrame, held_fold: int = 10, id_col: str = "doc_id
     ends = counts.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_tokens, v = of_words + ends, distinct + (ends > 0)
     below = n_tokens + 0.1 * (v + 1)
-    tree = fit_tree(counts, depth, least, share, nats, least_kl, most_states, beta)
+    root, entries = fit_states(counts, depth, least, share, nats, least_kl, beta)
+    few = entries.select("k", "ctx").distinct().count() <= dense_states
+    tree = _automaton(root, entries, depth, beta) if few else _held(root, entries, depth, beta, broadcast_contexts)
     # The words met most often: as many whole classes of counts as the bound takes.
     cut, sum_words = 1 << 62, 0
     for c, w in words.groupBy(F.least("n", F.lit(100_000)).alias("c")).agg(F.count("*").alias("w")).orderBy(F.desc("c")).toLocalIterator():
@@ -237,7 +340,7 @@ def score_texts(documents: DataFrame, held_fold: int = 10, id_col: str = "doc_id
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((tree, keys[order], often.column(1).to_numpy()[order]))
     kind = documents.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<long>"
+    schema = f"id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<long>, open array<struct<key: long, v: double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, keys, n = shared.value
@@ -259,6 +362,8 @@ def score_texts(documents: DataFrame, held_fold: int = 10, id_col: str = "doc_id
                 first = np.append(np.searchsorted(starts, begins), len(h))
                 sums = np.concatenate(([0.0], np.cumsum(value[back])))
                 sure = np.concatenate(([0], np.cumsum(known)))
+                score = tree.score(raw, begins)
+                score, keys_open, v_open, open_at = score if isinstance(score, tuple) else (score, np.empty(0, np.uint64), np.empty(0), np.zeros(len(texts) + 1, int))
                 rare_h, rare_at = h[~known].view(np.int64), np.concatenate(([0], np.cumsum(~known)))[first]
                 yield pa.RecordBatch.from_pydict({
                     "id": batch.column(0).slice(at, to - at),
@@ -267,8 +372,9 @@ def score_texts(documents: DataFrame, held_fold: int = 10, id_col: str = "doc_id
                     "n_tokens": pa.array(np.diff(first) + 1),
                     "n_known": pa.array(sure[first[1:]] - sure[first[:-1]] + int(ends > 0)),
                     "base": pa.array(sums[first[1:]] - sums[first[:-1]] + end),
-                    "score": pa.array(tree.score(raw, begins)),
+                    "score": pa.array(score),
                     "rare": pa.ListArray.from_arrays(pa.array(rare_at.astype(np.int32)), pa.array(rare_h)),
+                    "open": pa.ListArray.from_arrays(pa.array(open_at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(keys_open.view(np.int64)), pa.array(v_open)], ["key", "v"])),
                 })
                 row += len(texts)
 
@@ -276,7 +382,11 @@ def score_texts(documents: DataFrame, held_fold: int = 10, id_col: str = "doc_id
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     met = rare.join(words.filter(F.col("n") < cut), "key", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
     added = met.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.col("n") + 0.1) / F.lit(below))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = scored.drop("rare").join(added, "row", "left")
+    out = scored.drop("rare", "open").join(added, "row", "left")
+    if not few:
+        out = out.join(_beyond(scored.select("row", F.explode("open").alias("o")).select("row", "o.*"), entries, depth, beta), "row", "left")
+    else:
+        out = out.withColumn("more_score", F.lit(0.0))
     return out.select(
         F.col("id").alias(id_col),
         "held_out",
@@ -284,7 +394,7 @@ def score_texts(documents: DataFrame, held_fold: int = 10, id_col: str = "doc_id
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -219,6 +219,45 @@ def test_lm_tree_is_a_distribution():
     assert t.score(raw, np.array([2])) == pytest.approx([want], abs=1e-5)
 
 
+def plain_tree_scores(texts, held, depth, least, nats, least_kl, beta):
+    streams = {i: b"\n" * depth + b" ".join(t.encode().translate(common.LOWER).split()) + b"\n" for i, t in texts.items()}
+    counts = collections.defaultdict(collections.Counter)
+    for i, s in streams.items():
+        for at in range(depth, len(s)) if not held[i] else ():
+            for k in range(depth + 1):
+                counts[s[at - k : at]][s[at]] += 1
+    states = {b""}
+    for s, c in counts.items():
+        n, up = sum(c.values()), counts[s[1:]]
+        gain = sum(m * math.log(m / n / (up[x] / sum(up.values()))) for x, m in c.items())
+        if s and n >= least and gain >= nats * len(c) and gain >= least_kl * n:
+            states.update(s[i:j] for i in range(len(s)) for j in range(i + 1, len(s) + 1))
+
+    def prob(s, x):
+        n = sum(counts[s].values())
+        return (counts[s][x] + beta * prob(s[1:], x)) / (n + beta) if s else (counts[s][x] + 0.5) / (n + 128)
+
+    longest = lambda s: next(s[i:] for i in range(len(s) + 1) if s[i:] in states)
+    return {i: sum(math.log10(prob(longest(s[at - depth : at]), s[at])) for at in range(depth, len(s))) for i, s in streams.items()}, len(states)
+
+
+def test_lm_tree_keeps_every_context_and_byte(spark):
+    """More than 120 bytes, and states by automaton, by broadcast and by joins."""
+    from shelfline.llm import lm_scoring
+
+    rng = random.Random(3)
+    letters = [chr(c) for c in (*range(33, 127), *range(0x430, 0x450), *range(0x4E00, 0x9F00, 37), *range(0xC0, 0x100))]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))) for _ in range(250)]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))) for i in range(60)} | {60: "Q\x01 ~~ never seen"}
+    assert len(set(" ".join(texts.values()).encode())) > 120
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    want, states = plain_tree_scores(texts, held, 6, 4, 1.0, 0.002, 5.0)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for dense, sparse in ((20_000, 0), (0, 2_000_000), (0, states // 2), (0, 0)):
+        got = {r.doc_id: r.score for r in lm_scoring.score_texts(df, least=4, dense_states=dense, broadcast_contexts=sparse).collect()}
+        assert got == pytest.approx(want, rel=1e-5)
+
+
 @pytest.mark.parametrize("spoil", [lambda r: r.replace(b"WARC/1.1", b"WARC/9.9"), lambda r: r.replace(b"Content-Length: 12", b"Content-Length: 13"), lambda r: r[:-1], lambda r: r.replace(b"hello", b"jello"), lambda r: r.replace(b"WARC-Date", b"WARC-Dote")])
 def test_spoilt_records_are_refused(spoil):
     raw = warc.record(1, "u", b"hello world", hashlib.sha1(b"hello world").hexdigest(), None)
