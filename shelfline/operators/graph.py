@@ -2,50 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfline.staging import staged
+
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the folder the cluster shares and read back, so that plans stay short and survive lost executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get()
-    path = f"{base.rstrip('/')}/edges-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """edges joined with (u, m, d) by u. Nodes of more than `most` edges are broadcast, so that no node's edges meet in one
+    task: there are at most 2 * edges / most of them."""
+    heavy = least.filter(F.col("d") > most).select("u", F.col("m").alias("hm"))
+    light = least.filter(F.col("d") <= most).select("u", F.col("m").alias("lm"))
+    told = edges.join(F.broadcast(heavy), "u", "left")
+    few = told.filter("hm IS NULL").join(light, "u").select("u", "v", F.col("lm").alias("m"))
+    return told.filter("hm IS NOT NULL").select("u", "v", F.col("hm").alias("m")).unionByName(few)
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge; root is the component's smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). Each step takes a node's smallest neighbour by a
-    map-side combined minimum and joins it back, so that no node's neighbours are ever gathered in one place. Rounds
-    needed grow with the logarithm of the edges. Edges with a null end are ignored; a loop names a node of its own.
+    map-side combined minimum and joins it back; minima of nodes with more than a ten-thousandth of the edges are broadcast
+    (at most 20,000 rows), so that no node's neighbours are ever gathered in one place. Rounds needed grow with the
+    logarithm of the edges. Edges with a null end are ignored; a loop names a node of its own.
     """
     kept = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     nodes = kept.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     # Each edge points from the larger node u to the smaller v.
-    state = _cut(kept.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = staged(kept.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
+    size = state.count()
     for _ in range(most_rounds):
+        most = max(1000, size // 10_000)
+        split = size > most
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        state = _cut(small)
-        new = state.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-        if new == mark:
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d")
+        large = (_with_least(both, least, most) if split else both.join(least, "u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        small = (_with_least(large, least, most) if split else large.join(least, "u")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        state = staged(small, "edges")
+        size, mixed = state.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
+        if (size, mixed) == mark:
             return nodes.join(state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        mark = new
+        mark = size, mixed
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

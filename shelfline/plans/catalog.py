@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -20,6 +19,7 @@ from shelfline.operators import warehouse as WH
 from shelfline.plans import fixtures as P
 from shelfline.sources import listings as S
 from shelfline.sources import tables as T
+from shelfline.staging import new_path
 from shelfline.streaming import incremental as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,8 +52,7 @@ def _new_table(spark: SparkSession, df: DataFrame, write) -> DataFrame:
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 @query("a02_append_with_audit", "SELECT *, TIMESTAMP '2024-01-01 00:00:00' AS _loaded_at FROM events UNION ALL SELECT *, TIMESTAMP '2024-01-01 00:00:00' FROM events")
