@@ -142,7 +142,6 @@ def tokenizer(path: str) -> Tokenizer:
 
 def encode(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row per document: id, n_tokens, ids (if kept), ids_sha256 of the comma-joined ids, decoded (if kept), decoded_sha256."""
-    C.small_batches(documents.sparkSession, 500)
     docs = documents.select(F.col(id_col), F.col(text_col).alias("_text"))
     kind = documents.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, " + "ids array<int>, decoded string, " * keep_ids + "ids_sha256 string, decoded_sha256 string"

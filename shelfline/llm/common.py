@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfline.staging import new_path, staged  # noqa: F401 (for the operators)
+
 #: ASCII white space as the contracts define it: blank, \t, \n, \v, \f, \r.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Java pattern of a run of such white space.
@@ -22,55 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share; only where none is named (tests) a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get()
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and no executor's loss undoes it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of an id's decimal text, modulo n: the contracts' fixed folds."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(col.cast("string").cast("binary")) % n
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of few rows, so that one batch of long texts fits a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def text_groups(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Slices (first, last, UTF-8 texts) of a column, each of about `most` bytes; null is empty."""
-    values = texts.cast(pa.binary()).to_pylist()
-    first, size, out = 0, 0, []
-    for i, v in enumerate(values):
-        out.append(v or b"")
-        size += len(out[-1])
-        if size >= most:
-            yield first, i + 1, out
-            first, size, out = i + 1, 0, []
-    if out:
-        yield first, len(values), out
+    """Slices (first, last, UTF-8 texts) of a column, each of about `most` bytes or one text; null is empty.
+
+    Slices are cut by the column's own offsets, so that only one slice's texts are Python objects at a time. Batches
+    themselves are bounded by Spark (spark.sql.execution.arrow.maxBytesPerBatch)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = min(len(ends), int(np.searchsorted(ends, before + most)) + 1)
+        yield first, last, [v or b"" for v in texts.slice(first, last - first).cast(pa.binary()).to_pylist()]
+        first = last
 
 
 def byte_class(not_word: bytes) -> np.ndarray:

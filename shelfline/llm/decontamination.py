@@ -160,7 +160,6 @@ _RUNS = "array<struct<first:int,last:int>>"
 def find_contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 2_000_000) -> DataFrame:
     """One row per document: id, n_words, hits (stretches of words, last exclusive, disjoint), items (ids as strings, sorted)."""
     spark: SparkSession = documents.sparkSession
-    C.small_batches(spark)
     out = documents.select(F.col(id_col), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_RUNS).alias("hits"), F.array().cast("array<string>").alias("items"))
     schema = out.schema
     blocks = list(_shared_blocks(benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col)), size, block_windows)) or [spark.sparkContext.broadcast([])]

@@ -98,7 +98,6 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], bits: int, passes: int
 def identify(documents: DataFrame, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 4000, bits: int = 14, passes: int = 3, alpha: float = 0.5, l1: float = 0.05, l2: float = 0.1) -> DataFrame:
     """One row per document: id, held_out, lang_pred, score."""
     spark = documents.sparkSession
-    C.small_batches(spark)
     fold = C.crc_mod(id_col, folds)
     text, kind = F.col(text_col), documents.schema[id_col].dataType.simpleString()
     train = documents.filter((fold != held) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))

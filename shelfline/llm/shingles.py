@@ -4,20 +4,22 @@ The method is a blocked sparse product of the document by n-gram incidence matri
 
 * rows are distinct n-gram sets (documents with equal sets are one row), columns are 64-bit hashes of n-grams; the chance
   that two of a corpus's n-grams share a hash is about n^2 / 2^62;
-* columns have one order everywhere: n-grams found often within a partition last, then by hash. Two sets of similarity t
-  or more share one of their first n - ceil(t n) + 1 columns, so that only these make entries (size-derived bound);
-* two sets of sizes m and n link only if they share `least(m, n)` columns, so that the first column they share stands at
-  place m - least at most in the one and n - least in the other: in any other column they needn't meet;
-* in each column, sets meet a pivot first, drawn by a hash of one of `pivots` kinds. Each set goes on with the `tries`
-  pivots that it meets most, and those found similar are united. The same is done once more with a few neighbours in an
-  order drawn by a hash, in runs of about `block` sets of a column. Then only columns that still hold sets of different
-  groups can add a link, and in those all pairs of sets of different groups within the bounds are taken, in blocks of `block` sets. A column of more
-  sets is dropped if they are all of one group, and a group of more sets in it has blocks that don't meet each other;
+* columns have one order everywhere: by how many texts hold them, then by hash. The counts come from a sketch of 2^21
+  counters over all texts, which tasks fill and blocks add up; counts that collide only make the order worse;
+* two sets of sizes m and n link only if they share `least(m, n)` columns. So the first l of the columns they share stand
+  among the first n - least + l of either: only these columns of a set make entries (a quarter of it, and some for l);
+* the product's overlap counts are added up over these columns, and a pair of fewer than l, which grows with the smaller
+  size, is discarded; in columns beyond those places a pair needn't meet at all;
+* so that copies in a group never make all their pairs, only sets of different groups meet, and groups are found first:
+  in each column, sets meet a pivot, drawn by a hash of one of `pivots` kinds; each set goes on with the `tries` pivots that
+  it meets most, and those found similar are united. Then sets meet a few neighbours in an order drawn by a hash, in runs
+  of about `block` sets of a column, until a round unites no more. In the product, columns are taken in blocks of `block`
+  sets; a column of more is dropped if its sets are all of one group, and a group of more has blocks that don't meet;
 * a pair goes on if bitmaps of its sets (2 to 4 bits for each n-gram) leave the bound in reach, and is confirmed on the
   whole sets.
 
-No cap drops a pair, and copies in a group never make all their pairs. Whole sets are recomputed from the texts rather
-than shuffled: a bitmap of fixed size (`_NEED_BITS`) tells each task which sets are asked for.
+No cap drops a pair. A column that very many sets share is dealt to tasks in parts. Whole sets are recomputed from the
+texts that are asked for, rather than shuffled.
 
 Defined results: null, empty and wordless texts have an empty set (n_shingles 0) and are linked with nothing; a text of
 fewer than `width` words is one n-gram; repeated ids are separate rows, in one group if their sets are linked, and each
@@ -36,7 +38,12 @@ from pyspark.sql import functions as F
 from shelfline.llm import common as C
 from shelfline.operators.graph import connected_components
 
-_NEED_BITS = 24
+#: Counters of the sketch that orders columns, as a power of two, and how many go in one row.
+SKETCH_BITS, _BLOCK_BITS = 21, 15
+#: Entries of one column that go to one task: a column of more, by its sketch, is dealt in parts.
+HOT = 20_000
+#: Asked sets up to which their ids are broadcast, and up to which a bitmap of eight bits for each stands in for them.
+FEW_IDS, BITMAP_IDS = 300_000, 1 << 24
 
 
 def text_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,16 +87,16 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _over_texts(documents: DataFrame, id_col: str, text_col: str, width: int, schema: str, emit, finish=None) -> DataFrame:
-    """mapInArrow over (id, text); emit(ids, n_texts, grams, owner) gives a batch or None."""
+def _over_texts(documents: DataFrame, id_col: str, text_col: str, width: int, schema: str, start) -> DataFrame:
+    """mapInArrow over (id, text). start() gives each task emit(ids, n_texts, grams, owner), which returns a batch, and
+    finish(), which yields the task's last ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emit, finish = start()
         for batch in batches:
             for at, to, texts in C.text_groups(batch.column(1), 4 << 20):
-                if (out := emit(batch.column(0).slice(at, to - at), len(texts), *text_sets(texts, width))) is not None:
-                    yield out
-        if finish and (out := finish()) is not None:
-            yield out
+                yield emit(batch.column(0).slice(at, to - at), len(texts), *text_sets(texts, width))
+        yield from finish()
 
     return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -104,112 +111,134 @@ def bit_sets(grams: np.ndarray, owner: np.ndarray, size: np.ndarray) -> pa.ListA
     return pa.ListArray.from_arrays(pa.array((np.append(begin, width.sum()) // 64).astype(np.int32)), pa.array(words))
 
 
+def slots(grams: np.ndarray) -> np.ndarray:
+    """Each n-gram's counter of the sketch."""
+    return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def signatures(documents: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, sid, bits) of each document."""
+    """(id, n, sid, bits) of each document, and for each task the rows (block, counts) of its part of the sketch."""
     kind = documents.schema[id_col].dataType.simpleString()
+    names = ["id", "n", "sid", "bits", "block", "counts"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
-    def emit(ids, n, grams, owner):
-        size, sid = set_ids(grams, owner, n)
-        return pa.RecordBatch.from_pydict({"id": ids, "n": pa.array(size), "sid": _signed(sid), "bits": bit_sets(grams, owner, size)})
+    def start():
+        sketch, id_type = np.zeros(1 << SKETCH_BITS, np.int64), []
 
-    return _over_texts(documents, id_col, text_col, width, f"id {kind}, n long, sid long, bits array<long>", emit)
+        def emit(ids, n, grams, owner):
+            np.add(sketch, np.bincount(slots(grams), minlength=len(sketch)), out=sketch)
+            id_type[:] = [ids.type]
+            size, sid = set_ids(grams, owner, n)
+            return pa.RecordBatch.from_arrays([ids, pa.array(size), _signed(sid), bit_sets(grams, owner, size), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
 
+        def finish():
+            if id_type and sketch.any():
+                own = sketch.reshape(-1, 1 << _BLOCK_BITS)
+                at = np.flatnonzero(own.any(1))
+                told = [own[b].astype(np.uint8 if own[b].max() < 256 else np.int64).tobytes() for b in at]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), t) for t in (id_type[0], *types[:3])] + [pa.array(at.astype(np.int32)), pa.array(told, pa.binary())], names)
 
-def frequent_columns(documents: DataFrame, width: int, id_col: str, text_col: str, least: int = 8, most: int = 100_000, held: int = 3_000_000) -> np.ndarray:
-    """Hashes of n-grams that many texts share, at most `most`. They only order columns: no result depends on them.
+        return emit, finish
 
-    An n-gram counts if `least` texts share it among the texts of some `held` n-grams that one task reads in turn.
-    """
-    schema = "h long, n long"
-    waiting: list[np.ndarray] = []
-
-    def flush():
-        h, c = np.unique(np.concatenate(waiting), return_counts=True)
-        waiting.clear()
-        often = c >= least
-        return pa.RecordBatch.from_pydict({"h": _signed(h[often]), "n": pa.array(c[often])})
-
-    def emit(ids, n, grams, owner):
-        waiting.append(grams)
-        return flush() if sum(map(len, waiting)) >= held else None
-
-    counted = _over_texts(documents, id_col, text_col, width, schema, emit, lambda: flush() if waiting else None).groupBy("h").agg(F.sum("n").alias("n"))
-    found = counted.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
-    return np.sort(found.column(0).to_numpy().view(np.uint64)) if found.num_rows else np.empty(0, np.uint64)
-
-
-def entries(documents: DataFrame, width: int, percent: int, frequent, id_col: str, text_col: str) -> DataFrame:
-    """(h, sid, n, place): each set's first columns in the common order."""
-
-    def emit(ids, n_texts, grams, owner):
-        size, sid = set_ids(grams, owner, n_texts)
-        _, one = np.unique(sid, return_index=True)  # copies within the batch
-        chosen = np.zeros(n_texts, bool)
-        chosen[one] = True
-        keep = chosen[owner]
-        grams, owner = grams[keep], owner[keep]
-        size = np.where(chosen, size, 0)
-        often = frequent.value
-        late = np.zeros(len(grams), bool)
-        if len(often):
-            at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
-            late = often[at] == grams
-        # Within a text, frequent ones come last, each part by hash.
-        begin = np.cumsum(size) - size
-        rank = np.arange(len(grams)) - begin[owner]
-        late_before = np.cumsum(late) - late
-        late_before = late_before - late_before[begin[owner]] if len(grams) else late_before
-        early = np.bincount(owner[~late], minlength=n_texts)
-        place = np.where(late, early[owner] + late_before, rank - late_before)
-        first = size - -(-percent * size // 100) + 1
-        keep = place < first[owner]
-        owner = owner[keep]
-        return pa.RecordBatch.from_pydict({"h": _signed(grams[keep]), "sid": _signed(sid[owner]), "n": pa.array(size[owner].astype(np.int32)), "place": pa.array(place[keep].astype(np.int32))})
-
-    return _over_texts(documents, id_col, text_col, width, _ENTRY, emit)
-
-
-_ENTRY = "h long, sid long, n int, place int"
-_SHARED = ["h", "sid", "n", "place", "p_sid", "p_n", "p_place"]
+    return _over_texts(documents, id_col, text_col, width, f"id {kind}, n long, sid long, bits array<long>, block int, counts binary", start)
+
+
+def column_counts(sigs: DataFrame) -> np.ndarray:
+    """The sketch: in how many texts the n-grams of each counter stand. Tasks' parts are added up block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = raw.as_buffer()
+                found = np.frombuffer(raw, np.uint8 if raw.size == 1 << _BLOCK_BITS else np.int64)
+                sums[b] = sums[b] + found if b in sums else found.astype(np.int64)
+        for b, found in sums.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": pa.array([np.minimum(found, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+
+    out = np.zeros((1 << (SKETCH_BITS - _BLOCK_BITS), 1 << _BLOCK_BITS), np.int32)
+    summed = sigs.filter("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(run, "block int, counts binary")
+    for r in summed.toLocalIterator():  # as many rows as blocks
+        out[r.block] = np.frombuffer(r.counts, np.int32)
+    return out.ravel()
+
+
+def extension(size):
+    """How many columns beyond the first that could be shared a set of so many enters, itself included."""
+    return 1 + size // 32
+
+
+def entries(documents: DataFrame, width: int, percent: int, sketch, id_col: str, text_col: str, hot: int) -> DataFrame:
+    """(h, part, sid, n, place): each set's first columns in the common order; part is -1 but in hot columns."""
+
+    def start():
+        counts = sketch.value
+
+        def emit(ids, n_texts, grams, owner):
+            size, sid = set_ids(grams, owner, n_texts)
+            _, one = np.unique(sid, return_index=True)  # copies within the batch
+            chosen = np.zeros(n_texts, bool)
+            chosen[one] = True
+            keep = chosen[owner]
+            grams, owner = grams[keep], owner[keep]
+            size = np.where(chosen, size, 0)
+            often = counts[slots(grams)].astype(np.int64)
+            # N-grams come by text and hash; now by text, count and hash.
+            order = np.argsort(owner << 32 | often, kind="stable")
+            grams, owner, often = grams[order], owner[order], often[order]
+            place = np.arange(len(grams)) - (np.cumsum(size) - size)[owner]
+            first = size - -(-percent * size // 100) + extension(size)
+            keep = place < first[owner]
+            grams, owner, often, place = grams[keep], owner[keep], often[keep], place[keep]
+            parts = often // hot + 1
+            part = np.where(parts > 1, (C.mix(sid[owner]) % parts.astype(np.uint64)).astype(np.int64), -1)
+            return pa.RecordBatch.from_pydict({"h": _signed(grams), "part": pa.array(part.astype(np.int32)), "sid": _signed(sid[owner]), "n": pa.array(size[owner].astype(np.int32)), "place": pa.array(place.astype(np.int32))})
+
+        return emit, lambda: ()
+
+    return _over_texts(documents, id_col, text_col, width, "h long, part int, sid long, n int, place int", start)
 
 
 def shared_entries(found: DataFrame, pivots: int) -> DataFrame:
     """Entries of columns that two or more sets share, each once, with the column's pivot (p_sid, p_n, p_place).
 
-    The pivot is the set that comes first by a hash that each of `pivots` kinds of column draws anew.
+    The pivot is the set that comes first by a hash that each of `pivots` kinds of column draws anew. A hot column's parts
+    have pivots of their own, and all their entries stay.
     """
+    names = ["h", "sid", "n", "place", "p_sid", "p_n", "p_place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by column, pivots first. A column may go on in the next batch: its last row and pivot are kept.
+        # Rows come sorted by column and part, pivots first. A column may go on in the next batch: its last row and pivot are kept.
         last, pivot, given = None, None, False
         for batch in batches:
-            t = [batch.column(i).to_numpy() for i in range(4)]
-            if not len(t[0]):
+            h, part, *t = (batch.column(i).to_numpy() for i in range(5))
+            if not len(h):
                 continue
             if last is not None:
-                t = [np.concatenate((x, y)) for x, y in zip(last, t, strict=True)]
-            new = np.ones(len(t[0]), bool)
-            new[1:] = (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1])
-            t = [x[new] for x in t]
-            same = t[0][1:] == t[0][:-1]
+                h, part, *t = (np.concatenate((x, y)) for x, y in zip(last, (h, part, *t), strict=True))
+            same = (h[1:] == h[:-1]) & (part[1:] == part[:-1])
+            new = np.ones(len(h), bool)
+            new[1:] = ~same | (t[0][1:] != t[0][:-1])
+            h, part, *t = (x[new] for x in (h, part, *t))
+            same = (h[1:] == h[:-1]) & (part[1:] == part[:-1])
             start = np.concatenate(([0], np.flatnonzero(~same) + 1))
-            of_run = np.repeat(start, np.diff(np.append(start, len(t[0]))))
-            p = [x[of_run] for x in t[1:]]
+            of_run = np.repeat(start, np.diff(np.append(start, len(h))))
+            p = [x[of_run] for x in t]
             if pivot is not None:
                 for x, v in zip(p, pivot, strict=True):
                     x[of_run == 0] = v
-            shared = np.zeros(len(t[0]), bool)
-            shared[1:] |= same
-            shared[:-1] |= same
-            out = shared.copy()
+            out = part >= 0
+            out[1:] |= same
+            out[:-1] |= same
+            kept = bool(out[-1]) or (len(out) == 1 and given)
             if given:
                 out[0] = False
-            given = bool(out[-1]) or (len(out) == 1 and given)
-            last, pivot = [x[-1:] for x in t], [x[-1] for x in p]
-            yield pa.RecordBatch.from_pydict({c: pa.array(x[out]) for c, x in zip(_SHARED, [*t, *p], strict=True)})
+            given = kept
+            last, pivot = [x[-1:] for x in (h, part, *t)], [x[-1] for x in p]
+            yield pa.RecordBatch.from_pydict({c: pa.array(x[out]) for c, x in zip(names, [h, *t, *p], strict=True)})
 
     order = F.xxhash64("sid", F.pmod("h", F.lit(pivots)))
-    dealt = found.repartition("h").sortWithinPartitions("h", order, "sid")
+    dealt = found.repartition("h", "part").sortWithinPartitions("h", "part", order, "sid")
     return dealt.mapInArrow(run, "h long, sid long, n int, place int, p_sid long, p_n int, p_place int")
 
 
@@ -218,31 +247,46 @@ def least_common(m, n, percent: int):
     return F.ceil(percent * (m.cast("long") + n) / (100 + percent))
 
 
-def whole_sets(documents: DataFrame, pairs: DataFrame, firsts: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(sid, grams) of the sets in pairs, from one document of each: `firsts` has (sid, id)."""
-    spark = documents.sparkSession
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(firsts.select("sid", "id"), "sid").select("id")
-    bit = F.shiftrightunsigned(F.xxhash64("id"), 64 - _NEED_BITS)
+def _asked_texts(documents: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Texts of the documents asked for by id, and maybe some more: by broadcast ids if few, by a bitmap of their hashes
+    (bounded by eight bits for each of BITMAP_IDS), else by a shuffle."""
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    count = asked.count()
+    if not FEW_IDS < count <= BITMAP_IDS:
+        return docs.join(F.broadcast(asked) if count <= FEW_IDS else asked, "id", "left_semi").select("text")
+    size = max(6, (8 * count - 1).bit_length())
+    bit = F.shiftrightunsigned(F.xxhash64("id"), 64 - size)
     words = asked.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (_NEED_BITS - 6), np.int64)
+    bitmap = np.zeros(1 << (size - 6), np.int64)
     bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    shared = spark.sparkContext.broadcast(bitmap)
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), bit.alias("bit"))
+    shared = documents.sparkSession.sparkContext.broadcast(bitmap)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value.view(np.uint64)
         for batch in batches:
-            b = batch.column(2).to_numpy()
+            b = batch.column(1).to_numpy()
             keep = (bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
-            for at, to, texts in C.text_groups(batch.filter(pa.array(keep.astype(bool))).column(1), 4 << 20):
-                grams, owner = text_sets(texts, width)
-                size, sid = set_ids(grams, owner, len(texts))
-                _, one = np.unique(sid, return_index=True)
-                ends = np.cumsum(size)
-                full = [grams[ends[i] - size[i] : ends[i]].view(np.int64) for i in one.tolist()]
-                yield pa.RecordBatch.from_pydict({"sid": _signed(sid[one]), "grams": pa.array(full, pa.list_(pa.int64()))})
+            yield batch.select(["text"]).filter(pa.array(keep.astype(bool)))
+
+    return docs.select("text", bit.alias("bit")).mapInArrow(wanted, "text string")
+
+
+def whole_sets(documents: DataFrame, pairs: DataFrame, firsts: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(sid, grams) of the sets in pairs, from one document of each: `firsts` has (sid, id)."""
+    asked = C.staged(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(firsts.select("sid", "id"), "sid").select("id"), "asked")
+
+    def start():
+        def emit(ids, n, grams, owner):
+            size, sid = set_ids(grams, owner, n)
+            _, one = np.unique(sid, return_index=True)
+            ends = np.cumsum(size)
+            full = [grams[ends[i] - size[i] : ends[i]].view(np.int64) for i in one.tolist()]
+            return pa.RecordBatch.from_pydict({"sid": _signed(sid[one]), "grams": pa.array(full, pa.list_(pa.int64()))})
+
+        return emit, lambda: ()
 
-    return docs.mapInArrow(wanted, "sid long, grams array<long>")
+    texts = _asked_texts(documents, asked, id_col, text_col).select(F.lit(0).alias("id"), "text")
+    return _over_texts(texts, "id", "text", width, "sid long, grams array<long>", start)
 
 
 def possible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
@@ -322,15 +366,27 @@ def _dealt(rows: DataFrame, large: DataFrame, block: int) -> DataFrame:
 
 
 def _meetings(rows: DataFrame, percent: int, reach: int | None) -> DataFrame:
-    """(a, b, c) of sets of different groups within the bounds that meet in a run of equal (h, i, j), c times in all.
+    """(a, b, c) of sets of different groups that meet within the bounds in a run of equal (h, i, j), c times in all.
 
     Rows come dealt and sorted. With reach, a set meets only those at most so many rows on; without, rows of a run come by
-    group, and a set meets all those of later groups.
+    group, and a set meets all those of later groups: then c counts all columns that the two share among their first
+    n - least + l, of which linked sets share l = extension(the smaller size) at least, and pairs of fewer are discarded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def added_up() -> pa.RecordBatch:
+            a, b, l, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((b, a))
+            a, b, l, c = a[order], b[order], l[order], c[order]
+            first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            held[:] = [(a[first], b[first], l[first], np.add.reduceat(c, first))]
+            return pa.RecordBatch.from_pydict(dict(zip("ablc", map(pa.array, held[0]), strict=True)))
+
+        size = 0
         for t in _whole_runs(batches):
-            found = []
             new = np.any([t[c][1:] != t[c][:-1] for c in ("h", "i", "j")], axis=0)
             ends = lambda new: np.repeat(e := np.append(np.flatnonzero(new) + 1, len(t["h"])), np.diff(np.concatenate(([0], e))))  # noqa: E731, B023
             end = ends(new)
@@ -340,21 +396,29 @@ def _meetings(rows: DataFrame, percent: int, reach: int | None) -> DataFrame:
             d = 0
             while (reach is None or d < reach) and len(left := left[after[left] + d < end[left]]):
                 p, q = left, after[left] + d
-                least = -(-percent * (n[p] + n[q]) // (100 + percent))
-                ok = (spare[p] >= least) & (spare[q] >= least) & (t["g"][p] != t["g"][q]) & ((t["i"][p] == t["j"][p]) | (t["own"][p] != t["own"][q]))
-                found.append((t["sid"][p[ok]], t["sid"][q[ok]]))
+                l = extension(np.minimum(n[p], n[q])) if reach is None else np.ones(len(p), np.int64)
+                short = -(-percent * (n[p] + n[q]) // (100 + percent)) - l  # in which they may share all but l
+                ok = (spare[p] > short) & (spare[q] > short) & (t["g"][p] != t["g"][q]) & ((t["i"][p] == t["j"][p]) | (t["own"][p] != t["own"][q]))
+                if ok.any():
+                    held.append((t["sid"][p[ok]], t["sid"][q[ok]], l[ok], np.ones(int(ok.sum()), np.int64)))
+                    size += len(held[-1][0])
+                if size > 1_000_000:
+                    out = added_up()
+                    size = len(held[0][0])
+                    if size > 500_000:
+                        yield out
+                        held, size = [], 0
                 d += 1
-            if found:
-                a, b = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-                pair, c = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1]), "c": pa.array(c)})
+        if held:
+            yield added_up()
 
-    return rows.mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    met = rows.mapInArrow(run, "a long, b long, l long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("l").alias("l"))
+    return (met.filter("c >= l") if reach is None else met).select("a", "b", "c")
 
 
-def _lined_up(rows: DataFrame, large: DataFrame, kinds: int, block: int) -> DataFrame:
+def _lined_up(rows: DataFrame, large: DataFrame, kinds: int, block: int, seed: int) -> DataFrame:
     """Entries in an order that a hash of one of `kinds` draws; a large column is cut into runs of about `block` entries."""
-    order = F.xxhash64("sid", F.pmod("h", F.lit(kinds)))
+    order = F.xxhash64("sid", F.pmod("h", F.lit(kinds)), F.lit(seed))
     runs = F.coalesce(F.ceil(F.col("size") / block), F.lit(1))
     rows = rows.join(large, "h", "left").withColumn("o", order)
     # Runs are ranges of the order: of its 32 high bits, from 0 up.
@@ -363,10 +427,10 @@ def _lined_up(rows: DataFrame, large: DataFrame, kinds: int, block: int) -> Data
     return rows.repartition("h", "i").sortWithinPartitions("h", "i", "o").drop("o")
 
 
-def neighbour_pairs(shared: DataFrame, groups: DataFrame, percent: int, kinds: int, reach: int, tries: int, block: int) -> DataFrame:
+def neighbour_pairs(shared: DataFrame, groups: DataFrame, percent: int, kinds: int, reach: int, tries: int, block: int, seed: int) -> DataFrame:
     """(a, b): in an order that a hash of one of `kinds` draws, each set meets the next `reach` of its column's run; it
     goes on with the `tries` sets of other groups that it meets most."""
-    met = _meetings(_lined_up(_named(shared, groups), _large_columns(shared, block), kinds, block), percent, reach)
+    met = _meetings(_lined_up(_named(shared, groups), _large_columns(shared, block), kinds, block, seed), percent, reach)
     both = met.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "c").select("p.x", "p.y", "c")
     best = both.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).filter(F.col("r") <= tries)
     return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -396,13 +460,13 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndar
         yield held
 
 
-def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", pivots: int = 16, tries: int = 2, reach: int = 16, block: int = 2000) -> DataFrame:
+def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", pivots: int = 16, tries: int = 2, reach: int = 16, block: int = 2000, hot: int = HOT) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id of all documents that links reach)."""
     spark = documents.sparkSession
-    C.small_batches(spark)
-    sigs = C.staged(signatures(documents, width, id_col, text_col), "signatures")
-    frequent = spark.sparkContext.broadcast(frequent_columns(documents, width, id_col, text_col))
-    shared = C.staged(shared_entries(entries(documents, width, percent, frequent, id_col, text_col), pivots), "entries")
+    told = C.staged(signatures(documents, width, id_col, text_col), "signatures")
+    sigs = told.filter("block IS NULL").select("id", "n", "sid", "bits")
+    sketch = spark.sparkContext.broadcast(column_counts(told))
+    shared = C.staged(shared_entries(entries(documents, width, percent, sketch, id_col, text_col, hot), pivots), "entries")
     firsts = C.staged(sigs.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
@@ -410,14 +474,19 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_c
         sets = whole_sets(documents, pairs, firsts, width, id_col, text_col)
         return C.staged(confirmed(pairs, sets, percent), name)
 
-    near = links(pivot_pairs(shared, percent, tries), "pivot-links")
-    groups = C.staged(connected_components(near, "a", "b"), "groups")
-    rounds = {"neighbour-links": lambda g: neighbour_pairs(shared, g, percent, 4, reach, 2 * tries, block), "crossing-links": lambda g: crossing_pairs(shared, g, percent, block)}
-    for name, pairs in rounds.items():
-        more = links(pairs(groups), name)
-        if not more.isEmpty():
-            # Groups so far are stars around their roots.
-            groups = C.staged(connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"), "groups")
+    def united(groups: DataFrame, more: DataFrame) -> DataFrame:
+        # Groups so far are stars around their roots.
+        return C.staged(connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"), "groups")
+
+    groups = C.staged(connected_components(links(pivot_pairs(shared, percent, tries), "pivot-links"), "a", "b"), "groups")
+    # Columns of no more sets than `reach` need no neighbours: their pairs are few.
+    dense = shared.join(_large_columns(shared, reach).select("h"), "h", "left_semi")
+    dense, seed = C.staged(dense, "dense-entries"), 0
+    while not (more := links(neighbour_pairs(dense, groups, percent, 4, reach, 2 * tries, block, seed), "neighbour-links")).isEmpty():
+        groups, seed = united(groups, more), seed + 1
+    more = links(crossing_pairs(shared, groups, percent, block), "crossing-links")
+    if not more.isEmpty():
+        groups = united(groups, more)
     # Only ids are joined: groups are over sets, and each set's smallest id stands for its copies.
     by_set = firsts.select("sid", "id").join(groups, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("g"), "id")
     least = by_set.groupBy("g").agg(F.min("id").alias("component_id"))

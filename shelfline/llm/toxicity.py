@@ -97,7 +97,6 @@ def fit(sample: pa.Table, bits: int, passes: int, alpha: float, l1: float, l2: f
 def score_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 6000, bits: int = 20, passes: int = 4, alpha: float = 0.3, l1: float = 0.07, l2: float = 1.0) -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
     spark = documents.sparkSession
-    C.small_batches(spark)
     sample = labelled_features(documents, labels, label, C.crc_mod(id_col, folds) != held, most_rows, bits, id_col, text_col)
     at, weight = fit(sample, bits, passes, alpha, l1, l2)
     shared = spark.sparkContext.broadcast((at, weight))

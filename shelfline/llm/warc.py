@@ -207,7 +207,6 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, dict_rows: int = 200, archive_bytes: int = 64 << 20) -> DataFrame:
     """Writes the pages' archives and their manifest under `folder` and returns the manifest."""
     spark = pages.sparkSession
-    C.small_batches(spark, 500)
     dictionary = train_dictionary(pages.select(F.col(html_col)), dict_rows)
     rows = with_duplicates(pages, least_bytes, id_col, url_col, html_col)
     manifest = write_archives(rows, f"{folder}/archives", dictionary, archive_bytes)

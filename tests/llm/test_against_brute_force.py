@@ -100,10 +100,10 @@ def test_blocks_of_one_group_do_not_meet(spark):
 
 def test_neighbours_of_a_large_column_are_in_many_runs(spark):
     shared, groups = entries_of(spark, [3000, 2000])
-    rows = shingles._lined_up(shingles._named(shared, groups), shingles._large_columns(shared, 100), 4, 100)
+    rows = shingles._lined_up(shingles._named(shared, groups), shingles._large_columns(shared, 100), 4, 100, 0)
     sizes = [r["count"] for r in rows.groupBy("h", "i").count().collect()]
     assert sum(sizes) == 5000 and len(sizes) == 50 and max(sizes) <= 200
-    assert shingles.neighbour_pairs(shared, groups, 75, 4, 16, 4, 100).count() > 0
+    assert shingles.neighbour_pairs(shared, groups, 75, 4, 16, 4, 100, 0).count() > 0
 
 
 def test_bpe(spark, texts):
