@@ -22,8 +22,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, most_rounds: int
     """(node, root) for every node of an edge; root is the component's smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). Each step takes a node's smallest neighbour by a
-    map-side combined minimum and joins it back; minima of nodes with more than a ten-thousandth of the edges are broadcast
-    (at most 20,000 rows), so that no node's neighbours are ever gathered in one place. Rounds needed grow with the
+    map-side combined minimum and joins it back; minima of nodes with more than 20,000 edges
+    and a ten-thousandth of all are broadcast (at most 20,000 rows), so that no node's neighbours are ever gathered in one place. Rounds needed grow with the
     logarithm of the edges. Edges with a null end are ignored; a loop names a node of its own.
     """
     kept = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, most_rounds: int
     mark = None
     size = state.count()
     for _ in range(most_rounds):
-        most = max(1000, size // 10_000)
+        most = max(20_000, size // 10_000)
         split = size > most
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d")
