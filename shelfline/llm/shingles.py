@@ -10,10 +10,11 @@ The method is a blocked sparse product of the document by n-gram incidence matri
   among the first n - least + l of either: only these columns of a set make entries (a quarter of it, and some for l);
 * the product's overlap counts are added up over these columns, and a pair of fewer than l, which grows with the smaller
   size, is discarded; in columns beyond those places a pair needn't meet at all;
-* so that copies in a group never make all their pairs, only sets of different groups meet, and groups are found first:
+* copies in a group never make all their pairs: only sets of different groups meet, and groups are found first:
   in each column, sets meet a pivot, drawn by a hash of one of `pivots` kinds; each set goes on with the `tries` pivots that
   it meets most, and those found similar are united. Then sets meet a few neighbours in an order drawn by a hash, in runs
-  of about `block` sets of a column, until a round unites no more. In the product, columns are taken in blocks of `block`
+  of about `block` sets of a column, round by round while these find a tenth of what the round before found. In the
+  product, columns are taken in blocks of `block`
   sets; a column of more is dropped if its sets are all of one group, and a group of more has blocks that don't meet;
 * a pair goes on if bitmaps of its sets (2 to 4 bits for each n-gram) leave the bound in reach, and is confirmed on the
   whole sets.
@@ -480,10 +481,11 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_c
 
     groups = C.staged(connected_components(links(pivot_pairs(shared, percent, tries), "pivot-links"), "a", "b"), "groups")
     # Columns of no more sets than `reach` need no neighbours: their pairs are few.
-    dense = shared.join(_large_columns(shared, reach).select("h"), "h", "left_semi")
-    dense, seed = C.staged(dense, "dense-entries"), 0
-    while not (more := links(neighbour_pairs(dense, groups, percent, 4, reach, 2 * tries, block, seed), "neighbour-links")).isEmpty():
-        groups, seed = united(groups, more), seed + 1
+    dense = C.staged(shared.join(_large_columns(shared, reach).select("h"), "h", "left_semi"), "dense-entries")
+    found, seed = (0, 0) if dense.isEmpty() else (1, 0)
+    while found:
+        before, more = found, links(neighbour_pairs(dense, groups, percent, 4, reach, 2 * tries, block, seed), "neighbour-links")
+        groups, seed, found = united(groups, more) if (found := more.count()) else groups, seed + 1, found if 10 * found > before else 0
     more = links(crossing_pairs(shared, groups, percent, block), "crossing-links")
     if not more.isEmpty():
         groups = united(groups, more)
