@@ -18,31 +18,40 @@ def _with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
     return told.filter("hm IS NOT NULL").select("u", "v", F.col("hm").alias("m")).unionByName(few)
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, most_rounds: int = 60) -> DataFrame:
+#: Edges up to which a graph is worked on in one task: a few MB at most, where shuffles would take longer than the work.
+SMALL = 50_000
+
+
+def connected_components(edges: DataFrame, src: str, dst: str, most_rounds: int = 60, small: int = SMALL) -> DataFrame:
     """(node, root) for every node of an edge; root is the component's smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). Each step takes a node's smallest neighbour by a
     map-side combined minimum and joins it back; minima of nodes with more than 20,000 edges
-    and a ten-thousandth of all are broadcast (at most 20,000 rows), so that no node's neighbours are ever gathered in one place. Rounds needed grow with the
-    logarithm of the edges. Edges with a null end are ignored; a loop names a node of its own.
+    and a ten-thousandth of all are broadcast (at most 20,000 rows), so that no node's neighbours are ever gathered in one
+    place. Rounds needed grow with the logarithm of the edges. At most `small` edges, counted first, take the same steps
+    without shuffles. Edges with a null end are ignored; a loop names a node of its own.
     """
-    kept = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
-    nodes = kept.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    kept = staged(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL"), "edges")
+    size = kept.count()
+    together = (lambda df: df.coalesce(1)) if size <= small else (lambda df: df)
+    met = (lambda df: df.hint("merge")) if size <= small else (lambda df: df)
+    nodes = together(kept).select(F.explode(F.array("u", "v")).alias("node")).distinct()
     # Each edge points from the larger node u to the smaller v.
-    state = staged(kept.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    state = together(kept).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     mark = None
-    size = state.count()
     for _ in range(most_rounds):
         most = max(20_000, size // 10_000)
-        split = size > most
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        split = size > max(most, small)
+        both = together(state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d")
-        large = (_with_least(both, least, most) if split else both.join(least, "u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = (_with_least(both, least, most) if split else both.join(met(least), "u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
-        small = (_with_least(large, least, most) if split else large.join(least, "u")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        state = staged(small, "edges")
+        joined = _with_least(large, least, most) if split else large.join(met(least), "u")
+        new = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        state = together(staged(together(new).distinct(), "edges"))
         size, mixed = state.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if (size, mixed) == mark:
-            return nodes.join(state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+            roots = state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+            return nodes.join(met(roots), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
         mark = size, mixed
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
