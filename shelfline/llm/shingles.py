@@ -13,9 +13,9 @@ The method is a blocked sparse product of the document by n-gram incidence matri
 * copies in a group never make all their pairs: only sets of different groups meet, and groups are found first:
   in each column, sets meet a pivot, drawn by a hash of one of `pivots` kinds; each set goes on with the `tries` pivots that
   it meets most, and those found similar are united. Then sets meet a few neighbours in an order drawn by a hash, in runs
-  of about `block` sets of a column, round by round while these find a tenth of what the round before found. In the
-  product, columns are taken in blocks of `block`
-  sets; a column of more is dropped if its sets are all of one group, and a group of more has blocks that don't meet;
+  of about `block` sets of a column, round by round while these find a tenth of the links that the round before found. In
+  the product, columns are taken in blocks of `block` sets; a column of more is dropped if its sets are all of one group, and a group of more has blocks that don't meet;
+* in columns of many sets a pair counts only if parities of its sets in 256 counters don't tell it apart;
 * a pair goes on if bitmaps of its sets (2 to 4 bits for each n-gram) leave the bound in reach, and is confirmed on the
   whole sets.
 
@@ -43,6 +43,7 @@ from shelfline.operators.graph import connected_components
 SKETCH_BITS, _BLOCK_BITS = 21, 15
 #: Entries of one column that go to one task: a column of more, by its sketch, is dealt in parts.
 HOT = 20_000
+_PARITY = ("p0", "p1", "p2", "p3")
 #: Asked sets up to which their ids are broadcast, and up to which a bitmap of eight bits for each stands in for them.
 FEW_IDS, BITMAP_IDS = 300_000, 1 << 24
 
@@ -112,16 +113,24 @@ def bit_sets(grams: np.ndarray, owner: np.ndarray, size: np.ndarray) -> pa.ListA
     return pa.ListArray.from_arrays(pa.array((np.append(begin, width.sum()) // 64).astype(np.int32)), pa.array(words))
 
 
+def parities(grams: np.ndarray, owner: np.ndarray, n_texts: int) -> np.ndarray:
+    """Four 64-bit words for each text: of 256 counters, whether an odd number of its n-grams fall there. As many bits as
+    two texts differ in, so many n-grams at least does only one of them have."""
+    at = owner * 256 + (grams & np.uint64(255)).astype(np.int64)
+    odd = (np.bincount(at, minlength=256 * n_texts) & 1).astype(bool)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(n_texts, 4)
+
+
 def slots(grams: np.ndarray) -> np.ndarray:
     """Each n-gram's counter of the sketch."""
     return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def signatures(documents: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, sid, bits) of each document, and for each task the rows (block, counts) of its part of the sketch."""
+    """(id, n, sid, bits, p0 to p3) of each document, and for each task the rows (block, counts) of its part of the sketch."""
     kind = documents.schema[id_col].dataType.simpleString()
-    names = ["id", "n", "sid", "bits", "block", "counts"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    names = ["id", "n", "sid", "bits", *_PARITY, "block", "counts"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * 4]
 
     def start():
         sketch, id_type = np.zeros(1 << SKETCH_BITS, np.int64), []
@@ -130,18 +139,18 @@ def signatures(documents: DataFrame, width: int, id_col: str, text_col: str) ->
             np.add(sketch, np.bincount(slots(grams), minlength=len(sketch)), out=sketch)
             id_type[:] = [ids.type]
             size, sid = set_ids(grams, owner, n)
-            return pa.RecordBatch.from_arrays([ids, pa.array(size), _signed(sid), bit_sets(grams, owner, size), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([ids, pa.array(size), _signed(sid), bit_sets(grams, owner, size), *map(pa.array, parities(grams, owner, n).T), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
 
         def finish():
             if id_type and sketch.any():
                 own = sketch.reshape(-1, 1 << _BLOCK_BITS)
                 at = np.flatnonzero(own.any(1))
                 told = [own[b].astype(np.uint8 if own[b].max() < 256 else np.int64).tobytes() for b in at]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), t) for t in (id_type[0], *types[:3])] + [pa.array(at.astype(np.int32)), pa.array(told, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), t) for t in (id_type[0], *types)] + [pa.array(at.astype(np.int32)), pa.array(told, pa.binary())], names)
 
         return emit, finish
 
-    return _over_texts(documents, id_col, text_col, width, f"id {kind}, n long, sid long, bits array<long>, block int, counts binary", start)
+    return _over_texts(documents, id_col, text_col, width, f"id {kind}, n long, sid long, bits array<long>, {', '.join(f'{p} long' for p in _PARITY)}, block int, counts binary", start)
 
 
 def column_counts(sigs: DataFrame) -> np.ndarray:
@@ -203,7 +212,8 @@ def entries(documents: DataFrame, width: int, percent: int, sketch, id_col: str,
 def shared_entries(found: DataFrame, pivots: int) -> DataFrame:
     """Entries of columns that two or more sets share, each once, with the column's pivot (p_sid, p_n, p_place).
 
-    The pivot is the set that comes first by a hash that each of `pivots` kinds of column draws anew. A hot column's parts
+    The pivot is the set that comes first by a hash that each of `pivots` kinds of column draws anew, in half of the kinds
+    after the number of columns before this one. A hot column's parts
     have pivots of their own, and all their entries stay.
     """
     names = ["h", "sid", "n", "place", "p_sid", "p_n", "p_place"]
@@ -238,7 +248,10 @@ def shared_entries(found: DataFrame, pivots: int) -> DataFrame:
             last, pivot = [x[-1:] for x in (h, part, *t)], [x[-1] for x in p]
             yield pa.RecordBatch.from_pydict({c: pa.array(x[out]) for c, x in zip(names, [h, *t, *p], strict=True)})
 
-    order = F.xxhash64("sid", F.pmod("h", F.lit(pivots)))
+    kind = F.pmod("h", F.lit(pivots))
+    drawn = F.xxhash64("sid", kind)
+    # Of every other kind the set that has the fewest rarer columns: of near copies, the one nearest to what they share.
+    order = F.when(kind % 2 == 0, F.shiftleft(F.col("place").cast("long"), 40) + F.shiftrightunsigned(drawn, 24)).otherwise(drawn)
     dealt = found.repartition("h", "part").sortWithinPartitions("h", "part", order, "sid")
     return dealt.mapInArrow(run, "h long, sid long, n int, place int, p_sid long, p_n int, p_place int")
 
@@ -327,7 +340,8 @@ def pivot_pairs(shared: DataFrame, percent: int, tries: int) -> DataFrame:
 
 def _named(shared: DataFrame, groups: DataFrame) -> DataFrame:
     """Entries with their groups."""
-    return shared.select("h", "sid", "n", "place").join(groups, F.col("sid") == F.col("node"), "left").select("h", "sid", "n", "place", F.coalesce("root", "sid").alias("g"))
+    own = [c for c in ("h", "sid", "n", "place", *_PARITY) if c in shared.columns]
+    return shared.select(*own).join(groups, F.col("sid") == F.col("node"), "left").select(*own, F.coalesce("root", "sid").alias("g"))
 
 
 def _large_columns(shared: DataFrame, block: int) -> DataFrame:
@@ -363,7 +377,8 @@ def _dealt(rows: DataFrame, large: DataFrame, block: int) -> DataFrame:
     # A set of block k meets blocks k to last as the first part, and blocks 0 to k as the second; none of its own group alone.
     met = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: ~F.col("whole") | (j < F.col("first")) | (j >= F.col("first") + F.col("own_blocks")))
     k = F.explode(F.transform(met, lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), own.alias("own"))))
-    return rows.select("h", "sid", "n", "place", "g", k.alias("k")).select("h", "k.i", "k.j", "k.own", "sid", "n", "place", "g")
+    own_columns = [c for c in ("sid", "n", "place", "g", *_PARITY) if c in rows.columns]
+    return rows.select("h", *own_columns, k.alias("k")).select("h", "k.i", "k.j", "k.own", *own_columns)
 
 
 def _meetings(rows: DataFrame, percent: int, reach: int | None) -> DataFrame:
@@ -372,8 +387,11 @@ def _meetings(rows: DataFrame, percent: int, reach: int | None) -> DataFrame:
     Rows come dealt and sorted. With reach, a set meets only those at most so many rows on; without, rows of a run come by
     group, and a set meets all those of later groups: then c counts all columns that the two share among their first
     n - least + l, of which linked sets share l = extension(the smaller size) at least, and pairs of fewer are discarded.
+    Where rows have parities (0 where they have none), pairs that these tell apart don't count.
     """
 
+    names = "ablc" if reach is None else "abc"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -384,7 +402,8 @@ def _meetings(rows: DataFrame, percent: int, reach: int | None) -> DataFrame:
             a, b, l, c = a[order], b[order], l[order], c[order]
             first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
             held[:] = [(a[first], b[first], l[first], np.add.reduceat(c, first))]
-            return pa.RecordBatch.from_pydict(dict(zip("ablc", map(pa.array, held[0]), strict=True)))
+            out = dict(zip("ablc", map(pa.array, held[0]), strict=True))
+            return pa.RecordBatch.from_pydict({x: out[x] for x in names})
 
         size = 0
         for t in _whole_runs(batches):
@@ -400,6 +419,10 @@ def _meetings(rows: DataFrame, percent: int, reach: int | None) -> DataFrame:
                 l = extension(np.minimum(n[p], n[q])) if reach is None else np.ones(len(p), np.int64)
                 short = -(-percent * (n[p] + n[q]) // (100 + percent)) - l  # in which they may share all but l
                 ok = (spare[p] > short) & (spare[q] > short) & (t["g"][p] != t["g"][q]) & ((t["i"][p] == t["j"][p]) | (t["own"][p] != t["own"][q]))
+                if "p0" in t:
+                    near = np.flatnonzero(ok)
+                    odd = sum(np.bitwise_count(t[x][p[near]] ^ t[x][q[near]]).astype(np.int64) for x in _PARITY)
+                    ok[near] = odd <= n[p[near]] + n[q[near]] - 2 * (short + l)[near]
                 if ok.any():
                     held.append((t["sid"][p[ok]], t["sid"][q[ok]], l[ok], np.ones(int(ok.sum()), np.int64)))
                     size += len(held[-1][0])
@@ -413,8 +436,10 @@ def _meetings(rows: DataFrame, percent: int, reach: int | None) -> DataFrame:
         if held:
             yield added_up()
 
-    met = rows.mapInArrow(run, "a long, b long, l long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("l").alias("l"))
-    return (met.filter("c >= l") if reach is None else met).select("a", "b", "c")
+    met = rows.mapInArrow(run, ", ".join(f"{x} long" for x in names)).groupBy("a", "b")
+    if reach is not None:
+        return met.agg(F.sum("c").alias("c"))
+    return met.agg(F.sum("c").alias("c"), F.max("l").alias("l")).filter("c >= l").select("a", "b", "c")
 
 
 def _lined_up(rows: DataFrame, large: DataFrame, kinds: int, block: int, seed: int) -> DataFrame:
@@ -443,6 +468,13 @@ def crossing_pairs(shared: DataFrame, groups: DataFrame, percent: int, block: in
     return _meetings(rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "g"), percent, None).select("a", "b")
 
 
+def with_parities(shared: DataFrame, dense: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Entries with their sets' parities where columns are dense, else with zeros: there meet few pairs."""
+    told = dense.select("h", "sid", "n", "place").join(firsts.select("sid", *_PARITY), "sid")
+    rest = shared.select("h", "sid", "n", "place").join(dense.select("h").distinct(), "h", "left_anti")
+    return told.unionByName(rest.select("*", *(F.lit(0).cast("long").alias(p) for p in _PARITY)))
+
+
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """Rows sorted by (h, i, j) in pieces that cut no run; a run has about two blocks of sets at most."""
     held = None
@@ -461,14 +493,14 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndar
         yield held
 
 
-def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", pivots: int = 16, tries: int = 2, reach: int = 16, block: int = 2000, hot: int = HOT) -> DataFrame:
+def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", pivots: int = 16, tries: int = 2, reach: int = 8, block: int = 2000, hot: int = HOT) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id of all documents that links reach)."""
     spark = documents.sparkSession
     told = C.staged(signatures(documents, width, id_col, text_col), "signatures")
-    sigs = told.filter("block IS NULL").select("id", "n", "sid", "bits")
+    sigs = told.filter("block IS NULL")
     sketch = spark.sparkContext.broadcast(column_counts(told))
     shared = C.staged(shared_entries(entries(documents, width, percent, sketch, id_col, text_col, hot), pivots), "entries")
-    firsts = C.staged(sigs.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
+    firsts = C.staged(sigs.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), *(F.first(p).alias(p) for p in _PARITY)), "sets")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         pairs = C.staged(possible(pairs, firsts, percent), f"{name}-pairs")
@@ -479,14 +511,17 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_c
         # Groups so far are stars around their roots.
         return C.staged(connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"), "groups")
 
-    groups = C.staged(connected_components(links(pivot_pairs(shared, percent, tries), "pivot-links"), "a", "b"), "groups")
+    near = links(pivot_pairs(shared, percent, tries), "pivot-links")
+    groups = C.staged(connected_components(near, "a", "b"), "groups")
     # Columns of no more sets than `reach` need no neighbours: their pairs are few.
     dense = C.staged(shared.join(_large_columns(shared, reach).select("h"), "h", "left_semi"), "dense-entries")
-    found, seed = (0, 0) if dense.isEmpty() else (1, 0)
-    while found:
-        before, more = found, links(neighbour_pairs(dense, groups, percent, 4, reach, 2 * tries, block, seed), "neighbour-links")
-        groups, seed, found = united(groups, more) if (found := more.count()) else groups, seed + 1, found if 10 * found > before else 0
-    more = links(crossing_pairs(shared, groups, percent, block), "crossing-links")
+    before, seed = 0 if dense.isEmpty() else near.count(), 0
+    while before:
+        more = links(neighbour_pairs(dense, groups, percent, 4, reach, 2 * tries, block, seed), "neighbour-links")
+        if found := more.count():
+            groups = united(groups, more)
+        before, seed = found if 10 * found > before else 0, seed + 1
+    more = links(crossing_pairs(with_parities(shared, dense, firsts), groups, percent, block), "crossing-links")
     if not more.isEmpty():
         groups = united(groups, more)
     # Only ids are joined: groups are over sets, and each set's smallest id stands for its copies.

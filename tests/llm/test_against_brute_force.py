@@ -53,8 +53,8 @@ def plain_groups(texts):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("block", [2000, 3])
-def test_groups_at_the_threshold(spark, block):
+@pytest.mark.parametrize("block, hot", [(2000, shingles.HOT), (3, 4)])
+def test_groups_at_the_threshold(spark, block, hot):
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(60)]
     texts, i = {}, 0
@@ -73,7 +73,7 @@ def test_groups_at_the_threshold(spark, block):
         texts[i] = passage + " " + " ".join(f"own{i}x{k}" for k in range(rng.randrange(1, 40)))
         i += 1
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingles.similar_groups(df, block=block, pivots=2, tries=1, reach=2).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingles.similar_groups(df, block=block, pivots=2, tries=1, reach=2, hot=hot).collect()}
     assert got == plain_groups(texts)
 
 
