@@ -5,7 +5,8 @@ rank array: its part boundaries and, beside each, the rank of the pair that star
 rank is found, the boundary behind it deleted, and the ranks of the two neighbours refreshed. A word's ids are kept in a
 bounded table for the words to come, since a few words make most of a text.
 
-Very long words (over `LONG` bytes) take the same steps with a heap instead of a scan, as scanning would take quadratic time.
+The array of a long word comes in blocks of `BLOCK` parts, each with its own least rank, so that only the least of these
+and one block are scanned for the next merge.
 
 Defined results: null and empty texts have no ids and decode to the empty text; texts of any length are encoded whole;
 repeated rows each get their own row; further columns are ignored.
@@ -14,7 +15,6 @@ repeated rows each get their own row; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +28,7 @@ from shelfline.llm import common as C
 
 #: Fixed value: the pattern by which byte-level tokenizers of this family cut texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG = 512
+BLOCK = 512
 _NONE = 1 << 60
 
 
@@ -65,10 +65,10 @@ class Tokenizer:
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word's parts. Boundary i stands before part i, and ranks[i] is that of the pair around boundary i + 1."""
         parts = [self.letter[b] for b in word]
-        if len(parts) > LONG:
-            return self._merge_long(parts)
         rank = self.rank.get
         ranks = [rank(a << 20 | b, _NONE) for a, b in zip(parts, parts[1:])]
+        if len(parts) > BLOCK:
+            return self._merge_blocks(parts, [*ranks, _NONE])
         while ranks and (least := min(ranks)) != _NONE:
             i = ranks.index(least)
             new = parts[i] = self.merged[least]
@@ -79,29 +79,32 @@ class Tokenizer:
                 ranks[i - 1] = rank(parts[i - 1] << 20 | new, _NONE)
         return parts
 
-    def _merge_long(self, parts: list[int]) -> list[int]:
-        n = len(parts)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def pair(i: int) -> tuple[int, int, int, int] | None:
-            j = after[i]
-            r = self.rank.get(parts[i] << 20 | parts[j], _NONE) if j < n else _NONE
-            return (r, i, parts[i], parts[j]) if r != _NONE else None
-
-        heap = [x for i in range(n - 1) if (x := pair(i))]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            if parts[i] != a or (j := after[i]) >= n or parts[j] != b:
-                continue
-            parts[i], parts[j] = self.merged[r], -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-            for x in (before[i], i):
-                if x >= 0 and (found := pair(x)):
-                    heapq.heappush(heap, found)
-        return [x for x in parts if x >= 0]
+    def _merge_blocks(self, parts: list[int], ranks: list[int]) -> list[int]:
+        """The same, with the array cut into blocks: a part's rank is that of the pair it begins, maybe over a block's end."""
+        rank = self.rank.get
+        cut = range(0, len(parts), BLOCK)
+        parts_of, ranks_of = [parts[i : i + BLOCK] for i in cut], [ranks[i : i + BLOCK] for i in cut]
+        least_of = [min(r) for r in ranks_of]
+        while (least := min(least_of)) != _NONE:
+            b = least_of.index(least)
+            i = ranks_of[b].index(least)
+            new = parts_of[b][i] = self.merged[least]
+            # The part behind goes, which may begin the next block.
+            c, j = (b, i + 1) if i + 1 < len(parts_of[b]) else (b + 1, 0)
+            del parts_of[c][j], ranks_of[c][j]
+            touched = {b, c} if i else {b, c, max(0, b - 1)}
+            if not parts_of[c]:
+                del parts_of[c], ranks_of[c], least_of[c]
+                touched.discard(c)
+            behind = parts_of[b][i + 1] if i + 1 < len(parts_of[b]) else parts_of[b + 1][0] if b + 1 < len(parts_of) else None
+            ranks_of[b][i] = _NONE if behind is None else rank(new << 20 | behind, _NONE)
+            if i:
+                ranks_of[b][i - 1] = rank(parts_of[b][i - 1] << 20 | new, _NONE)
+            elif b:
+                ranks_of[b - 1][-1] = rank(parts_of[b - 1][-1] << 20 | new, _NONE)
+            for x in touched:
+                least_of[x] = min(ranks_of[x])
+        return [x for block in parts_of for x in block]
 
     def encode(self, text: str) -> list[int]:
         kept, out = self.kept, []

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfline.staging import new_path, staged  # noqa: F401 (for the operators)
@@ -30,6 +30,12 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % n
 
 
+def first_rows(rows: DataFrame, size: Column, most: int, *order: str) -> DataFrame:
+    """Of a bounded sample the rows in order whose sizes add up to `most` at most, but one row in any case."""
+    before = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_size", size).filter(F.col("_before") + F.col("_size") <= F.greatest(F.lit(most), F.when(F.col("_before") == 0, F.col("_size")))).orderBy(*order).drop("_before", "_size")
+
+
 def text_groups(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
     """Slices (first, last, UTF-8 texts) of a column, each of about `most` bytes or one text; null is empty.
 

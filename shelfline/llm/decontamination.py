@@ -8,7 +8,7 @@ there, and a direct comparison, word by word and at last byte by byte, confirms
 Patterns reach the executors in blocks of at most `block_windows`, so that what is broadcast never grows past that; a
 larger benchmark takes more passes in the same stage, chained over the documents, and no shuffle.
 
-Defined results: null and empty texts have no words and no hits; null items have no patterns; repeated documents each
+Defined results: null and empty texts have no words and no hits; null items have no patterns, and those of an item of null id hit, though it isn't named; repeated documents each
 get their own row; repeated items keep their own ids; an empty benchmark hits nothing; further columns are ignored.
 """
 
@@ -140,7 +140,7 @@ def search(texts: list[bytes], tables: list[Patterns]) -> list[tuple[int, list[l
             if at + t.m <= first[doc + 1]:
                 cover[at] += 1
                 cover[at + t.m] -= 1
-                items.setdefault(doc, set()).update(t.owners[p])
+                items.setdefault(doc, set()).update(o for o in t.owners[p] if o is not None)
     # An occurrence never leaves its document, so a stretch that reaches a document's end is cut there.
     hit = np.cumsum(cover[:-1]) > 0
     out = []
@@ -157,7 +157,7 @@ def search(texts: list[bytes], tables: list[Patterns]) -> list[tuple[int, list[l
 _RUNS = "array<struct<first:int,last:int>>"
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 2_000_000) -> DataFrame:
+def find_contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 300_000) -> DataFrame:
     """One row per document: id, n_words, hits (stretches of words, last exclusive, disjoint), items (ids as strings, sorted)."""
     spark: SparkSession = documents.sparkSession
     out = documents.select(F.col(id_col), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_RUNS).alias("hits"), F.array().cast("array<string>").alias("items"))

@@ -2,8 +2,8 @@
 
 A text's features are its character 1- to 3-grams, lower-cased, hashed to 2^`bits` coordinates; their weights are
 (1 + log tf) * idf, scaled to length 1. idf comes from all training texts. The model is trained with
-follow-the-regularised-leader under an elastic-net penalty on a sample of at most `most_rows` labelled rows (the
-documented bound), drawn by a hash of the id; a fifth of it is kept aside, on which one temperature is fitted that
+follow-the-regularised-leader under an elastic-net penalty on a sample of at most `most_rows` labelled rows with `most_features`
+features in all (the documented bounds), drawn evenly from the languages by a hash of the id; a fifth of it is kept aside, on which one temperature is fitted that
 calibrates the probabilities. The model, at most 2^bits weights per language, is broadcast.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without labelled rows every text is `und`
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfline.llm import common as C
@@ -51,9 +51,9 @@ def document_frequencies(texts: DataFrame, bits: int) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(1 << bits, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen += term_counts(text, bits) > 0
+            for _, _, texts in C.text_groups(batch.column(0)):
+                for text in filter(None, texts):
+                    seen += term_counts(text.decode(), bits) > 0
                     n += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"at": pa.array(np.append(at, -1)), "n": pa.array(np.append(seen[at], n))})
@@ -95,7 +95,7 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], bits: int, passes: int
     return langs, w, float(temperature)
 
 
-def identify(documents: DataFrame, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 4000, bits: int = 14, passes: int = 3, alpha: float = 0.5, l1: float = 0.05, l2: float = 0.1) -> DataFrame:
+def identify(documents: DataFrame, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 4000, most_features: int = 10_000_000, bits: int = 14, passes: int = 3, alpha: float = 0.5, l1: float = 0.05, l2: float = 0.1) -> DataFrame:
     """One row per document: id, held_out, lang_pred, score."""
     spark = documents.sparkSession
     fold = C.crc_mod(id_col, folds)
@@ -103,20 +103,28 @@ def identify(documents: DataFrame, folds: int = 3, held: int = 1, id_col: str =
     train = documents.filter((fold != held) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
     n, seen = document_frequencies(train.select(text), bits)
     idf = np.log((1 + n) / (1 + seen)) + 1
-    chosen = train.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.lit(3)).alias("order")).orderBy("order", "lang").limit(most_rows)
+    chosen = train.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.lit(3)).alias("order"))
+    # The first rows of every language, one after the other: a seldom one is learnt as well. Hashes below a share that a
+    # language's count gives are enough, so that no language's rows are ever sorted whole.
+    counts = train.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("rows"))
+    near = chosen.join(counts, "lang").filter((F.col("order") / float(1 << 63) + 1) / 2 * F.col("rows") <= 2.0 * most_rows + 100)
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order")))
+    chosen = near.filter(F.col("place") <= most_rows).orderBy("place", "order", "lang").limit(most_rows).select("id", "lang", "order")
     picked = train.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(chosen), "id").select("order", "lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [tf_idf(term_counts(t, bits), idf) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_pydict({
-                "order": batch.column(0),
-                "lang": batch.column(1),
-                "at": pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())),
-                "x": pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32())),
-            })
-
-    rows = picked.mapInArrow(vectors, "order long, lang string, at array<int>, x array<float>").orderBy("order", "lang").toArrow()
+            for first, last, texts in C.text_groups(batch.column(2)):
+                found = [tf_idf(term_counts(t.decode(), bits), idf) for t in texts]
+                yield pa.RecordBatch.from_pydict({
+                    "order": batch.column(0).slice(first, last - first),
+                    "lang": batch.column(1).slice(first, last - first),
+                    "at": pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())),
+                    "x": pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32())),
+                })
+
+    told = picked.mapInArrow(vectors, "order long, lang string, at array<int>, x array<float>")
+    rows = C.first_rows(told, F.size("at"), most_features, "order", "lang").toArrow()
     at_list, x_list = rows.column("at").combine_chunks(), rows.column("x").combine_chunks()
     sample = [(lang, at_list[i].values.to_numpy().astype(np.int64), x_list[i].values.to_numpy().astype(float)) for i, lang in enumerate(rows.column("lang").to_pylist())]
     langs, w, temperature = fit(sample, bits, passes, alpha, l1, l2)
@@ -125,17 +133,19 @@ def identify(documents: DataFrame, folds: int = 3, held: int = 1, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, w, temperature, idf = shared.value
         for batch in batches:
-            names, scores = [], []
-            for t in batch.column(2).to_pylist():
-                if t is None or not langs:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                at, x = tf_idf(term_counts(t, bits), idf)
-                p = predict((x @ w[at] + w[-1])[None] / temperature)[0] if len(langs) > 1 else np.ones(1)
-                names.append(langs[int(p.argmax())])
-                scores.append(float(p.max()))
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
+            for first, last, texts in C.text_groups(batch.column(2)):
+                names, scores = [], []
+                for t in texts:  # asked texts have letters, others are empty
+                    if not t or not langs:
+                        names.append("und")
+                        scores.append(0.0)
+                        continue
+                    at, x = tf_idf(term_counts(t.decode(), bits), idf)
+                    p = predict((x @ w[at] + w[-1])[None] / temperature)[0] if len(langs) > 1 else np.ones(1)
+                    names.append(langs[int(p.argmax())])
+                    scores.append(float(p.max()))
+                own = {"id": batch.column(0).slice(first, last - first), "held_out": batch.column(1).slice(first, last - first)}
+                yield pa.RecordBatch.from_pydict(own | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
     asked = documents.select(F.col(id_col).alias("id"), (fold == held).alias("held_out"), F.when(text.rlike(r"\p{L}"), text).alias("text"))
     return asked.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)

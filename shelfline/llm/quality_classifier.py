@@ -34,7 +34,8 @@ def labelled_statistics(documents: DataFrame, labels: DataFrame, label: str, fol
     chosen = named.orderBy("order", "y").limit(most_rows).select("id", "y")
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = docs.join(F.broadcast(chosen), "id")  # most_rows bounds what is broadcast
-    return C.staged(S.with_statistics(rows, "text").coalesce(4), "labelled")
+    # Written by the scan's own tasks; only the bounded sample is read back in few partitions.
+    return C.staged(S.with_statistics(rows, "text"), "labelled").coalesce(4)
 
 
 def paths(tree: str) -> list[Rule]:

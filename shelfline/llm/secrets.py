@@ -4,14 +4,14 @@ Patterns give the base spans. The battery looks at every run of 20 or more lette
 inferred (hex, base 32, base 36, base 62, base 64), its characters become numbers of that alphabet, and
 
 * chi-squared uniformity over the alphabet, a runs test (above or below the alphabet's middle) and a serial correlation
-  test ask whether it fails to look random: the least of the three p-values, times three;
+  test each give a p-value against "this stands at least MARGIN standard deviations off what random characters give";
 * the same chi-squared value and the number of changes between small letters, capitals and digits are held against what
   words give: a p-value for "this is text".
 
-A run is a secret if it doesn't fail to look random (p >= `random_p`) and "text" is rejected at false discovery rate `fdr`
-(Benjamini-Hochberg), within runs of like length: short runs carry little evidence, and long ones don't lend them theirs.
-p-values are binned by tenths of a decade and rounded up, so that each length class's threshold follows from its
-histogram, at most 401 rows for each of 14 classes, whatever the corpus's size.
+A run is a secret if all four are rejected, so that its p-value is the largest of them. These combined p-values go under
+false discovery control at rate `fdr` (Benjamini-Hochberg), within runs of like length: short runs carry little evidence,
+and long ones don't lend them theirs. p-values are binned by tenths of a decade and rounded up, so that each length
+class's threshold follows from its histogram, at most 401 rows for each of 14 classes, whatever the corpus's size.
 
 Defined results: null and empty texts have no spans; matches of each kind are leftmost and don't overlap, kinds may
 overlap each other; a run within a base span adds none; places are code points, the end exclusive; repeated documents each
@@ -48,22 +48,33 @@ ENCODINGS = [
 #: Sums of squares and cubes of letter frequencies in text of European languages, and how often neighbours
 #: in words differ in class.
 TEXT_SQUARES, TEXT_CUBES, TEXT_CHANGES = 0.065, 0.0056, 0.06
+#: Standard deviations off random characters from which a test's statistic counts as not random.
+MARGIN = 7.0
+
+
+def running_sums(sizes: Column) -> Column:
+    """For each place of an array of ints the sum of those before it, by sums of blocks of about the root of its size."""
+
+    def in_blocks(sizes: Column, b: Column) -> Column:
+        add = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / b).cast("int")), lambda i: add(F.slice(sizes, i * b + 1, b)))
+        heads = C.let(blocks, lambda sums: F.transform(sums, lambda _, i: add(F.slice(sums, F.lit(1), i))))
+        return C.let(heads, lambda h: F.transform(sizes, lambda _, i: F.get(h, F.floor(i / b).cast("int")) + add(F.slice(sizes, F.floor(i / b).cast("int") * b + 1, i % b))))
+
+    return C.let(F.struct(sizes.alias("v"), F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(sizes)))).cast("int").alias("b")), lambda x: in_blocks(x["v"], x["b"]))
 
 
 def located(text: Column, pattern: str, keep=None) -> Column:
     """(first, last, text) of each match, from the lengths of matches and of what stands between them."""
 
     def placed(hits: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        both = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
-        nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int,hit:string>>").alias("out"))
-
-        def step(a: Column, x: Column) -> Column:
-            first = a["at"] + x["gap"]
-            last = first + F.length(x["hit"])
-            return F.struct(last.alias("at"), F.concat(a["out"], F.array(F.struct(first.alias("first"), last.alias("last"), x["hit"].alias("hit")))).alias("out"))
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), F.length)
+        return C.let(gaps, lambda g: with_ends(hits, g))
 
-        return F.aggregate(both, nothing, step, lambda a: a["out"])
+    def with_ends(hits: Column, gaps: Column) -> Column:
+        begins = running_sums(F.zip_with(gaps, hits, lambda g, h: g + F.length(h)))
+        firsts = F.zip_with(begins, gaps, lambda b, g: b + g)
+        return F.zip_with(firsts, hits, lambda f, h: F.struct(f.alias("first"), (f + F.length(h)).alias("last"), h.alias("hit")))
 
     none = F.array().cast("array<struct<first:int,last:int,hit:string>>")
     found = C.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(none))
@@ -90,12 +101,11 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail(z)).otherwise(1 - tail(-z))
 
 
-def two_sided(z: Column) -> Column:
-    return F.least(F.lit(1.0), 2 * upper_tail(F.abs(z)))
+_TESTS = ("p_chi", "p_runs", "p_serial", "p_text")
 
 
 def battery(run: Column) -> Column:
-    """struct(n, p_random, p_text) of one run."""
+    """struct(n, p, p_chi, p_runs, p_serial, p_text) of one run; p is the largest of the others."""
     bare = F.regexp_replace(run, "=+$", "")
 
     def with_alphabet(x: Column) -> Column:
@@ -125,17 +135,18 @@ def battery(run: Column) -> Column:
 
     def verdicts(f: Column) -> Column:
         n, k = f["n"], f["k"]
-        p_runs = F.when(f["var_runs"] > 0, two_sided((f["runs"] - f["mean_runs"]) / F.sqrt(f["var_runs"]))).otherwise(0.0)
-        p_serial = F.when(f["spread"] > 0, two_sided((f["together"] / f["spread"] + 1 / n) * F.sqrt(n))).otherwise(0.0)
-        p_random = F.least(F.lit(1.0), 3 * F.least(upper_tail(f["z_chi"]), p_runs, p_serial))
+        z_runs = F.when(f["var_runs"] > 0, F.abs(f["runs"] - f["mean_runs"]) / F.sqrt(f["var_runs"])).otherwise(MARGIN)
+        z_serial = F.when(f["spread"] > 0, F.abs(f["together"] / f["spread"] + 1 / n) * F.sqrt(n)).otherwise(MARGIN)
+        p_off = [upper_tail(MARGIN - z) for z in (f["z_chi"], z_runs, z_serial)]
         text_chi = k + k * (n - 1) * TEXT_SQUARES - n
         text_sd = k / n * F.sqrt(4 * F.pow(n, F.lit(3)) * (TEXT_CUBES - TEXT_SQUARES**2) + 2 * n * n * TEXT_SQUARES)
         z_text = (text_chi - f["chi"]) / text_sd
         z_changes = (f["changes"] - (n - 1) * TEXT_CHANGES) / F.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES))
         p_text = upper_tail((z_text + F.least(z_changes, F.lit(12.0))) / 1.4142135623730951)
-        return F.struct(n.cast("int").alias("n"), p_random.alias("p_random"), p_text.alias("p_text"))
+        found = F.struct(n.cast("int").alias("n"), *(p.alias(name) for name, p in zip(_TESTS, (*p_off, p_text), strict=True)))
+        return C.let(found, lambda t: F.struct(t["n"].alias("n"), F.greatest(*(t[name] for name in _TESTS)).alias("p"), *(t[name].alias(name) for name in _TESTS)))
 
-    nothing = F.lit(None).cast("struct<n:int,p_random:double,p_text:double>")
+    nothing = F.lit(None).cast("struct<n:int,p:double," + ",".join(f"{name}:double" for name in _TESTS) + ">")
     return C.let(bare, lambda x: F.when(F.length(x) >= 16, with_alphabet(x)).otherwise(nothing))
 
 
@@ -162,14 +173,14 @@ def cutoffs(runs: DataFrame, fdr: float) -> dict[int, int]:
     return out
 
 
-def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.001, random_p: float = 0.001) -> DataFrame:
+def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.001) -> DataFrame:
     """One row per document: id, base (spans of the patterns), spans (these and the battery's), each (first, kind, last) in order. Kinds are places in KINDS."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = documents.select(F.col(id_col).alias("_id"), text.alias("_text"))
     kinds = [of_kind(v, n) for n, v in enumerate(base_spans(F.col("_text")).values())]
     runs = F.transform(located(F.col("_text"), RUN), lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), battery(x["hit"]).alias("t")))
     found = C.staged(rows.select("_id", F.sort_array(F.concat(*kinds)).alias("base"), F.filter(runs, lambda x: x["t"].isNotNull()).alias("runs")), "secret-runs")
-    tested = found.select(F.explode("runs").alias("r")).select(length_class(F.col("r.t.n")).alias("length_class"), evidence(F.col("r.t.p_text")).alias("bin"))
+    tested = found.select(F.explode("runs").alias("r")).select(length_class(F.col("r.t.n")).alias("length_class"), evidence(F.col("r.t.p")).alias("bin"))
     chosen = cutoffs(tested, fdr)
 
     def is_secret(x: Column) -> Column:
@@ -177,7 +188,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         for c, b in chosen.items():
             cut = F.when(length_class(x["t"]["n"]) == c, F.lit(b)).otherwise(cut)
         outside = ~F.exists(F.col("base"), lambda s: (s["first"] <= x["first"]) & (x["last"] <= s["last"]))
-        return (x["t"]["p_random"] >= random_p) & (evidence(x["t"]["p_text"]) >= cut) & outside
+        return (evidence(x["t"]["p"]) >= cut) & outside
 
     more = of_kind(F.filter("runs", is_secret), 3)
     return found.select(F.col("_id").alias(id_col), "base", F.sort_array(F.concat("base", more)).alias("spans"))
@@ -189,17 +200,29 @@ def told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["first"].cast("string"), s["last"].cast("string"))), ",")
 
 
+CHUNK = 4096
+
+
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """text with each span, or spans that overlap, replaced by mask."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with each span, or spans that overlap, replaced by mask. Texts are worked on in chunks, as a place in a text is
+    found by counting from its start."""
+
+    def chunk(spans: Column, c: Column, i: Column) -> Column:
+        size = F.length(c)
+        own = F.filter(spans, lambda s: (s["last"] > i * CHUNK) & (s["first"] < i * CHUNK + size))
+
+        def step(a: Column, s: Column) -> Column:
+            first, last = F.greatest(s["first"] - i * CHUNK, F.lit(0)), F.least(s["last"] - i * CHUNK, size)
+            fresh = first >= a["at"]
+            gap = F.substring(c, a["at"] + 1, first - a["at"])
+            begun = F.when(s["first"] >= i * CHUNK, F.lit(mask)).otherwise("")
+            return F.struct(F.greatest(a["at"], last).alias("at"), F.when(fresh, F.concat(a["out"], gap, begun)).otherwise(a["out"]).alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["first"] >= a["at"]
-        gap = F.substring(text, a["at"] + 1, s["first"] - a["at"])
-        return F.struct(F.greatest(a["at"], s["last"]).alias("at"), F.when(fresh, F.concat(a["out"], gap, F.lit(mask))).otherwise(a["out"]).alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return F.aggregate(own, start, step, lambda a: F.concat(a["out"], F.substring(c, a["at"] + 1, size)))
 
-    whole = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return C.let(spans, lambda spans: F.when(F.size(spans) > 0, F.array_join(F.transform(chunks, lambda c, i: chunk(spans, c, i)), "")).otherwise(text))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A text's features are its distinct words, word pairs and pairs with one word between, lower-cased (A-Z) and without outer
 punctuation, and the stems of longer words (their first 4 to 6 bytes, since words inflect), hashed to 2^`bits` coordinates. Per-coordinate rates and L1 keep few weights, which are broadcast: at most
 one for each coordinate, and in truth those that separate the classes. Learning takes a sample of labelled rows of at most
-`most_rows` (the documented bound), drawn by a hash of the id; their features, never texts, come to the driver.
+`most_rows`, with `most_features` features in all (the documented bounds), drawn by a hash of the id; their features,
+never texts, come to the driver.
 
 Defined results: null and empty texts score by the bias alone; without labels of both kinds every score is the share of
 label 1 (0.5 without labels); labels of null ids or null values are ignored; repeated labels count as often; repeated
@@ -49,7 +50,7 @@ def features(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(at == 0, 1, at), np.concatenate(owners)
 
 
-def labelled_features(documents: DataFrame, labels: DataFrame, label: str, fold, most_rows: int, bits: int, id_col: str, text_col: str) -> pa.Table:
+def labelled_features(documents: DataFrame, labels: DataFrame, label: str, fold, most_rows: int, most_features: int, bits: int, id_col: str, text_col: str) -> pa.Table:
     """(y, coordinates) of a bounded sample of labelled training rows, in the order of a hash of the id."""
     named = labels.filter(F.col(label).isin(0, 1) & fold).select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y"), F.xxhash64(id_col, F.lit(5)).alias("order"))
     chosen = named.orderBy("order", "y").limit(most_rows)
@@ -65,7 +66,8 @@ def labelled_features(documents: DataFrame, labels: DataFrame, label: str, fold,
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array((pair & ((1 << bits) - 1)).astype(np.int32)))
                 yield pa.RecordBatch.from_pydict({"order": batch.column(0).slice(at, to - at), "y": batch.column(1).slice(at, to - at), "x": lists})
 
-    return rows.mapInArrow(run, "order long, y double, x array<int>").orderBy("order", "y").toArrow()
+    told = rows.mapInArrow(run, "order long, y double, x array<int>")
+    return C.first_rows(told, F.size("x"), most_features, "order", "y").toArrow()
 
 
 def fit(sample: pa.Table, bits: int, passes: int, alpha: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +96,10 @@ def fit(sample: pa.Table, bits: int, passes: int, alpha: float, l1: float, l2: f
     return at, w[at]
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 6000, bits: int = 20, passes: int = 4, alpha: float = 0.3, l1: float = 0.07, l2: float = 1.0) -> DataFrame:
+def score_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 6000, most_features: int = 20_000_000, bits: int = 20, passes: int = 4, alpha: float = 0.3, l1: float = 0.07, l2: float = 1.0) -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
     spark = documents.sparkSession
-    sample = labelled_features(documents, labels, label, C.crc_mod(id_col, folds) != held, most_rows, bits, id_col, text_col)
+    sample = labelled_features(documents, labels, label, C.crc_mod(id_col, folds) != held, most_rows, most_features, bits, id_col, text_col)
     at, weight = fit(sample, bits, passes, alpha, l1, l2)
     shared = spark.sparkContext.broadcast((at, weight))
     kind = documents.schema[id_col].dataType.simpleString()

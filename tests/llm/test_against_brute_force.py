@@ -258,26 +258,172 @@ def test_lm_tree_keeps_every_context_and_byte(spark):
         assert got == pytest.approx(want, rel=1e-5)
 
 
-@pytest.mark.parametrize("spoil", [lambda r: r.replace(b"WARC/1.1", b"WARC/9.9"), lambda r: r.replace(b"Content-Length: 12", b"Content-Length: 13"), lambda r: r[:-1], lambda r: r.replace(b"hello", b"jello"), lambda r: r.replace(b"WARC-Date", b"WARC-Dote")])
+def test_words_of_many_blocks():
+    t = bpe.tokenizer(bpe.default_vocabulary())
+    rng = random.Random(2)
+    for n in (513, 1024, 1500, 5000):
+        for letters in ("ab", "the and", "x", "abcdefghijklmnop"):
+            word = "".join(rng.choice(letters) for _ in range(n)).encode()
+            parts = [t.letter[b] for b in word]
+            while found := [(t.rank[k], i) for i, k in enumerate(a << 20 | b for a, b in zip(parts, parts[1:])) if k in t.rank]:
+                least, i = min(found)
+                parts[i : i + 2] = [t.merged[least]]
+            assert t.merge(word) == parts
+
+
+def plain_battery(run):
+    """p-values of one run by plain loops, with the normal tail from the error function."""
+    bare = run.rstrip("=")
+    letters = next(a for p, a in secrets.ENCODINGS if re.match(p, bare))
+    v, n, k = [letters.index(c) for c in bare], len(bare), len(letters)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = sum(c * c for c in collections.Counter(v).values()) * k / n - n
+    z_chi = (chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    high = [x >= k / 2 for x in v]
+    h = sum(high)
+    mean_runs = 1 + 2 * h * (n - h) / n
+    var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    z_runs = abs(runs - mean_runs) / math.sqrt(var_runs) if var_runs > 0 else secrets.MARGIN
+    m = sum(v) / n
+    spread = sum((x - m) ** 2 for x in v)
+    z_serial = abs(sum((a - m) * (b - m) for a, b in zip(v, v[1:])) / spread + 1 / n) * math.sqrt(n) if spread else secrets.MARGIN
+    changes = len(re.sub("[0-9]+", ";", re.sub("[A-Z]+", ":", re.sub("[a-z]+", ".", bare)))) - 1
+    s, c, q = secrets.TEXT_SQUARES, secrets.TEXT_CUBES, secrets.TEXT_CHANGES
+    z_text = (k + k * (n - 1) * s - n - chi) / (k / n * math.sqrt(4 * n**3 * (c - s * s) + 2 * n * n * s))
+    z_changes = min(12, (changes - (n - 1) * q) / math.sqrt((n - 1) * q * (1 - q)))
+    return [tail(secrets.MARGIN - z) for z in (z_chi, z_runs, z_serial)] + [tail((z_text + z_changes) / math.sqrt(2))]
+
+
+def test_battery_and_its_false_discovery_control(spark):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    runs = ["".join(rng.choice(letters[:size]) for _ in range(rng.randrange(20, 300))) for size in (2, 10, 26, 36, 62) for _ in range(25)]
+    runs += ["_".join(rng.choice(["the", "international", "word", "house", "Responsibility"]) for _ in range(rng.randrange(5, 40))) for _ in range(60)]
+    runs += ["a" * 40, "ab" * 30, "abc=" * 8, "0123456789" * 5]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "doc_id long, text string")
+    got = {r.doc_id: r.t for r in df.select("doc_id", secrets.battery(F.col("text")).alias("t")).collect()}
+    want = {i: plain_battery(r) for i, r in enumerate(runs)}
+    for i, ps in want.items():
+        assert [got[i][x] for x in ("p_chi", "p_runs", "p_serial", "p_text")] == pytest.approx(ps, rel=1e-3, abs=1e-6)
+        assert got[i].p == max(got[i][x] for x in ("p_chi", "p_runs", "p_serial", "p_text"))
+    # Benjamini and Hochberg by length class, over p-values rounded up to tenths of a decade.
+    by_class = collections.defaultdict(list)
+    for i, r in enumerate(runs):
+        p = max(1e-40, got[i].p)
+        by_class[min(13, math.floor(math.log2(got[i].n / 10)))].append((10 ** (-min(400, math.floor(-10 * math.log10(p))) / 10), i))
+    secret = set()
+    for own in by_class.values():
+        own.sort()
+        passed = [k for k, (p, _) in enumerate(own, 1) if p <= 0.001 * k / len(own)]
+        secret |= {i for p, i in own if passed and p <= own[passed[-1] - 1][0]}
+    assert 20 < len(secret) < 120
+    for r in secrets.scan(df).collect():
+        base = [(s["first"], s["last"]) for s in r.base]
+        n = len(runs[r.doc_id])
+        more = [(s["first"], s["last"]) for s in r.spans if s["kind"] == 3]
+        assert more == ([(0, n)] if r.doc_id in secret and not any(a <= 0 and n <= b for a, b in base) else [])
+
+
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(4)
+    parts = [rng.choice(["é🙂 ", "word ", "\n"]) + rng.choice(["0123456789abcdef" * 2, "f" * 24, "a" * 23]) for _ in range(8_000)]
+    text = " ".join(parts)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = df.select(secrets.located(F.col("text"), secrets.HEX).alias("x")).first()
+    assert [(s["first"], s["last"]) for s in r.x] == [m.span() for m in re.finditer(secrets.HEX, text)]
+    spans = secrets.of_kind(secrets.located(F.col("text"), secrets.HEX), 2)
+    assert df.select(secrets.redacted(F.col("text"), spans)).first()[0] == re.sub(secrets.HEX, "[SECRET]", text)
+
+
+def test_redaction_over_chunks(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choice("ab🙂c \n") for _ in range(3 * secrets.CHUNK + 17))
+    spans = sorted((a, a + rng.randrange(1, 900)) for a in rng.sample(range(len(text) - 900), 60))
+    spans.append((len(text) - 5, len(text)))
+    want, at = "", 0
+    for a, b in spans:
+        if a >= at:
+            want += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    df = spark.createDataFrame([(text, [(a, 0, b) for a, b in spans])], "text string, spans array<struct<first:int,kind:int,last:int>>")
+    assert df.select(secrets.redacted(F.col("text"), F.col("spans"))).first()[0] == want + text[at:]
+
+
+@pytest.mark.parametrize("spoil", [lambda r: r.replace(b"WARC/1.1", b"WARC/9.9"), lambda r: r.replace(b"Content-Length: ", b"Content-Length: 1"), lambda r: r[:-1], lambda r: r.replace(b"hello", b"jello"), lambda r: r.replace(b"WARC-Date", b"WARC-Dote")])
 def test_spoilt_records_are_refused(spoil):
     raw = warc.record(1, "u", b"hello world", hashlib.sha1(b"hello world").hexdigest(), None)
     assert warc.parse(raw)["payload"] == b"hello world"
-    if spoil(raw) != raw:
-        with pytest.raises(ValueError):
-            warc.parse(spoil(raw))
+    assert spoil(raw) != raw
+    with pytest.raises(ValueError):
+        warc.parse(spoil(raw))
 
 
-@pytest.mark.parametrize("name, truth, least", [("op2_quality_classifier", "quality", 0.95), ("op6_toxicity", "toxic", 0.85), ("op3_language_id", None, 0.95)])
-def test_held_out_accuracy(spark, name, truth, least):
+@pytest.mark.parametrize("name, truth", [("op2_quality_classifier", "quality"), ("op6_toxicity", "toxic")])
+def test_held_out_labels_are_found(spark, name, truth):
+    """Recall and precision of the rarer label, and recall of the other, where 10,000 documents are."""
+    folder = SF.replace("0.001", "0.1")
+    told = common.table(spark, folder, "labels").select("doc_id", F.col(truth).alias("y"))
+    got = registry.QUERIES[name](spark, folder).filter("held_out").join(told, "doc_id").groupBy("y", "predicted").count().collect()
+    n = collections.Counter({(r.y, r.predicted): r["count"] for r in got})
+    rare = min((0, 1), key=lambda y: n[y, 0] + n[y, 1])
+    assert n[rare, 0] + n[rare, 1] >= 50
+    assert n[rare, rare] >= 0.85 * (n[rare, 0] + n[rare, 1]) and n[rare, rare] >= 0.85 * (n[0, rare] + n[1, rare])
+    assert n[1 - rare, 1 - rare] >= 0.95 * (n[1 - rare, 0] + n[1 - rare, 1])
+
+
+def test_held_out_languages(spark):
     folder = SF.replace("0.001", "0.01")
-    got = registry.QUERIES[name](spark, folder).filter("held_out")
-    if truth:
-        told = common.table(spark, folder, "labels").select("doc_id", F.col(truth).alias("y"))
-        right = F.col("y") == F.col("predicted")
-    else:
-        told = common.table(spark, folder, "documents").select("doc_id", F.col("lang").alias("y"))
-        right = F.col("y") == F.col("lang_pred")
-    assert got.join(told, "doc_id").agg(F.avg(right.cast("double"))).first()[0] >= least
+    got = registry.QUERIES["op3_language_id"](spark, folder).filter("held_out")
+    told = common.table(spark, folder, "documents").select("doc_id", F.col("lang").alias("y"))
+    for r in got.join(told, "doc_id").filter("y IS NOT NULL").groupBy("y").agg(F.avg((F.col("y") == F.col("lang_pred")).cast("double")).alias("right")).collect():
+        assert r.right >= 0.9, r.y
+
+
+def test_ftrl_steps():
+    """Weights after some steps against a plain loop of the published update."""
+    import numpy as np
+    from shelfline.llm.ftrl import Ftrl
+
+    rng = np.random.default_rng(1)
+    model = Ftrl(6, alpha=0.3, l1=0.2, l2=1.0)
+    z, n = [0.0] * 6, [0.0] * 6
+    weight = lambda i: 0.0 if abs(z[i]) <= 0.2 else -(z[i] - math.copysign(0.2, z[i])) / ((model.beta + math.sqrt(n[i])) / 0.3 + 1.0)
+    for _ in range(60):
+        at, y = np.unique(rng.integers(0, 6, 3)), float(rng.integers(0, 2))
+        x = rng.random(len(at))
+        w = [weight(i) for i in at]
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+        for i, own, value in zip(at.tolist(), w, x.tolist(), strict=True):
+            g = (p - y) * value
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.3 * own
+            n[i] += g * g
+        model.step(at, x, np.array([y]), 1.0)
+    assert model.weights()[:, 0] == pytest.approx([weight(i) for i in range(6)], rel=1e-6, abs=1e-9)
+
+
+def test_rule_columns_and_paths(spark):
+    """The compiled score against rules read from a tree by hand."""
+    from shelfline.llm import quality_classifier as Q
+    from shelfline.llm import statistics as S
+
+    tree = "If (feature 0 <= 3.5)\n If (feature 4 > 0.25)\n  Predict: 0.0\n Else (feature 4 <= 0.25)\n  Predict: 1.0\nElse (feature 0 > 3.5)\n Predict: 1.0"
+    tree = "\n".join(" " * (2 + len(x) - len(x.lstrip())) + x.lstrip() for x in tree.split("\n"))
+    name = S.NAMES
+    assert set(Q.paths(tree)) == {((name[0], None, 3.5),), ((name[0], None, 3.5), (name[4], 0.25, None)), ((name[0], None, 3.5), (name[4], None, 0.25)), ((name[0], 3.5, None),)}
+    rows = [(w, s) for w in (0.0, 3.5, 4.0) for s in (0.0, 0.25, 0.5)]
+    df = spark.createDataFrame(rows, f"{name[0]} double, {name[4]} double")
+    rules = [(1.5, ((name[0], None, 3.5), (name[4], 0.25, None))), (-2.0, ((name[0], 3.5, None),))]
+    got = {(r[0], r[1]): r.score for r in df.select("*", Q.score_column(0.5, rules).alias("score")).collect()}
+    for w, s in rows:
+        assert got[w, s] == pytest.approx(1 / (1 + math.exp(-(0.5 + 1.5 * (w <= 3.5 and s > 0.25) - 2.0 * (w > 3.5)))))
+
+
+def test_null_item_ids_hit_without_a_name(spark):
+    docs = spark.createDataFrame([(1, "nine lives"), (2, "one two")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "nine"), ("b", "lives"), (None, "nine lives")], "item_id string, text string")
+    got = {r.doc_id: ([tuple(h) for h in r.hits], r["items"]) for r in decontamination.find_contamination(docs, items).collect()}
+    assert got == {1: ([(0, 2)], ["b"]), 2: ([], [])}
 
 
 def test_pipeline(spark):
