@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 from shelfline.llm import bpe, common, decontamination, quality_classifier, secrets, shingles
 
 MOST_BROADCAST = 1_000_000
-KEY = "_key"
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs has not."""
+    return name if name not in docs.columns else _free(docs, f"{name}_")
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -29,39 +33,42 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.keep_good(docs, common.table(spark, sf_dir, "labels"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with keys of their own, fixed by writing them once: ids may be null or repeated."""
-    return common.staged(docs.withColumn(KEY, F.monotonically_increasing_id()), "rows")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with keys of their own, fixed by writing them once, and the keys' name: ids may be null or repeated."""
+    key = _free(docs, "row_key")
+    return common.staged(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the smallest id stays; of wordless rows, one for each id and text."""
-    rows = _keyed(docs)
-    found = common.staged(shingles.similar_groups(rows, id_col=KEY), "groups")
+    rows, key = _keyed(docs)
+    found = common.staged(shingles.similar_groups(rows, id_col=key).select(F.col(key).alias("k"), "component_id"), "groups")
     wordless = ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]") & F.col("doc_id").isNotNull()
-    told = rows.select(KEY, "doc_id", wordless.alias("_blank"), F.when(wordless, F.col("text")).alias("_text"))
-    by = [F.when(~F.col("_blank"), F.col("component_id")).alias("c"), F.when(F.col("_blank"), F.col("doc_id")).alias("d"), F.col("_text").alias("t")]
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", KEY))
-    kept = found.select(KEY, "component_id").join(told, KEY).groupBy(*by).agg(first.alias("first")).select(f"first.{KEY}")
-    gone = found.select(KEY).join(kept, KEY, "left_anti")
-    return rows.join(_sized(common.staged(gone, "copies")), KEY, "left_anti").select(*docs.columns)
+    told = rows.select(F.col(key).alias("k"), F.col("doc_id").alias("id"), wordless.alias("blank"), F.when(wordless, F.col("text")).alias("blank_text"))
+    by = [F.when(~F.col("blank"), F.col("component_id")).alias("c"), F.when(F.col("blank"), F.col("id")).alias("d"), F.col("blank_text").alias("t")]
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "k"))
+    kept = found.join(told, "k").groupBy(*by).agg(first.alias("first")).select("first.k")
+    gone = common.staged(found.select("k").join(kept, "k", "left_anti").select(F.col("k").alias(key)), "copies")
+    return rows.join(_sized(gone), key, "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    rows = _keyed(docs)
-    found = decontamination.find_contamination(rows, common.table(spark, sf_dir, "benchmark"), id_col=KEY)
-    gone = common.staged(found.filter(F.size("hits") > 0).select(KEY), "contaminated")
-    return rows.join(_sized(gone), KEY, "left_anti").select(*docs.columns)
+    rows, key = _keyed(docs)
+    found = decontamination.find_contamination(rows, common.table(spark, sf_dir, "benchmark"), id_col=key)
+    gone = common.staged(found.filter(F.size("hits") > 0).select(key), "contaminated")
+    return rows.join(_sized(gone), key, "left_anti").select(*docs.columns)
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mask, and n_chars follows."""
-    rows = _keyed(docs)
-    found = secrets.scan(rows, id_col=KEY).filter(F.size("spans") > 0).select(KEY, F.col("spans").alias("_spans"))
-    joined = rows.join(_sized(common.staged(found, "spans")), KEY, "left")
-    masked = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("_spans")))
-    changed = {"text": masked.alias("text"), "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(masked).cast("long")).alias("n_chars")}
+    """Secrets are replaced by a mask, and n_chars follows in the rows that are changed."""
+    rows, key = _keyed(docs)
+    spans, masked = _free(docs, "secret_spans"), _free(docs, "masked_text")
+    found = secrets.scan(rows, id_col=key).filter(F.size("spans") > 0).select(key, F.col("spans").alias(spans))
+    joined = rows.join(_sized(common.staged(found, "spans")), key, "left")
+    # The mask and its length are worked out one after the other: within one select, `text` would be the new column.
+    joined = joined.withColumn(masked, F.when(F.col(spans).isNotNull(), secrets.redacted(F.col("text"), F.col(spans))))
+    changed = {"text": F.coalesce(masked, "text").alias("text"), "n_chars": F.coalesce(F.length(masked).cast("long"), F.col("n_chars")).alias("n_chars")}
     return joined.select(*(changed.get(c, F.col(c)) for c in docs.columns))
 
 
@@ -78,7 +85,7 @@ STAGES = [
     ("BPE encoding and decoding", encoded),
 ]
 
-#: Fitted models, groups by similarity and BPE are beyond SQL; tests hold stages against plain versions.
+#: Fitted models, groups by similarity and BPE are beyond SQL; tests hold each stage against a plain version of it.
 ORACLE_SQL = None
 
 
