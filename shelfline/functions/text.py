@@ -133,6 +133,15 @@ def clean_image_url(c: Column) -> Column:
     return F.when(c.isNull() | (c == ""), "").when(c.startswith("http"), c).otherwise(F.coalesce(F.nullif(d["url"], F.lit("")), F.nullif(d["contentUrl"], F.lit("")), d["image"], F.lit("")))
 
 
+def collation_key(c: Column) -> Column:
+    """A text whose order is that of c without regard to case, and with runs of digits as numbers."""
+    def part(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=.)", "")
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)).otherwise(F.lower(p))
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit("([0-9]+|[^0-9]+)"), F.lit(0)), part), "")
+
+
 def short_name(name: Column, most: int = 40) -> Column:
     """A label: entities read, doubled beginnings once, filler out, blanks squeezed, long ones cut with an ellipsis."""
     s = F.replace(name, F.lit("&amp;"), F.lit("&"))

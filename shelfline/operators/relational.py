@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfline.functions.text import collation_key
 from shelfline.functions import text as X
 
 
@@ -30,8 +31,9 @@ def facet_filter(df: DataFrame, **facets) -> DataFrame:
 
 
 def search_and_sort(df: DataFrame, text: str, search: str, by: str, ascending: bool = True) -> DataFrame:
-    """Rows whose column holds the text, whatever its case, in order of any column."""
-    col = F.col(by)
+    """Rows whose column holds the text, whatever its case, in order of any column: texts without regard to case and with
+    their digits as numbers, so that "Brand 2" comes before "brand 10"."""
+    col = collation_key(F.col(by)) if dict(df.dtypes)[by] == "string" else F.col(by)
     return df.filter(F.lower(search).contains(text.lower())).orderBy(col.asc() if ascending else col.desc())
 
 

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfline.functions import leads as L
@@ -55,6 +55,93 @@ def _shared(spark: SparkSession, name: str) -> str:
     return new_path(spark, name)
 
 
+def _csv(s: SparkSession, df: DataFrame, name: str) -> str:
+    path = _shared(s, name)
+    df.write.csv(path, header=True)
+    return path
+
+
+@query("a01_read_listing_csv", "SELECT cast(s_nationkey AS varchar) AS scrape_run_id, s_name AS shop_name, s_name || ', \"large\"' AS product_name, CASE WHEN s_acctbal < 0 THEN '' ELSE '€' || s_suppkey END AS raw_price, 'EUR' AS currency, 'u' || s_suppkey AS product_url, '' AS image_url, '2024-01-01' AS scraped_at FROM supplier")
+def _(s, d):
+    df = P.table(s, d, "supplier")
+    price = F.when(c("s_acctbal") < 0, "").otherwise(F.concat(F.lit("€"), c("s_suppkey")))
+    rows = df.select(c("s_nationkey").alias("scrape_run_id"), c("s_name").alias("shop_name"), F.concat("s_name", F.lit(', "large"')).alias("product_name"), price.alias("raw_price"), F.lit("EUR").alias("currency"), F.concat(F.lit("u"), "s_suppkey").alias("product_url"), F.lit("2024-01-01").alias("scraped_at"))
+    path = _shared(s, "listing-csv")
+    rows.write.option("escape", '"').csv(path, header=True)
+    return S.read_listing_csv(s, path)
+
+
+@query("a05_read_label_csv", "SELECT cast(l_orderkey AS varchar) AS left_id, cast(l_partkey AS varchar) AS right_id, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_returnflag END AS verdict FROM lineitem")
+def _(s, d):
+    df = P.table(s, d, "lineitem")
+    verdict = F.when(c("l_linenumber") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "l_returnflag", F.lit(" ")))
+    rows = df.select(c("l_orderkey").alias(" Left Id "), c("l_partkey").alias("Right ID"), verdict.alias("VERDICT"), c("l_suppkey").alias("more"))
+    return S.read_label_csv(s, _csv(s, rows, "label-csv"), 3)
+
+
+def _feed(df: DataFrame, kind: str) -> DataFrame:
+    """One payload of a kind for each part."""
+    title, price, n = c("p_name").alias("title"), (c("p_partkey") * 7 % 100).cast("string"), c("p_partkey").cast("string")
+    product = F.struct(title, F.concat(F.lit("h"), n).alias("handle"), F.array(F.struct(price.alias("price"))).alias("variants"), F.array(F.struct(F.concat(F.lit("i"), n).alias("src"))).alias("images"))
+    found = F.struct(title, price.alias("price"), F.concat(F.lit("/p/"), n).alias("url"), F.concat(F.lit("i"), n).alias("featured_image"))
+    card = F.struct(title, F.struct(price.alias("now")).alias("price"), F.array(F.struct(F.concat(F.lit("i"), n).alias("url"))).alias("images"), F.concat(F.lit("/p/"), n).alias("link"))
+    payload = {
+        "single": F.struct(product.alias("product")),
+        "list": F.struct(F.array(product).alias("products")),
+        "search": F.struct(F.struct(F.struct(F.array(found).alias("products")).alias("results")).alias("resources")),
+        "cards": F.struct(F.array(F.struct(F.array(card).alias("products"))).alias("cards")),
+    }[kind]
+    text = F.when(c("p_partkey") % 10 == 9, "{broken").otherwise(F.to_json(payload))
+    return df.select(c("p_partkey").alias("feed_id"), F.lit(kind).alias("shop_name"), F.lit("https://shop/").alias("base_url"), text.alias("payload"))
+
+
+_FEED_SQL = {
+    "single": "'€' || (p_partkey * 7 % 100) AS raw_price, 'EUR' AS currency, 'https://shop/products/h' || p_partkey AS product_url",
+    "list": "'€' || (p_partkey * 7 % 100) AS raw_price, 'EUR' AS currency, 'https://shop/products/h' || p_partkey AS product_url",
+    "search": "'€' || (p_partkey * 7 % 100) AS raw_price, 'EUR' AS currency, 'https://shop/p/' || p_partkey AS product_url",
+    "cards": "'€' || (p_partkey * 7 % 100) || '.00' AS raw_price, 'EUR' AS currency, 'https://shop/p/' || p_partkey AS product_url",
+}
+_FEED_SQL = {k: f"SELECT p_partkey AS feed_id, '{k}' AS shop_name, p_name AS product_name, {v}, 'i' || p_partkey AS image_url FROM part WHERE p_partkey % 10 <> 9" for k, v in _FEED_SQL.items()}
+
+
+@query("a08_parse_product_feed", " UNION ALL ".join(_FEED_SQL.values()))
+def _(s, d):
+    part = P.table(s, d, "part")
+    return reduce(DataFrame.unionByName, [S.parse_product_feed(_feed(part, k), k) for k in S.FEEDS])
+
+
+@query("a14_standardize_sources", " UNION ALL ".join(f"SELECT shop_name, product_name, raw_price, currency, product_url, image_url FROM ({_FEED_SQL[k]})" for k in ("single", "search", "cards")))
+def _(s, d):
+    part = P.table(s, d, "part")
+    config = {"one": "single", "two": "search", "three": "cards"}
+    parsers = {k: (lambda df, k=k: S.parse_product_feed(df, k)) for k in S.FEEDS}
+    return S.standardize_sources({shop: _feed(part, k) for shop, k in config.items()}, config, parsers)
+
+
+@query("a11_parse_osm_elements", "SELECT name, address, website, phone, cuisine, shop_type, osm_id, osm_type FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'Toko ' || c_custkey WHEN 1 THEN c_name ELSE '' END AS name, CASE WHEN c_custkey % 2 = 0 THEN 'Main 5' ELSE 'Main' END AS address, CASE WHEN c_custkey % 4 = 0 THEN 'w' || c_custkey ELSE 'u' || c_custkey END AS website, CASE WHEN c_custkey % 5 = 0 THEN 'p1' ELSE 'p2' END AS phone, CASE WHEN c_custkey % 2 = 0 THEN 'thai' ELSE 'bakery' END AS cuisine, 'deli' AS shop_type, cast(c_custkey AS varchar) AS osm_id, 'node' AS osm_type, c_custkey FROM customer) WHERE name <> '' AND (c_custkey % 3 = 0 OR c_custkey % 2 = 0)")
+def _(s, d):
+    k = c("c_custkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit(" Toko "), k)).when(k % 3 == 1, c("c_name")).otherwise(" ")
+    tags = [("name", name), ("addr:street", F.lit("Main")), ("addr:housenumber", F.when(k % 2 == 0, "5").otherwise("")), ("website", F.when(k % 4 == 0, F.concat(F.lit("w"), k)).otherwise("")), ("url", F.concat(F.lit("u"), k)), ("phone", F.when(k % 5 == 0, "p1").otherwise("")), ("contact:phone", F.lit("p2")), ("cuisine", F.when(k % 2 == 0, "Thai").otherwise("Bakery")), ("shop", F.lit("deli"))]
+    element = F.struct(k.cast("string").alias("id"), F.lit("node").alias("type"), F.create_map(*(x for t, v in tags for x in (F.lit(t), v))).alias("tags"))
+    docs = P.table(s, d, "customer").select(F.to_json(F.struct(F.array(element).alias("elements"))).alias("payload"))
+    return S.parse_osm_elements(docs).drop("pos")
+
+
+@query("c22_clean_image_url", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'https://x/' || o_orderkey WHEN 1 THEN 'u' || o_orderkey WHEN 2 THEN 'c' || o_orderkey WHEN 3 THEN 'i' || o_orderkey ELSE '' END AS image_url FROM orders")
+def _(s, d):
+    k = c("o_orderkey")
+    raw = F.when(k % 6 == 0, F.concat(F.lit("https://x/"), k)).when(k % 6 == 1, F.concat(F.lit("{'url': 'u"), k, F.lit("', 'image': 'x'}"))).when(k % 6 == 2, F.concat(F.lit("{'url': '', 'contentUrl': 'c"), k, F.lit("'}"))).when(k % 6 == 3, F.concat(F.lit("{'image': 'i"), k, F.lit("'}"))).when(k % 6 == 4, "no address")
+    return P.table(s, d, "orders").select("o_orderkey", X.clean_image_url(raw).alias("image_url"))
+
+
+@query("b07_numeric_collation", "SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY lower(p_type), p_size, p_partkey) AS place FROM part")
+def _(s, d):
+    size = F.when(c("p_partkey") % 2 == 0, c("p_size").cast("string")).otherwise(F.lpad(c("p_size").cast("string"), 4, "0"))
+    named = F.concat(F.when(c("p_partkey") % 3 == 0, F.lower("p_type")).otherwise(c("p_type")), F.lit(" "), size)
+    return P.table(s, d, "part").select("p_partkey", "p_brand", F.row_number().over(Window.partitionBy("p_brand").orderBy(X.collation_key(named), "p_partkey")).alias("place"))
+
+
 @query("a02_append_with_audit", "SELECT *, TIMESTAMP '2024-01-01 00:00:00' AS _loaded_at FROM events UNION ALL SELECT *, TIMESTAMP '2024-01-01 00:00:00' FROM events")
 def _(s, d):
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
@@ -728,7 +815,7 @@ def _(s, d):
     P.listings(s, d).write.parquet(f"{base}/in")
     name = f"shelfline_{uuid.uuid4().hex[:12]}"
     stage = lambda df: WH.staging(df, brands=P.BRANDS, variants=P.VARIANTS)
-    J.stream_listings(s, f"{base}/in", P.listings(s, d).schema, f"{base}/checkpoint", name, ["scrape_run_id", "product_id"], "scraped_at", stage, "parquet", maxFilesPerTrigger=1000)
+    J.stream_listings(s, f"{base}/in", P.listings(s, d).schema, f"{base}/checkpoint", name, ["scrape_run_id", "product_id"], "scraped_at", stage, "parquet", maxFilesPerTrigger=2)
     return s.table(name).select("scrape_run_id", "product_id", "price_eur")
 
 

@@ -38,13 +38,17 @@ def incremental_upsert(source: DataFrame, target: DataFrame | None, keys: list[s
 
 
 def upsert_table(source: DataFrame, table: str, keys: list[str], watermark: str, **kwargs) -> None:
-    """incremental_upsert into a table: written aside first, since a table can't be read and replaced at once."""
+    """incremental_upsert into a table: written aside once, then put in its place by renaming, so that readers find the old
+    rows or the new ones, and a failed run leaves the old ones."""
     spark = source.sparkSession
-    target = spark.table(table) if spark.catalog.tableExists(table) else None
-    aside = f"{table}_{uuid.uuid4().hex[:8]}"
-    incremental_upsert(source, target, keys, F.col(watermark), **kwargs).write.saveAsTable(aside)
-    spark.table(aside).write.mode("overwrite").saveAsTable(table)
-    spark.sql(f"DROP TABLE {aside}")
+    there = spark.catalog.tableExists(table)
+    aside, old = (f"{table}_{uuid.uuid4().hex[:8]}" for _ in range(2))
+    incremental_upsert(source, spark.table(table) if there else None, keys, F.col(watermark), **kwargs).write.saveAsTable(aside)
+    if there:
+        spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {aside} RENAME TO {table}")
+    if there:
+        spark.sql(f"DROP TABLE {old}")
 
 
 def tombstones(df: DataFrame, key: str, carried: list[str], at: Column, deleted: str = "deleted_at", created: str = "created_at") -> DataFrame:
@@ -71,14 +75,21 @@ def resume(todo: DataFrame, table: str, keys: list[str]) -> DataFrame:
 
 
 def stream_listings(spark: SparkSession, path: str, schema, checkpoint: str, table: str, keys: list[str], watermark: str, transform=None, fmt: str = "csv", **options):
-    """A file source whose micro-batches are staged and upserted; runs through what is there and stops."""
+    """A file source whose micro-batches are staged and land in a table beside the target; runs through what is there and
+    stops. One upsert then takes them over: rows past the target's largest time as it was before the run, of each key the
+    latest. So neither the order of files nor how they fall into batches changes the result, and the target is written once.
+    Rows that had landed when a run failed are taken over by the next.
+    """
     source = spark.readStream.schema(schema).options(**({"header": "true"} | options if fmt == "csv" else options)).format(fmt).load(path)
+    landed = f"{table}_landed"
 
     def batch(df: DataFrame, _: int) -> None:
-        rows = transform(df) if transform else df
-        if not rows.isEmpty():
-            upsert_table(rows, table, keys, watermark, on_duplicate="last")
+        (transform(df) if transform else df).write.mode("append").saveAsTable(landed)
 
     query = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    if spark.catalog.tableExists(landed):
+        rows = spark.table(landed)
+        upsert_table(rows, table, keys, watermark, on_duplicate="last", order=[watermark, *(c for c in rows.columns if c not in (*keys, watermark))])
+        spark.sql(f"DROP TABLE {landed}")
     return query
