@@ -314,7 +314,7 @@ def _beyond(open_runs: DataFrame, entries: DataFrame, depth: int, beta: float) -
     return joined.groupBy("row").agg(F.sum(F.col("times") * (F.coalesce("log10", "v") + F.coalesce("lost", F.lit(0.0)))).alias("more_score"))
 
 
-def score_texts(documents: DataFrame, held_fold: int = 10, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, least: int = 20, share: float = 0.0, nats: float = 1.0, least_kl: float = 0.002, beta: float = 5.0, broadcast_words: int = 400_000, dense_states: int = 20_000, broadcast_contexts: int = 2_000_000) -> DataFrame:
+def score_texts(documents: DataFrame, held_fold: int = 10, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, least: int = 20, share: float = 0.0, nats: float = 1.0, least_kl: float = 0.05, beta: float = 5.0, broadcast_words: int = 400_000, dense_states: int = 20_000, broadcast_contexts: int = 6_000_000) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
     fold = C.crc_mod(id_col, held_fold)
