@@ -344,10 +344,11 @@ def _named(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return shared.select(*own).join(groups, F.col("sid") == F.col("node"), "left").select(*own, F.coalesce("root", "sid").alias("g"))
 
 
-def _large_columns(shared: DataFrame, block: int) -> DataFrame:
-    """(h, size) of columns of more than `block` sets: they are few, as they share the entries."""
+def _large_columns(shared: DataFrame, block: int) -> DataFrame | None:
+    """(h, size) of columns of more than `block` sets, None without any: they are few, as they share the entries."""
     large = C.staged(shared.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > block), "large-columns")
-    return F.broadcast(large) if large.count() <= 200_000 else large
+    count = large.count()
+    return (F.broadcast(large) if count <= 200_000 else large) if count else None
 
 
 def _block_plan(rows: DataFrame, large: DataFrame, block: int) -> DataFrame:
@@ -366,8 +367,10 @@ def _block_plan(rows: DataFrame, large: DataFrame, block: int) -> DataFrame:
     return C.staged(parts.select("h", "whole", "of", before.cast("int").alias("first"), "own_blocks", F.sum("own_blocks").over(by_column).cast("int").alias("blocks")), "blocks")
 
 
-def _dealt(rows: DataFrame, large: DataFrame, block: int) -> DataFrame:
+def _dealt(rows: DataFrame, large: DataFrame | None, block: int) -> DataFrame:
     """Entries with the blocks (i, j) in which they meet entries of other groups, and the block of their own."""
+    if large is None:
+        return rows.select("h", *(F.lit(0).alias(c) for c in ("i", "j", "own")), *(c for c in rows.columns if c != "h"))
     plan = _block_plan(rows, large, block)
     sized = F.broadcast if plan.count() <= 200_000 else (lambda df: df)
     wholes = plan.filter("whole").select("h", F.col("of").alias("g"), F.lit(True).alias("alone"))
@@ -442,11 +445,11 @@ def _meetings(rows: DataFrame, percent: int, reach: int | None) -> DataFrame:
     return met.agg(F.sum("c").alias("c"), F.max("l").alias("l")).filter("c >= l").select("a", "b", "c")
 
 
-def _lined_up(rows: DataFrame, large: DataFrame, kinds: int, block: int, seed: int) -> DataFrame:
+def _lined_up(rows: DataFrame, large: DataFrame | None, kinds: int, block: int, seed: int) -> DataFrame:
     """Entries in an order that a hash of one of `kinds` draws; a large column is cut into runs of about `block` entries."""
     order = F.xxhash64("sid", F.pmod("h", F.lit(kinds)), F.lit(seed))
-    runs = F.coalesce(F.ceil(F.col("size") / block), F.lit(1))
-    rows = rows.join(large, "h", "left").withColumn("o", order)
+    runs = F.lit(1) if large is None else F.coalesce(F.ceil(F.col("size") / block), F.lit(1))
+    rows = (rows if large is None else rows.join(large, "h", "left")).withColumn("o", order)
     # Runs are ranges of the order: of its 32 high bits, from 0 up.
     i = F.shiftright((F.shiftright("o", 32) + F.lit(1 << 31)) * runs, 32).cast("int")
     rows = rows.select("h", i.alias("i"), i.alias("j"), i.alias("own"), "sid", "n", "place", "g", "o")
@@ -468,10 +471,10 @@ def crossing_pairs(shared: DataFrame, groups: DataFrame, percent: int, block: in
     return _meetings(rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "g"), percent, None).select("a", "b")
 
 
-def with_parities(shared: DataFrame, dense: DataFrame, firsts: DataFrame) -> DataFrame:
+def with_parities(shared: DataFrame, dense: DataFrame, columns: DataFrame, firsts: DataFrame) -> DataFrame:
     """Entries with their sets' parities where columns are dense, else with zeros: there meet few pairs."""
-    told = dense.select("h", "sid", "n", "place").join(firsts.select("sid", *_PARITY), "sid")
-    rest = shared.select("h", "sid", "n", "place").join(dense.select("h").distinct(), "h", "left_anti")
+    told = dense.join(firsts.select("sid", *_PARITY), "sid").select("h", "sid", "n", "place", *_PARITY)
+    rest = shared.join(columns.select("h"), "h", "left_anti").select("h", "sid", "n", "place")
     return told.unionByName(rest.select("*", *(F.lit(0).cast("long").alias(p) for p in _PARITY)))
 
 
@@ -514,16 +517,20 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_c
     near = links(pivot_pairs(shared, percent, tries), "pivot-links")
     groups = C.staged(connected_components(near, "a", "b"), "groups")
     # Columns of no more sets than `reach` need no neighbours: their pairs are few.
-    dense = C.staged(shared.join(_large_columns(shared, reach).select("h"), "h", "left_semi"), "dense-entries")
-    before, seed = 0 if dense.isEmpty() else near.count(), 0
-    while before:
-        more = links(neighbour_pairs(dense, groups, percent, 4, reach, 2 * tries, block, seed), "neighbour-links")
-        if found := more.count():
-            groups = united(groups, more)
-        before, seed = found if 10 * found > before else 0, seed + 1
-    more = links(crossing_pairs(with_parities(shared, dense, firsts), groups, percent, block), "crossing-links")
+    told = shared.select("h", "sid", "n", "place")
+    if (columns := _large_columns(shared, reach)) is not None:
+        dense = C.staged(told.join(columns.select("h"), "h", "left_semi"), "dense-entries")
+        before, seed = near.count(), 0
+        while before:
+            more = links(neighbour_pairs(dense, groups, percent, 4, reach, 2 * tries, block, seed), "neighbour-links")
+            if found := more.count():
+                groups = united(groups, more)
+            before, seed = found if 10 * found > before else 0, seed + 1
+        told = with_parities(told, dense, columns, firsts)
+    more = links(crossing_pairs(told, groups, percent, block), "crossing-links")
     if not more.isEmpty():
         groups = united(groups, more)
+    sketch.unpersist()
     # Only ids are joined: groups are over sets, and each set's smallest id stands for its copies.
     by_set = firsts.select("sid", "id").join(groups, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("g"), "id")
     least = by_set.groupBy("g").agg(F.min("id").alias("component_id"))
