@@ -85,7 +85,7 @@ STAGES = [
     ("BPE encoding and decoding", encoded),
 ]
 
-#: Fitted models, groups by similarity and BPE are beyond SQL; tests hold each stage against a plain version of it.
+#: Fitted models, groups by similarity and BPE are beyond SQL; tests hold operators against plain versions and stages against rows worked out by hand.
 ORACLE_SQL = None
 
 
