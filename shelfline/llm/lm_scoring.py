@@ -214,43 +214,151 @@ def _low(column: str, symbols) -> Column:
     return F.col(column).bitwiseAND(F.lit((1 << (8 * symbols)) - 1))
 
 
-def _contexts(grams: DataFrame, depth: int, floor: int, nats: float, least_kl: float) -> tuple[DataFrame, list[DataFrame]]:
-    """(k, ctx) of contexts that pass the tests and of all their parts, and the runs by length."""
-    levels, found = [grams], None
-    for k in range(depth - 1, -1, -1):
+def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """The columns after the first, by which rows come sorted, in pieces of about `least` rows that part no equal firsts."""
+    held, size, wanted = [], 0, least
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size < wanted:
+            continue
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        edge = np.flatnonzero(whole[0][1:] != whole[0][:-1])
+        cut = int(edge[-1]) + 1 if len(edge) else 0
+        if cut:
+            yield [c[:cut] for c in whole[1:]]
+        held, size = [[c[cut:] for c in whole]], size - cut
+        wanted = max(least, 2 * size)
+    if size:
+        yield [np.concatenate(c) for c in list(zip(*held, strict=True))[1:]]
+
+
+def _shorter(keys: np.ndarray, n: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs of the last `symbols` symbols, and their counts."""
+    keys = keys & ((1 << (8 * symbols)) - 1)
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def _of_context(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted runs: where each context begins, how many runs it has, and each run's context's total."""
+    ctx = keys >> 8
+    first = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))
+    width = np.diff(np.append(first, len(keys)))
+    return first, width, np.repeat(np.add.reduceat(n, first), width)
+
+
+def _tested_runs(grams: DataFrame, depth: int, at: int, floor: int, nats: float, least_kl: float) -> DataFrame:
+    """(k, key, n, total, passed): the runs after contexts of k > at symbols that were seen `floor` times, passed marking
+    the first run of each context that passes the tests; and all runs after contexts of `at` symbols, total 0.
+
+    Runs are dealt by the last `at` symbols of their context, which all their longer and shorter forms share: one shuffle
+    serves all lengths. A task holds the runs of some such symbols at a time; one has 256 ** (depth + 1 - at) at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(k, keys, n, total, passed):
+            return pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(keys), k, np.int32)), "key": pa.array(keys), "n": pa.array(n), "total": pa.array(total), "passed": pa.array(passed)})
+
+        for keys, n in _whole_groups(batches):
+            levels = [_shorter(keys, n, depth + 1)]
+            for k in range(depth - 1, at - 1, -1):
+                levels.append(_shorter(*levels[-1], k + 1))
+            for k in range(depth, at, -1):
+                (keys, n), (up, up_n) = levels[depth - k], levels[depth - k + 1]
+                first, width, total = _of_context(keys, n)
+                place = np.searchsorted(up, keys & ((1 << (8 * k)) - 1))
+                gain = np.add.reduceat(n * np.log(n / total / (up_n / _of_context(up, up_n)[2])[place]), first)
+                passed = np.zeros(len(keys), bool)
+                passed[first] = (gain >= nats * width) & (gain >= least_kl * total[first])
+                kept = total >= floor
+                yield batch_of(k, keys[kept], n[kept], total[kept], passed[kept])
+            keys, n = levels[-1]
+            yield batch_of(at, keys, n, np.zeros(len(keys), np.int64), np.zeros(len(keys), bool))
+
+    dealt = grams.select(_low("key", at + 1).alias("t"), "key", "n").withColumn("t", F.shiftrightunsigned("t", 8))
+    return C.staged(dealt.repartition("t").sortWithinPartitions("t").mapInArrow(run, "k int, key long, n long, total long, passed boolean"), "runs")
+
+
+def _with_parts(contexts: DataFrame, k: int) -> DataFrame:
+    """(k, ctx) of all parts of contexts of k symbols."""
+    parts = [F.struct(F.lit(m).alias("k"), F.shiftrightunsigned("ctx", 8 * at).bitwiseAND(F.lit((1 << (8 * m)) - 1)).alias("ctx")) for m in range(1, k + 1) for at in range(k - m + 1)]
+    return contexts.select(F.explode(F.array(*parts)).alias("p")).select("p.k", "p.ctx")
+
+
+def _contexts(grams: DataFrame, depth: int, at: int, floor: int, nats: float, least_kl: float) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """(k, ctx) of contexts that pass the tests and of all their parts; the runs by length, up to contexts of `at` symbols;
+    and (k, key, n, total) of longer ones, where their contexts were seen often enough."""
+    ctx = F.shiftrightunsigned("key", 8).alias("ctx")
+    runs = _tested_runs(grams, depth, at, floor, nats, least_kl)
+    levels = [runs.filter(F.col("k") == at).select("key", "n")]
+    for k in range(at - 1, -1, -1):
         levels.insert(0, C.staged(levels[0].groupBy(_low("key", k + 1).alias("key")).agg(F.sum("n").alias("n")), f"runs-{k}"))
+    found = None
     for k in range(1, depth + 1):
-        ctx = F.shiftrightunsigned("key", 8).alias("ctx")
-        of = lambda level: level.groupBy(ctx).agg(F.sum("n").alias("total"))
-        kept = of(levels[k]).filter(F.col("total") >= floor)
-        rows = levels[k].select("key", ctx, "n").join(kept, "ctx")
-        above = levels[k - 1].select(F.col("key").alias("up"), F.col("n").alias("up_n"))
-        above = above.join(of(levels[k - 1]).select(F.col("ctx").alias("up_ctx"), F.col("total").alias("up_total")), F.shiftrightunsigned("up", 8) == F.col("up_ctx"))
-        both = rows.join(above, _low("key", k) == F.col("up"))
-        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / (F.col("up_n") / F.col("up_total"))))
-        passed = both.groupBy("ctx").agg(gain.alias("gain"), F.count("*").alias("next"), F.first("total").alias("total")).filter((F.col("gain") >= nats * F.col("next")) & (F.col("gain") >= least_kl * F.col("total")))
-        parts = [F.struct(F.lit(m).alias("k"), F.shiftrightunsigned("ctx", 8 * at).bitwiseAND(F.lit((1 << (8 * m)) - 1)).alias("ctx")) for m in range(1, k + 1) for at in range(k - m + 1)]
-        passed = passed.select(F.explode(F.array(*parts)).alias("p")).select("p.k", "p.ctx")
+        if k > at:
+            passed = runs.filter((F.col("k") == k) & F.col("passed")).select(ctx)
+        else:
+            of = lambda level: level.groupBy(ctx).agg(F.sum("n").alias("total"))
+            kept = of(levels[k]).filter(F.col("total") >= floor)
+            rows = levels[k].select("key", ctx, "n").join(kept, "ctx")
+            above = levels[k - 1].select(F.col("key").alias("up"), F.col("n").alias("up_n"))
+            above = above.join(of(levels[k - 1]).select(F.col("ctx").alias("up_ctx"), F.col("total").alias("up_total")), F.shiftrightunsigned("up", 8) == F.col("up_ctx"))
+            both = rows.join(above, _low("key", k) == F.col("up"))
+            gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / (F.col("up_n") / F.col("up_total"))))
+            passed = both.groupBy("ctx").agg(gain.alias("gain"), F.count("*").alias("next"), F.first("total").alias("total")).filter((F.col("gain") >= nats * F.col("next")) & (F.col("gain") >= least_kl * F.col("total")))
+        passed = _with_parts(passed, k)
         found = passed if found is None else found.unionByName(passed)
-    return C.staged(found.distinct(), "states"), levels
+    return C.staged(found.distinct(), "states"), levels, runs.filter(F.col("k") > at).select("k", "key", "n", "total")
+
 
+def _smoothed_runs(longer: DataFrame, states: DataFrame, shortest: DataFrame, depth: int, at: int, beta: float) -> DataFrame:
+    """(k, key, ctx, n, total, prob) of the runs in `longer` whose contexts are states, dealt as in `_tested_runs`.
+    `shortest` has the same of contexts of `at` symbols, as far as they are states."""
 
-def fit_states(counts: DataFrame, depth: int, least: int, share: float, nats: float, least_kl: float, beta: float) -> tuple[np.ndarray, DataFrame]:
-    """Counts of single symbols, and (k, key, ctx, n, total, prob): of each state the symbols seen next."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, key, n, total, prob in _whole_groups(batches):
+            of = np.flatnonzero((k == at) & (n > 0))
+            order = of[np.argsort(key[of])]
+            up, up_prob = key[order], prob[order]
+            for m in range(at + 1, depth + 1):
+                contexts = np.sort(key[(k == m) & (n == 0)])
+                of = np.flatnonzero((k == m) & (n > 0))
+                order = of[np.argsort(key[of])]
+                order = order[_found(contexts, key[order] >> 8)[1]]
+                own, c, t = key[order], n[order], total[order]
+                own_prob = (c + beta * up_prob[np.searchsorted(up, own & ((1 << (8 * m)) - 1))]) / (t + beta) if len(own) else np.empty(0)
+                yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(own), m, np.int32)), "key": pa.array(own), "ctx": pa.array(own >> 8), "n": pa.array(c), "total": pa.array(t), "prob": pa.array(own_prob)})
+                up, up_prob = own, own_prob
+
+    none, names = F.lit(0).cast("long"), ("k", "key", "n", "total", "prob")
+    last = lambda ctx: ctx.bitwiseAND(F.lit((1 << (8 * at)) - 1)).alias("t")
+    rows = longer.withColumn("prob", F.lit(0.0)).unionByName(shortest.select(*names)).select(last(F.shiftrightunsigned("key", 8)), *names)
+    marks = states.filter(F.col("k") > at).select(last(F.col("ctx")), "k", F.col("ctx").alias("key"), none.alias("n"), none.alias("total"), F.lit(0.0).alias("prob"))
+    return C.staged(rows.unionByName(marks).repartition("t").sortWithinPartitions("t").mapInArrow(run, "k int, key long, ctx long, n long, total long, prob double"), "next")
+
+
+def fit_states(counts: DataFrame, depth: int, least: int, share: float, nats: float, least_kl: float, beta: float, at: int = 4) -> tuple[np.ndarray, DataFrame]:
+    """Counts of single symbols, and (k, key, ctx, n, total, prob): of each state the symbols seen next. Contexts of up to
+    `at` symbols, few in any corpus, meet by joins; longer ones share two shuffles by their last `at` symbols."""
+    at = min(at, depth)
     grams = counts.filter("kind = 1").select("key", "n")
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    states, levels = _contexts(grams, depth, max(least, math.ceil(total * share)), nats, least_kl)
+    states, levels, longer = _contexts(grams, depth, at, max(least, math.ceil(total * share)), nats, least_kl)
     root = np.zeros(256, np.int64)
     for key, n in levels[0].toLocalIterator():  # 256 at most
         root[key] = n
     above = levels[0].select(F.col("key").alias("up"), ((F.col("n") + 0.5) / (total + 128)).alias("up_prob"))
     entries = None
-    for k in range(1, depth + 1):
+    for k in range(1, at + 1):
         rows = levels[k].select("key", F.shiftrightunsigned("key", 8).alias("ctx"), "n").join(states.filter(F.col("k") == k), "ctx")
         rows = rows.join(rows.groupBy("ctx").agg(F.sum("n").alias("total")), "ctx").join(above, _low("key", k) == F.col("up"))
         own = C.staged(rows.select("k", "key", "ctx", "n", "total", ((F.col("n") + beta * F.col("up_prob")) / (F.col("total") + beta)).alias("prob")), f"next-{k}")
         above = own.select(F.col("key").alias("up"), F.col("prob").alias("up_prob"))
         entries = own if entries is None else entries.unionByName(own)
+    if at < depth:
+        entries = entries.unionByName(_smoothed_runs(longer, states, own, depth, at, beta))
     return root, entries
 
 
