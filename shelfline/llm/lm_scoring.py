@@ -26,6 +26,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -193,7 +194,11 @@ class Backoff:
         pad[begins - self.depth] += 1
         pad[begins] -= 1
         inside = np.flatnonzero(np.cumsum(pad[:-1]) == 0)
-        one, back = np.unique(windows(raw, self.depth + 1)[inside], return_inverse=True)
+        back, one = pd.factorize(windows(raw, self.depth + 1)[inside])  # by hash: faster than sorting all places
+        order = np.argsort(one)
+        one, place = one[order], np.empty_like(order)
+        place[order] = np.arange(len(order))
+        back = place[back]
         v, length, deep = self.values(one)
         first = np.append(np.searchsorted(inside, begins), len(inside))
         sums = np.concatenate(([0.0], np.cumsum(np.where(deep, 0.0, v)[back])))
@@ -394,7 +399,12 @@ def _held(root: np.ndarray, entries: DataFrame, depth: int, beta: float, most: i
     beyond = states.filter("NOT held").select((F.col("k") - 1).alias("k"), F.col("ctx").bitwiseAND(parent).alias("ctx")).distinct()
     roots = beyond.filter("k = 0").select("k", "ctx")
     beyond = beyond.join(states.filter("held").select("k", "ctx"), ["k", "ctx"]).select("k", "ctx").unionByName(roots)
-    at_driver = lambda df: {k: [c.to_numpy() for c in df.filter(F.col("k") == k).drop("k").toArrow().columns] for k in range(depth + 1)}
+
+    def at_driver(df: DataFrame) -> list[list[np.ndarray]]:
+        """Columns after k, by k."""
+        k, *columns = (c.to_numpy() for c in df.toArrow().columns)
+        return [[c[k == m] for c in columns] for m in range(depth + 1)]
+
     held = at_driver(told.filter("held").select("k", "key", F.log10("prob").cast("float").alias("log10")))
     contexts = at_driver(states.filter("held").select("k", "ctx", _back(F.col("total"), beta).cast("float").alias("back")))
     levels = []
@@ -402,7 +412,7 @@ def _held(root: np.ndarray, entries: DataFrame, depth: int, beta: float, most: i
         (keys, logs), (ctx, back) = held[k], contexts[k]
         by_key, by_ctx = np.argsort(keys), np.argsort(ctx)
         levels.append((keys[by_key].view(np.uint64), logs[by_key], ctx[by_ctx].view(np.uint64), back[by_ctx]))
-    return Backoff(depth, np.log10((root + 0.5) / (root.sum() + 128)), levels, [np.sort(x[0]).view(np.uint64) for x in at_driver(beyond).values()])
+    return Backoff(depth, np.log10((root + 0.5) / (root.sum() + 128)), levels, [np.sort(x[0]).view(np.uint64) for x in at_driver(beyond)])
 
 
 def _beyond(open_runs: DataFrame, entries: DataFrame, depth: int, beta: float) -> DataFrame:
