@@ -286,36 +286,29 @@ def _tested_runs(grams: DataFrame, depth: int, at: int, floor: int, nats: float,
     return C.staged(dealt.repartition("t").sortWithinPartitions("t").mapInArrow(run, "k int, key long, n long, total long, passed boolean"), "runs")
 
 
-def _with_parts(contexts: DataFrame, k: int) -> DataFrame:
-    """(k, ctx) of all parts of contexts of k symbols."""
-    parts = [F.struct(F.lit(m).alias("k"), F.shiftrightunsigned("ctx", 8 * at).bitwiseAND(F.lit((1 << (8 * m)) - 1)).alias("ctx")) for m in range(1, k + 1) for at in range(k - m + 1)]
-    return contexts.select(F.explode(F.array(*parts)).alias("p")).select("p.k", "p.ctx")
-
-
-def _contexts(grams: DataFrame, depth: int, at: int, floor: int, nats: float, least_kl: float) -> tuple[DataFrame, list[DataFrame], DataFrame]:
-    """(k, ctx) of contexts that pass the tests and of all their parts; the runs by length, up to contexts of `at` symbols;
-    and (k, key, n, total) of longer ones, where their contexts were seen often enough."""
-    ctx = F.shiftrightunsigned("key", 8).alias("ctx")
-    runs = _tested_runs(grams, depth, at, floor, nats, least_kl)
-    levels = [runs.filter(F.col("k") == at).select("key", "n")]
-    for k in range(at - 1, -1, -1):
-        levels.insert(0, C.staged(levels[0].groupBy(_low("key", k + 1).alias("key")).agg(F.sum("n").alias("n")), f"runs-{k}"))
-    found = None
-    for k in range(1, depth + 1):
-        if k > at:
-            passed = runs.filter((F.col("k") == k) & F.col("passed")).select(ctx)
-        else:
-            of = lambda level: level.groupBy(ctx).agg(F.sum("n").alias("total"))
-            kept = of(levels[k]).filter(F.col("total") >= floor)
-            rows = levels[k].select("key", ctx, "n").join(kept, "ctx")
-            above = levels[k - 1].select(F.col("key").alias("up"), F.col("n").alias("up_n"))
-            above = above.join(of(levels[k - 1]).select(F.col("ctx").alias("up_ctx"), F.col("total").alias("up_total")), F.shiftrightunsigned("up", 8) == F.col("up_ctx"))
-            both = rows.join(above, _low("key", k) == F.col("up"))
-            gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / (F.col("up_n") / F.col("up_total"))))
-            passed = both.groupBy("ctx").agg(gain.alias("gain"), F.count("*").alias("next"), F.first("total").alias("total")).filter((F.col("gain") >= nats * F.col("next")) & (F.col("gain") >= least_kl * F.col("total")))
-        passed = _with_parts(passed, k)
-        found = passed if found is None else found.unionByName(passed)
-    return C.staged(found.distinct(), "states"), levels, runs.filter(F.col("k") > at).select("k", "key", "n", "total")
+def _steps(depth: int) -> list[tuple[int, int]]:
+    """Lengths of contexts that share a shuffle, (longest, the length that deals them): 6 to 4, 4 to 2, 2 to 1, 1 to 0."""
+    steps = []
+    while depth:
+        steps.append((depth, depth - (2 if depth > 3 else 1)))
+        depth = steps[-1][1]
+    return steps
+
+
+def _contexts(grams: DataFrame, depth: int, floor: int, nats: float, least_kl: float) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """(k, ctx) of contexts that pass the tests and of all their parts; for each step (k, key, n, total) of the runs whose
+    contexts were seen often enough; and (key, n) of single symbols."""
+    longer, passed, rows = [], None, grams
+    for top, at in _steps(depth):
+        runs = _tested_runs(rows, top, at, floor, nats, least_kl)
+        rows = runs.filter(F.col("k") == at).select("key", "n")
+        longer.append(runs.filter(F.col("k") > at).select("k", "key", "n", "total"))
+        found = runs.filter((F.col("k") > at) & F.col("passed")).select("k", F.shiftrightunsigned("key", 8).alias("ctx"))
+        passed = found if passed is None else passed.unionByName(found)
+    parts = passed.select("k", "ctx", F.explode(F.sequence(F.lit(1), "k")).alias("m"))
+    parts = parts.select("ctx", "m", F.explode(F.sequence(F.lit(0), F.col("k") - F.col("m"))).alias("after"))
+    part = F.expr("shiftrightunsigned(ctx, 8 * after) & (shiftleft(1L, 8 * m) - 1)")
+    return C.staged(parts.select(F.col("m").alias("k"), part.alias("ctx")).distinct(), "states"), longer, rows
 
 
 def _smoothed_runs(longer: DataFrame, states: DataFrame, shortest: DataFrame, depth: int, at: int, beta: float) -> DataFrame:
@@ -340,30 +333,24 @@ def _smoothed_runs(longer: DataFrame, states: DataFrame, shortest: DataFrame, de
     none, names = F.lit(0).cast("long"), ("k", "key", "n", "total", "prob")
     last = lambda ctx: ctx.bitwiseAND(F.lit((1 << (8 * at)) - 1)).alias("t")
     rows = longer.withColumn("prob", F.lit(0.0)).unionByName(shortest.select(*names)).select(last(F.shiftrightunsigned("key", 8)), *names)
-    marks = states.filter(F.col("k") > at).select(last(F.col("ctx")), "k", F.col("ctx").alias("key"), none.alias("n"), none.alias("total"), F.lit(0.0).alias("prob"))
+    marks = states.filter((F.col("k") > at) & (F.col("k") <= depth)).select(last(F.col("ctx")), "k", F.col("ctx").alias("key"), none.alias("n"), none.alias("total"), F.lit(0.0).alias("prob"))
     return C.staged(rows.unionByName(marks).repartition("t").sortWithinPartitions("t").mapInArrow(run, "k int, key long, ctx long, n long, total long, prob double"), "next")
 
 
-def fit_states(counts: DataFrame, depth: int, least: int, share: float, nats: float, least_kl: float, beta: float, at: int = 4) -> tuple[np.ndarray, DataFrame]:
-    """Counts of single symbols, and (k, key, ctx, n, total, prob): of each state the symbols seen next. Contexts of up to
-    `at` symbols, few in any corpus, meet by joins; longer ones share two shuffles by their last `at` symbols."""
-    at = min(at, depth)
+def fit_states(counts: DataFrame, depth: int, least: int, share: float, nats: float, least_kl: float, beta: float) -> tuple[np.ndarray, DataFrame]:
+    """Counts of single symbols, and (k, key, ctx, n, total, prob): of each state the symbols seen next."""
     grams = counts.filter("kind = 1").select("key", "n")
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    states, levels, longer = _contexts(grams, depth, at, max(least, math.ceil(total * share)), nats, least_kl)
+    states, longer, symbols = _contexts(grams, depth, max(least, math.ceil(total * share)), nats, least_kl)
     root = np.zeros(256, np.int64)
-    for key, n in levels[0].toLocalIterator():  # 256 at most
+    for key, n in symbols.toLocalIterator():  # 256 at most
         root[key] = n
-    above = levels[0].select(F.col("key").alias("up"), ((F.col("n") + 0.5) / (total + 128)).alias("up_prob"))
+    above = symbols.select(F.lit(0).alias("k"), "key", "n", F.lit(total).cast("long").alias("total"), ((F.col("n") + 0.5) / (total + 128)).alias("prob"))
     entries = None
-    for k in range(1, at + 1):
-        rows = levels[k].select("key", F.shiftrightunsigned("key", 8).alias("ctx"), "n").join(states.filter(F.col("k") == k), "ctx")
-        rows = rows.join(rows.groupBy("ctx").agg(F.sum("n").alias("total")), "ctx").join(above, _low("key", k) == F.col("up"))
-        own = C.staged(rows.select("k", "key", "ctx", "n", "total", ((F.col("n") + beta * F.col("up_prob")) / (F.col("total") + beta)).alias("prob")), f"next-{k}")
-        above = own.select(F.col("key").alias("up"), F.col("prob").alias("up_prob"))
+    for (top, at), runs in zip(reversed(_steps(depth)), reversed(longer), strict=True):
+        own = _smoothed_runs(runs, states, above, top, at, beta)
+        above = own.filter(F.col("k") == top)
         entries = own if entries is None else entries.unionByName(own)
-    if at < depth:
-        entries = entries.unionByName(_smoothed_runs(longer, states, own, depth, at, beta))
     return root, entries
 
 
