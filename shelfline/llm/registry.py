@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfline.llm import bpe, decontamination, language, lm_scoring, quality_classifier, quality_rules, secrets, shingles, toxicity, warc
+from shelfline.llm import bpe, decontamination, fill_in_middle, language, lm_scoring, quality_classifier, quality_rules, secrets, shingles, toxicity, warc
 
 QUERIES = {
     "op4_ngram_jaccard_join": shingles.op4_ngram_jaccard_join,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
 }
 
 SQL = {
     "op4_ngram_jaccard_join": shingles.OP4_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_benchmark_decontamination": decontamination.OP8_SQL,
+    "op12_fill_in_middle": fill_in_middle.OP12_SQL,
 }
