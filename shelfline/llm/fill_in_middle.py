@@ -30,7 +30,7 @@ TOGETHER = 4096
 
 
 def n_units(text: Column, unit: str) -> Column:
-    many = f"{unit}{{{TOGETHER}}}+"
+    many = f"\\G{unit}{{{TOGETHER}}}+"  # from the last match's end or not at all: no start is tried twice
     rest = F.regexp_replace(text, many, "")
     return (TOGETHER * F.regexp_count(text, F.lit(many)).cast("long") + F.regexp_count(rest, F.lit(unit))).alias("n")
 
