@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfline.llm import bpe, decontamination, fill_in_middle, language, lm_scoring, quality_classifier, quality_rules, secrets, shingles, toxicity, warc
+from shelfline.llm import bpe, conversation_repair, decontamination, fill_in_middle, language, lm_scoring, personal_data, quality_classifier, quality_rules, secrets, shingles, toxicity, warc
 
 QUERIES = {
     "op4_ngram_jaccard_join": shingles.op4_ngram_jaccard_join,
@@ -15,12 +15,15 @@ QUERIES = {
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_personal_data": personal_data.op13_personal_data,
 }
 
 SQL = {
     "op4_ngram_jaccard_join": shingles.OP4_SQL,
     "op7_warc": warc.OP7_SQL,
     "op8_benchmark_decontamination": decontamination.OP8_SQL,
+    "op11_conversation_repair": conversation_repair.OP11_SQL,
     "op12_fill_in_middle": fill_in_middle.OP12_SQL,
 }
