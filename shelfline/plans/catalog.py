@@ -19,6 +19,7 @@ from shelfline.operators import warehouse as WH
 from shelfline.plans import fixtures as P
 from shelfline.sources import listings as S
 from shelfline.sources import tables as T
+from shelfline.sources.snapshots import Snapshots
 from shelfline.staging import new_path
 from shelfline.streaming import incremental as J
 
@@ -770,15 +771,17 @@ _LATE = "TIMESTAMP '2000-06-01'"
 @query("j01_incremental_upsert", f"WITH {P.STAGED}, first_run AS (SELECT * FROM staged WHERE scraped_at < {_CUT}) SELECT scrape_run_id, product_id, product_name, shop_name, price_eur, scraped_at FROM first_run UNION ALL SELECT scrape_run_id, product_id, product_name, shop_name, price_eur, scraped_at FROM staged WHERE scraped_at > (SELECT max(scraped_at) FROM first_run)")
 def _(s, d):
     rows = P.staged(s, d).select("scrape_run_id", "product_id", "product_name", "shop_name", "price_eur", "scraped_at")
-    first = J.incremental_upsert(rows.filter("scraped_at < '2001-01-01'"), None, ["scrape_run_id", "product_id"], c("scraped_at"))
-    return J.incremental_upsert(rows.filter("scraped_at >= '2000-06-01'"), first, ["scrape_run_id", "product_id"], c("scraped_at"))
+    path, keys = _shared(s, "prices"), ["scrape_run_id", "product_id"]
+    J.upsert_table(rows.filter("scraped_at < '2001-01-01'"), path, keys, "scraped_at")
+    return J.upsert_table(rows.filter("scraped_at >= '2000-06-01'"), path, keys, "scraped_at").read()
 
 
 @query("j02_incremental_fact", f"WITH {P.HISTORY}, first_run AS (SELECT * FROM fact WHERE scrape_date < DATE '2001-01-01') SELECT * FROM first_run UNION ALL SELECT * FROM fact WHERE scrape_date > (SELECT max(scrape_date) FROM first_run)")
 def _(s, d):
     facts = WH.fact_price(P.staged(s, d))
-    first = facts.filter("scrape_date < '2001-01-01'")
-    return J.incremental_upsert(facts, first, ["scrape_run_id", "product_id"], c("scrape_date"))
+    path, keys = _shared(s, "facts"), ["scrape_run_id", "product_id"]
+    J.upsert_table(facts.filter("scrape_date < '2001-01-01'"), path, keys, "scrape_date")
+    return J.upsert_table(facts, path, keys, "scrape_date").read()
 
 
 @query("j03_tombstone_delete", "WITH l AS (SELECT user_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY 1) SELECT user_id, event_type AS email, cast(NULL AS double) AS value, TIMESTAMP '2030-01-01' AS created_at, TIMESTAMP '2030-01-01' AS deleted_at FROM l WHERE event_type = 'error'")
@@ -813,10 +816,11 @@ def _(s, d):
 def _(s, d):
     base = _shared(s, "stream")
     P.listings(s, d).write.parquet(f"{base}/in")
-    name = f"shelfline_{uuid.uuid4().hex[:12]}"
+    table = Snapshots(s, f"{base}/table", ["scrape_run_id", "product_id"], "scraped_at")
     stage = lambda df: WH.staging(df, brands=P.BRANDS, variants=P.VARIANTS)
-    J.stream_listings(s, f"{base}/in", P.listings(s, d).schema, f"{base}/checkpoint", name, ["scrape_run_id", "product_id"], "scraped_at", stage, "parquet", maxFilesPerTrigger=2)
-    return s.table(name).select("scrape_run_id", "product_id", "price_eur")
+    # Files are in no order of time, so that any row may be ten years late.
+    J.stream_listings(s, f"{base}/in", P.listings(s, d).schema, f"{base}/checkpoint", table, stage, "4000 days", "parquet", maxFilesPerTrigger=2)
+    return table.read().select("scrape_run_id", "product_id", "price_eur")
 
 
 # Checks

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfline.sources.snapshots import Snapshots
+from shelfline.staging import staged
+
 
 def new_rows(source: DataFrame, target: DataFrame | None, watermark: Column, target_mark: Column | None = None) -> DataFrame:
     """All rows at first; later those past the target's largest mark. Late rows are dropped; an empty target takes none."""
@@ -37,18 +38,12 @@ def incremental_upsert(source: DataFrame, target: DataFrame | None, keys: list[s
     return target.join(fresh.select(*keys), keys, "left_anti").select(*source.columns).unionByName(fresh)
 
 
-def upsert_table(source: DataFrame, table: str, keys: list[str], watermark: str, **kwargs) -> None:
-    """incremental_upsert into a table: written aside once, then put in its place by renaming, so that readers find the old
-    rows or the new ones, and a failed run leaves the old ones."""
-    spark = source.sparkSession
-    there = spark.catalog.tableExists(table)
-    aside, old = (f"{table}_{uuid.uuid4().hex[:8]}" for _ in range(2))
-    incremental_upsert(source, spark.table(table) if there else None, keys, F.col(watermark), **kwargs).write.saveAsTable(aside)
-    if there:
-        spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
-    spark.sql(f"ALTER TABLE {aside} RENAME TO {table}")
-    if there:
-        spark.sql(f"DROP TABLE {old}")
+def upsert_table(source: DataFrame, path: str, keys: list[str], watermark: str, every: str = "month", **kwargs) -> Snapshots:
+    """One run of an incremental table at a path: rows past its largest time come in, each in place of the one with its keys.
+    Readers find the old rows or the new ones, wherever a run stops, and only the months (or days) concerned are written."""
+    table = Snapshots(source.sparkSession, path, keys, watermark, every)
+    table.upsert(source, **kwargs)
+    return table
 
 
 def tombstones(df: DataFrame, key: str, carried: list[str], at: Column, deleted: str = "deleted_at", created: str = "created_at") -> DataFrame:
@@ -74,22 +69,38 @@ def resume(todo: DataFrame, table: str, keys: list[str]) -> DataFrame:
     return todo.join(spark.table(table).select(*keys).distinct(), keys, "left_anti")
 
 
-def stream_listings(spark: SparkSession, path: str, schema, checkpoint: str, table: str, keys: list[str], watermark: str, transform=None, fmt: str = "csv", **options):
-    """A file source whose micro-batches are staged and land in a table beside the target; runs through what is there and
-    stops. One upsert then takes them over: rows past the target's largest time as it was before the run, of each key the
-    latest. So neither the order of files nor how they fall into batches changes the result, and the target is written once.
-    Rows that had landed when a run failed are taken over by the next.
-    """
-    source = spark.readStream.schema(schema).options(**({"header": "true"} | options if fmt == "csv" else options)).format(fmt).load(path)
-    landed = f"{table}_landed"
+def latest_in_state(rows: DataFrame, keys: list[str], time: str, order: list[str], delay: str, window: str = "1 day") -> DataFrame:
+    """Of a stream, the last row in order of each key and window of time. The state store holds that row until the stream's
+    watermark (the largest time less `delay`) has passed the window's end; later rows of the window are dropped, as are rows without a time."""
+    columns = rows.columns
+    last = F.max_by(F.struct(*columns), F.struct(*order)).alias("_r")
+    return rows.withWatermark(time, delay).groupBy(*keys, F.window(time, window)).agg(last).select("_r.*")
+
 
-    def batch(df: DataFrame, _: int) -> None:
-        (transform(df) if transform else df).write.mode("append").saveAsTable(landed)
+_STATE = "spark.sql.streaming.stateStore.providerClass"
 
-    query = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if spark.catalog.tableExists(landed):
-        rows = spark.table(landed)
-        upsert_table(rows, table, keys, watermark, on_duplicate="last", order=[watermark, *(c for c in rows.columns if c not in (*keys, watermark))])
-        spark.sql(f"DROP TABLE {landed}")
+
+def stream_listings(spark: SparkSession, path: str, schema, checkpoint: str, table: Snapshots, transform=None, delay: str = "7 days", fmt: str = "csv", **options):
+    """A file source that lands in a table of snapshots: runs through the files that are there and stops.
+
+    Keyed event-time state holds each key's latest row, and what changes in a batch goes to the table, where a row gives way to
+    one that comes after it only. So the order of files and how they fall into batches don't change the result, as long as
+    rows are no later than `delay`. The table's manifest keeps the last batch that this stream has brought: a batch that is sent
+    again, because the run stopped between the table's commit and the stream's, changes nothing. State is kept in RocksDB, on disk.
+    """
+    source = spark.readStream.schema(schema).options(**({"header": "true"} | options if fmt == "csv" else options)).format(fmt).load(path)
+    rows = transform(source) if transform else source
+    order = [table.time, *(c for c in rows.columns if c not in (table.time, *table.keys))]
+
+    def bring(df: DataFrame, number: int) -> None:
+        # Written first, whatever comes of it, so that every batch's state is worked out once and kept.
+        table.upsert(staged(df, "arrivals"), on_duplicate="last", order=order, late="newer", batch=(checkpoint, number))
+
+    before = spark.conf.get(_STATE, None)
+    spark.conf.set(_STATE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = latest_in_state(rows, table.keys, table.time, order, delay).writeStream.outputMode("update").foreachBatch(bring).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(_STATE) if before is None else spark.conf.set(_STATE, before)
     return query
