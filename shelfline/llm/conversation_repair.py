@@ -45,6 +45,8 @@ NEXT = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "
 GOALS = ("", "a")
 #: What a row is to the agenda: its initial, in capitals if truncated ("o": another); MUST_GO for blank and duplicate rows.
 MUST_GO = "x"
+#: Repeated turns are broadcast up to this count (some 20 MB: an id, a digest and a turn each), else joined.
+MOST_BROADCAST = 200_000
 BLOCK, CHUNK_ROWS, CHUNK_BYTES = 1024, 1024, 1 << 20
 FULL = {"u": "user", "a": "assistant"}
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -150,10 +152,12 @@ def coded(rows: DataFrame) -> DataFrame:
     """Rows (_c, _t, _r, _x, _n) with what is known of each alone, and whether its role and text stand in an earlier turn.
     Equal rows of one turn are one row of more copies."""
     core = F.rtrim(F.col("_x"), F.lit(C.SPACES.decode()))
-    own = rows.withColumn("_d", F.when((F.col("_n") > 0) & (core != ""), F.unhex(F.sha2(F.col("_x").cast("binary"), 256))))
-    times = own.filter("_d IS NOT NULL").groupBy("_c", "_r", "_d").agg(F.count("*").alias("_k"), F.min(F.struct("_t")).alias("_first")).filter("_k > 1")
-    e = times.select(F.col("_c").alias("_c2"), F.col("_r").alias("_r2"), F.col("_d").alias("_d2"), "_first")
-    found = own.join(e, F.col("_c").eqNullSafe(F.col("_c2")) & (F.col("_r") == F.col("_r2")) & (F.col("_d") == F.col("_d2")), "left")
+    whole = F.concat(F.length("_r").cast("string"), F.lit(":"), "_r", "_x")
+    own = rows.withColumn("_d", F.when((F.col("_n") > 0) & (core != ""), F.unhex(F.sha2(whole.cast("binary"), 256))))
+    times = own.filter("_d IS NOT NULL").groupBy("_c", "_d").agg(F.count("*").alias("_k"), F.min(F.struct("_t")).alias("_first")).filter("_k > 1")
+    times = C.staged(times.select(F.col("_c").alias("_c2"), F.col("_d").alias("_d2"), "_first"), "repeated")
+    e = F.broadcast(times) if times.count() <= MOST_BROADCAST else times
+    found = own.join(e, F.col("_c").eqNullSafe(F.col("_c2")) & (F.col("_d") == F.col("_d2")), "left")
     once = found.filter("_first IS NULL").select("_c", "_t", "_r", "_x", "_n", F.lit(False).alias("_again"))
     again = (F.col("_first") < F.struct("_t")).alias("_again")
     more = found.filter("_first IS NOT NULL").groupBy("_c", "_t", "_r", "_d", "_first").agg(F.first("_x").alias("_x"), F.sum("_n").alias("_n")).select("_c", "_t", "_r", "_x", "_n", again)
