@@ -29,9 +29,10 @@ def valid_email(c: Column) -> Column:
 def parse_price(raw: Column) -> Column:
     """Price text to a double: currency marks and blanks go, a comma is a point; null if what is left isn't a plain number."""
     bare = raw
-    for mark in ("€", "EUR", " ", "\u00a0"):
+    for mark in ("€", "EUR", " "):
         bare = F.replace(bare, F.lit(mark), F.lit(""))
-    bare = F.trim(F.replace(bare, F.lit(","), F.lit(".")))
+    # What other white space stands around the number goes; within it, it makes the text no number.
+    bare = F.regexp_replace(F.replace(bare, F.lit(","), F.lit(".")), r"^[\s\x{A0}]+|[\s\x{A0}]+$", "")
     return F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), bare.try_cast("double"))
 
 
@@ -133,13 +134,27 @@ def clean_image_url(c: Column) -> Column:
     return F.when(c.isNull() | (c == ""), "").when(c.startswith("http"), c).otherwise(F.coalesce(F.nullif(d["url"], F.lit("")), F.nullif(d["contentUrl"], F.lit("")), d["image"], F.lit("")))
 
 
-def collation_key(c: Column) -> Column:
-    """A text whose order is that of c without regard to case, and with runs of digits as numbers."""
-    def part(p: Column) -> Column:
-        digits = F.regexp_replace(p, "^0+(?=.)", "")
-        return F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)).otherwise(F.lower(p))
+def shown_text(c: Column, kind: str) -> Column:
+    """A value as a page shows it: whole numbers without a point, null as the word."""
+    text = c.cast("string")
+    return F.coalesce(F.regexp_replace(text, r"\.0$", "") if kind in ("double", "float") else text, F.lit("null"))
 
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit("([0-9]+|[^0-9]+)"), F.lit(0)), part), "")
+
+def collation_order(c: Column, collations: tuple[str, ...] = ("UNICODE_CI_AI", "UNICODE_CI", "UNICODE")) -> list[Column]:
+    """Columns whose order is that of texts by the Unicode collation, with runs of digits as numbers: letters first, then
+    their accents, then their case (small before capital), each over the whole text. Others of Spark's collations, such as those of
+    a language, can be named, one for each level."""
+    runs = F.regexp_extract_all(c, F.lit("([^0-9]*[0-9]+|[^0-9]+)"), F.lit(0))
+
+    def level(collation: str) -> Column:
+        def part(p: Column) -> Column:
+            # A run of digits stands as one digit, so that what comes before it is compared as if its first digit followed.
+            text, digits = F.regexp_replace(p, "[0-9]+$", "0"), F.regexp_replace(F.regexp_extract(p, "[0-9]*$", 0), "^0+(?=.)", "")
+            return F.struct(F.collate(text, collation).alias("text"), F.length(digits).alias("size"), digits.alias("digits"))
+
+        return F.transform(runs, part)
+
+    return [level(x) for x in collations]
 
 
 def short_name(name: Column, most: int = 40) -> Column:

@@ -7,30 +7,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfline.functions import text as X
+from shelfline.operators.ranks import positions
 from shelfline.operators.relational import latest_snapshot
 from shelfline.operators.warehouse import mean
+from shelfline.staging import staged
 
 
 def _spread(col: str, name: str) -> list[Column]:
     return [X.round_half_up(mean(F.col(col)), 2).alias(f"avg_{name}"), F.min(col).alias(f"min_{name}"), F.max(col).alias(f"max_{name}")]
 
 
-def _at_latest(comparison: DataFrame) -> DataFrame:
-    return latest_snapshot(comparison, F.col("scrape_month"))
+def _at_latest(comparison: DataFrame, latest: bool = True) -> DataFrame:
+    """Rows of the latest month; latest=False: the rows given are of one month already (as Snapshots.read_last gives them)."""
+    return latest_snapshot(comparison, F.col("scrape_month")) if latest else comparison
 
 
-def price_by_brand(comparison: DataFrame) -> DataFrame:
+def price_by_brand(comparison: DataFrame, latest: bool = True) -> DataFrame:
     prices = [*_spread("avg_price_per_100ml", "price_per_100ml"), *_spread("avg_price_eur", "price_eur")]
-    return _at_latest(comparison).groupBy("brand", "scrape_month").agg(F.countDistinct("global_product_id").alias("product_count"), F.countDistinct("shop_name").alias("shop_count"), *prices)
+    return _at_latest(comparison, latest).groupBy("brand", "scrape_month").agg(F.countDistinct("global_product_id").alias("product_count"), F.countDistinct("shop_name").alias("shop_count"), *prices)
 
 
-def price_by_shop(comparison: DataFrame) -> DataFrame:
+def price_by_shop(comparison: DataFrame, latest: bool = True) -> DataFrame:
     prices = [*_spread("avg_price_per_100ml", "price_per_100ml"), *_spread("avg_price_eur", "price_eur")]
-    return _at_latest(comparison).groupBy("shop_name", "scrape_month").agg(F.countDistinct("global_product_id").alias("product_count"), F.countDistinct("brand").alias("brand_count"), *prices)
+    return _at_latest(comparison, latest).groupBy("shop_name", "scrape_month").agg(F.countDistinct("global_product_id").alias("product_count"), F.countDistinct("brand").alias("brand_count"), *prices)
 
 
-def shop_stats(comparison: DataFrame) -> DataFrame:
-    return _at_latest(comparison).groupBy("shop_name").agg(F.countDistinct("global_product_id").alias("product_count"), *_spread("avg_price_eur", "price")).orderBy("avg_price", "shop_name")
+def shop_stats(comparison: DataFrame, latest: bool = True) -> DataFrame:
+    return _at_latest(comparison, latest).groupBy("shop_name").agg(F.countDistinct("global_product_id").alias("product_count"), *_spread("avg_price_eur", "price")).orderBy("avg_price", "shop_name")
 
 
 def price_rows(comparison: DataFrame) -> DataFrame:
@@ -48,10 +51,10 @@ def price_rows(comparison: DataFrame) -> DataFrame:
     ).orderBy("scrape_month", F.desc("avg_price_eur"), "global_product_id", "shop_name")
 
 
-def scorecards(comparison: DataFrame) -> DataFrame:
+def scorecards(comparison: DataFrame, latest: bool = True) -> DataFrame:
     """One row; noughts when there are no rows. `shops` is the largest number of shops of one product."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return _at_latest(comparison).agg(
+    return _at_latest(comparison, latest).agg(
         zero(X.round_half_up(mean(F.col("avg_price_eur")), 2)).alias("avg_price"),
         zero(F.min("min_price_eur")).alias("cheapest"),
         zero(F.max("max_price_eur")).alias("most_expensive"),
@@ -76,10 +79,10 @@ def top_products(comparison: DataFrame, n: int = 10) -> DataFrame:
     return ranked.limit(n).crossJoin(F.broadcast(total)).select("product_name", "price", F.greatest(F.col("_all") - n, F.lit(0)).alias("hidden"))
 
 
-def rank_shops(comparison: DataFrame) -> DataFrame:
-    """Position of each shop by mean price, the cheapest first. One row per shop is ranked, in one task."""
-    stats = _at_latest(comparison).groupBy("shop_name").agg(X.round_half_up(mean(F.col("avg_price_eur")), 2).alias("avg_price"))
-    return stats.select("shop_name", "avg_price", F.row_number().over(W.orderBy("avg_price", "shop_name")).alias("position"))
+def rank_shops(comparison: DataFrame, latest: bool = True) -> DataFrame:
+    """Position of each shop by mean price, the cheapest first."""
+    stats = _at_latest(comparison, latest).groupBy("shop_name").agg(X.round_half_up(mean(F.col("avg_price_eur")), 2).alias("avg_price"))
+    return positions(stats, [F.col("avg_price"), F.col("shop_name")]).select("shop_name", "avg_price", F.col("position").cast("int").alias("position"))
 
 
 def best_pick(df: DataFrame, value: str, by: str) -> DataFrame:
@@ -87,13 +90,17 @@ def best_pick(df: DataFrame, value: str, by: str) -> DataFrame:
     return df.agg(F.min_by(value, F.struct(-F.col(by), value)).alias(value), F.max(by).alias(by))
 
 
-def market_snapshot(comparison: DataFrame) -> DataFrame:
+def market_snapshot(comparison: DataFrame, latest: bool = True) -> DataFrame:
     """Per shop: mean price, products, price range; beside the market's figures."""
-    now = _at_latest(comparison)
-    whole = now.agg(X.round_half_up(mean(F.col("avg_price_eur")), 2).alias("market_avg"), F.countDistinct("global_product_id").alias("market_products"), F.countDistinct("brand").alias("market_brands"), F.countDistinct("shop_name").alias("market_shops"))
-    shops = now.groupBy("shop_name").agg(X.round_half_up(mean(F.col("avg_price_eur")), 2).alias("avg_price"), F.countDistinct("global_product_id").alias("products"), F.min("min_price_eur").alias("_low"), F.max("max_price_eur").alias("_high"))
+    rows = _at_latest(comparison, latest)
+    # Each shop and the whole market by one scan; a row for each shop, and one more, are written.
+    avg, ends = X.round_half_up(mean(F.col("avg_price_eur")), 2).alias("avg_price"), (F.min("min_price_eur").alias("_low"), F.max("max_price_eur").alias("_high"))
+    counts = [F.countDistinct(c).alias(n) for c, n in (("global_product_id", "products"), ("brand", "_brands"), ("_shop", "_shops"))]
+    sets = rows.withColumn("_shop", F.col("shop_name")).groupingSets([["shop_name"], []], "shop_name").agg(F.grouping("shop_name").alias("_all"), avg, *counts, *ends)
+    told = staged(sets, "market")
+    whole = told.filter("_all = 1").select(F.col("avg_price").alias("market_avg"), F.col("products").alias("market_products"), F.col("_brands").alias("market_brands"), F.col("_shops").alias("market_shops"))
     price_range = F.concat(F.format_string("%.2f", "_low"), F.lit(" – "), F.format_string("%.2f", "_high"))
-    return shops.select("shop_name", "avg_price", "products", price_range.alias("price_range")).crossJoin(F.broadcast(whole))
+    return told.filter("_all = 0").select("shop_name", "avg_price", "products", price_range.alias("price_range")).crossJoin(F.broadcast(whole))  # one row
 
 
 def shop_origin_first(df: DataFrame, order: list[str], shop: str = "shop_name", url: str = "product_url") -> DataFrame:
@@ -158,9 +165,15 @@ def label_progress(todo: DataFrame, labels: DataFrame, keys: list[str], verdict:
     return told.crossJoin(pairs)
 
 
-def component_listing(components: DataFrame) -> DataFrame:
-    """Components of more than one member, members in order. A component is one product's listings, and so of bounded size."""
-    return components.groupBy("root").agg(F.sort_array(F.collect_list("node")).alias("members"), F.count("*").alias("size")).filter("size > 1")
+def component_listing(components: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """(root, chunk, members, size) of components of more than one member: members in order, in lists of at most `chunk`.
+
+    Members are placed by ranges of (root, node) over all tasks, so that a component of any size is never gathered in one.
+    """
+    placed = positions(components.select("root", "node").distinct(), [F.col("root"), F.col("node")], "_at")
+    sizes = placed.groupBy("root").agg(F.min("_at").alias("_first"), F.count("*").alias("size")).filter("size > 1")
+    cut = placed.join(sizes, "root").withColumn("chunk", F.floor((F.col("_at") - F.col("_first")) / chunk))
+    return cut.groupBy("root", "chunk", "size").agg(F.sort_array(F.collect_list("node")).alias("members")).select("root", "chunk", "members", "size")
 
 
 def star_edges(groups: DataFrame, group: str, member: list[str]) -> DataFrame:
@@ -191,6 +204,27 @@ def conversation_rollup(turns: DataFrame, conv: str = "conv_id", order: str = "t
     return rows.select(conv, F.to_json(plain).alias("conversation_json"), F.array_join(F.slice(user, 1, 3), " / ").alias("reason"), F.element_at("h", -1)["text"].alias("ai_reply"), plain.alias("history"))
 
 
+def conversation_summary(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role: str = "role", said: str = "text") -> DataFrame:
+    """(conv, reason, ai_reply, turns) without the history: the first three user turns, the last turn's text, and their number.
+    No list of all turns is made: of a long conversation each task hands on its three first user turns and its last."""
+    last = turns.groupBy(conv).agg(F.max_by(said, F.struct(order, role, said)).alias("ai_reply"), F.count("*").alias("turns"))
+    w = W.partitionBy(conv).orderBy(order, said)
+    first = turns.filter(F.col(role) == "user").withColumn("_n", F.row_number().over(w)).filter("_n <= 3")
+    reason = first.groupBy(F.col(conv).alias("_conv")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.col(said).alias("x")))), lambda t: t["x"]), " / ").alias("reason"))
+    return last.join(reason, F.col(conv).eqNullSafe(F.col("_conv")), "left").select(conv, F.coalesce("reason", F.lit("")).alias("reason"), "ai_reply", "turns")
+
+
+def history_chunks(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role: str = "role", said: str = "text", chunk: int = 1000) -> DataFrame:
+    """(conv, chunk, history): each conversation's turns in order as JSON lists of at most `chunk` turns, placed by ranges
+    over all tasks. A history of at most `chunk` turns is conversation_rollup's."""
+    placed = positions(turns.select(conv, order, role, said), [F.col(c).asc_nulls_first() for c in (conv, order, role, said)], "_at")
+    first = placed.groupBy(F.col(conv).alias("_conv")).agg(F.min("_at").alias("_first"))
+    cut = placed.join(first, F.col(conv).eqNullSafe(F.col("_conv"))).withColumn("chunk", F.floor((F.col("_at") - F.col("_first")) / chunk))
+    turn = F.struct(F.col("_at"), F.struct(F.col(role).alias("role"), F.col(said).alias("text")).alias("t"))
+    lists = F.transform(F.sort_array(F.collect_list(turn)), lambda x: x["t"])
+    return cut.groupBy(conv, "chunk").agg(F.to_json(lists).alias("history"))
+
+
 # Pixels
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfline.functions.text import collation_key
 from shelfline.functions import text as X
+from shelfline.functions.text import collation_order, shown_text
+from shelfline.operators.ranks import positions
 
 
 # Filters
@@ -30,11 +31,21 @@ def facet_filter(df: DataFrame, **facets) -> DataFrame:
     return reduce(lambda d, f: d.filter(F.col(f[0]) == f[1]), [f for f in facets.items() if f[1] is not None], df)
 
 
-def search_and_sort(df: DataFrame, text: str, search: str, by: str, ascending: bool = True) -> DataFrame:
-    """Rows whose column holds the text, whatever its case, in order of any column: texts without regard to case and with
-    their digits as numbers, so that "Brand 2" comes before "brand 10"."""
-    col = collation_key(F.col(by)) if dict(df.dtypes)[by] == "string" else F.col(by)
-    return df.filter(F.lower(search).contains(text.lower())).orderBy(col.asc() if ascending else col.desc())
+def shown_order(df: DataFrame, by: str, ascending: bool = True) -> list[Column]:
+    """The order of any column's values as they are shown, numbers included: by the Unicode collation, digits as numbers."""
+    keys = collation_order(shown_text(F.col(by), dict(df.dtypes)[by]))
+    return [k.asc() if ascending else k.desc() for k in keys]
+
+
+def search_and_sort(df: DataFrame, text: str, search: str, by: str, ascending: bool = True, then: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose column holds the text, whatever its case, in the order of any column as it is shown: "Brand 2" before "brand
+    10", "e" before "é" before "f", 1.5 before 1.25, and null among the words with n. Ties go by the columns of `then`."""
+    return df.filter(F.lower(search).contains(text.lower())).orderBy(*shown_order(df, by, ascending), *then)
+
+
+def search_and_rank(df: DataFrame, text: str, search: str, by: str, ascending: bool = True, then: tuple[str, ...] = (), place: str = "place") -> DataFrame:
+    """search_and_sort's rows with their places, for pages of a long result."""
+    return positions(df.filter(F.lower(search).contains(text.lower())), [*shown_order(df, by, ascending), *(F.col(c) for c in then)], place)
 
 
 def latest_snapshot(df: DataFrame, by: Column) -> DataFrame:
@@ -100,42 +111,11 @@ def dedup_labels(labels: DataFrame, left: list[str], right: list[str], order: li
     return labels.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def blocked_pairs(df: DataFrame, block: list[str], side: str, columns: list[str], salt: int = 1) -> DataFrame:
-    """Distinct pairs within a block whose left side is the smaller; rows with a null block column pair with none.
-
-    Each block can be split: the right rows are copied to `salt` parts and the left rows dealt over them.
-    """
-    cols = [side, *columns]
-    a = df.select(*block, *(F.col(c).alias(f"{c}_1") for c in cols)).distinct()
-    b = df.select(*block, *(F.col(c).alias(f"{c}_2") for c in cols)).distinct()
-    keys = block
-    if salt > 1:
-        a = a.withColumn("_salt", F.pmod(F.xxhash64(*(f"{c}_1" for c in cols)), F.lit(salt)).cast("int"))
-        b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        keys = [*block, "_salt"]
-    return a.join(b, keys).filter(F.col(f"{side}_1") < F.col(f"{side}_2")).drop("_salt").distinct()
-
-
 def anti_join_done(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What hasn't been done yet."""
     return todo.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def dictionary_join(df: DataFrame, name: str, dictionary: DataFrame, keyword: str, label: str, unknown: list[str] = (), other: str = "UNKNOWN", most_keywords: int = 10_000) -> DataFrame:
-    """df with the label of the longest keyword that a name has (ties by label); none and listed names are `other`.
-
-    The dictionary is collected, after a count against its bound, into one array that every task scans: no row is doubled.
-    """
-    rows = dictionary.select(F.lower(keyword).alias("k"), F.col(label).alias("l")).distinct().limit(most_keywords + 1).collect()
-    if len(rows) > most_keywords:
-        raise ValueError(f"the dictionary has over {most_keywords} keywords")
-    ordered = sorted(((r.k, r.l) for r in rows), key=lambda r: (-len(r[0]), r[1], r[0]))
-    entries = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("l")) for k, v in ordered))
-    hit = F.get(F.filter(entries, lambda e: F.contains(F.lower(F.col(name)), e["k"])), F.lit(0))["l"] if ordered else F.lit(None).cast("string")
-    listed = F.col(name).isin(list(unknown)) if unknown else F.lit(False)
-    return df.withColumn(label, F.when(listed, other).otherwise(F.coalesce(hit, F.lit(other))))
-
-
 def enrich_dim(df: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", most_rows: int = 100_000) -> DataFrame:
     """df with a small dimension's columns; it is broadcast only if a count shows that it is small."""
     small = F.broadcast(dim) if dim.limit(most_rows + 1).count() <= most_rows else dim
@@ -181,5 +161,22 @@ def price_trend(df: DataFrame, month: str, product: str, price: str, products: l
     return df.groupBy(month).pivot(product, products).agg(F.min(price))
 
 
+def family_of(product: Column, families: Column | int) -> Column:
+    """A product's column family, from the first 32 bits of its MD5."""
+    return F.conv(F.substring(F.md5(product.cast("binary")), 1, 8), 16, 10).cast("long") % families
+
+
+def price_trend_by_product(df: DataFrame, month: str, product: str, price: str, per_family: int = 1000) -> DataFrame:
+    """(month, family, prices): the trend by product where products are more than columns may be.
+
+    Products are dealt by hash to as many column families as hold about `per_family` each; a month's row of a family is a map from product to its
+    lowest price, so that a row's size is bounded whatever the number of products. Null products are left out.
+    """
+    least = df.filter(F.col(product).isNotNull()).groupBy(month, product).agg(F.min(price).alias("_p"))
+    families = df.agg(F.greatest(F.lit(1), F.ceil(F.countDistinct(product) / per_family)).cast("long").alias("_families"))
+    dealt = least.crossJoin(F.broadcast(families)).withColumn("family", family_of(F.col(product), F.col("_families")))  # one row
+    return dealt.groupBy(month, "family").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(product, "_p")))).alias("prices"))
+
+
 def rounded(c: Column, digits: int = 2) -> Column:
     return X.round_half_up(c, digits)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfline.functions import rules
 from shelfline.functions import text as X
+from shelfline.sources.snapshots import Snapshots
 
 ATTRIBUTES = ["product_id", "global_product_id", "shop_name", "product_name", "brand", "product_variant", "volume_ml", "currency", "product_url", "product_image_url"]
 
@@ -94,3 +95,8 @@ def price_comparison(fact: DataFrame, dim: DataFrame, months: str = "latest") ->
     )
     shops = F.count("*").over(W.partitionBy("global_product_id", "scrape_month"))
     return per_shop.select("*", shops.alias("shop_count"), X.price_per_100ml(F.col("avg_price_eur"), F.col("volume_ml"), 2).alias("avg_price_per_100ml"))
+
+
+def comparison_table(spark: SparkSession, path: str) -> Snapshots:
+    """Where the comparison of all months is kept: parts by month, so that marts of one month read that part alone."""
+    return Snapshots(spark, path, ["global_product_id", "shop_name", "scrape_month"], "scrape_month", "month")

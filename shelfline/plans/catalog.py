@@ -13,14 +13,16 @@ from shelfline.functions import leads as L
 from shelfline.functions import matching as M
 from shelfline.functions import rules
 from shelfline.functions import text as X
-from shelfline.operators import graph, marts, quality
+from shelfline.operators import graph, keywords, marts, pairs, quality, ranks
 from shelfline.operators import relational as R
 from shelfline.operators import warehouse as WH
 from shelfline.plans import fixtures as P
 from shelfline.sources import listings as S
+from shelfline.sources import rejects
 from shelfline.sources import tables as T
 from shelfline.sources.snapshots import Snapshots
 from shelfline.staging import new_path
+from shelfline.staging import staged as written
 from shelfline.streaming import incremental as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +113,63 @@ def _(s, d):
     return reduce(DataFrame.unionByName, [S.parse_product_feed(_feed(part, k), k) for k in S.FEEDS])
 
 
+def _lists(df: DataFrame, kind: str) -> DataFrame:
+    """A payload of three products for each part: some lack variants, some payloads lack products or can't be read."""
+    k = c("p_partkey")
+
+    def product(j: int):
+        variants = F.when((k + j) % 5 == 0, F.array().cast("array<struct<price:string>>")).otherwise(F.array(F.struct(((k * 7 + j) % 100).cast("string").alias("price"))))
+        return F.struct(F.concat(c("p_name"), F.lit(f" {j}")).alias("title"), F.concat(F.lit("h"), k.cast("string"), F.lit(f"-{j}")).alias("handle"), variants.alias("variants"), F.array(F.struct(F.lit(f"i{j}").alias("src"))).alias("images"))
+
+    def card(j: int):
+        title = F.concat(c("p_name"), F.when((k + j) % 5 == 0, " 0").otherwise(f" {j}"))
+        return F.struct(title.alias("title"), F.struct(((k * 7 + j) % 100).cast("string").alias("now")).alias("price"), F.array(F.struct(F.lit(f"i{j}").alias("url"))).alias("images"), F.lit(f"/p/{j}").alias("link"))
+
+    payload = F.to_json(F.struct(F.array(*map(product, range(3))).alias("products")) if kind == "list" else F.struct(F.array(F.struct(F.array(*map(card, range(2))).alias("products")), F.struct(F.array(card(2)).alias("products"))).alias("cards")))
+    text = F.when(k % 10 == 9, "{broken").when(k % 10 == 8, F.lit(None).cast("string")).when(k % 10 == 7, '{"other": 1}').when(k % 10 == 6, " ").otherwise(payload)
+    return df.select(k.alias("feed_id"), F.lit(kind).alias("shop_name"), F.lit("https://shop/").alias("base_url"), text.alias("payload"))
+
+
+_EACH = "FROM part, (VALUES (0), (1), (2)) AS j(j) WHERE p_partkey % 10 < 6"
+_BAD = "SELECT p_partkey AS feed_id, cast(NULL AS bigint) AS pos, CASE p_partkey % 10 WHEN 9 THEN 'malformed JSON' WHEN 7 THEN 'no products' ELSE 'empty payload' END AS reason, '{k}' AS kind FROM part WHERE p_partkey % 10 >= 6"
+_AGAIN = "CASE WHEN (p_partkey + j) % 5 = 0 THEN 0 ELSE j END"
+
+
+@query("a08_feed_lists", f"SELECT p_partkey AS feed_id, p_name || ' ' || j AS product_name, '€' || ((p_partkey * 7 + j) % 100) AS raw_price, 'https://shop/products/h' || p_partkey || '-' || j AS product_url, 'i' || j AS image_url {_EACH} AND (p_partkey + j) % 5 <> 0 UNION ALL SELECT p_partkey, p_name || ' ' || title, '€' || ((p_partkey * 7 + j) % 100) || '.00', 'https://shop/p/' || j, 'i' || j FROM (SELECT p_partkey, p_name, {_AGAIN} AS title, min(j) AS j {_EACH} GROUP BY 1, 2, 3)")
+def _(s, d):
+    part = P.table(s, d, "part")
+    return reduce(DataFrame.unionByName, [S.parse_product_feed(_lists(part, k), k) for k in ("list", "cards")]).select("feed_id", "product_name", "raw_price", "product_url", "image_url")
+
+
+@query("a08_feed_rejects", f"{_BAD.format(k='list')} UNION ALL SELECT p_partkey, cast(j AS bigint), 'no variants', 'list' {_EACH} AND (p_partkey + j) % 5 = 0 UNION ALL {_BAD.format(k='cards')} UNION ALL SELECT p_partkey, cast(j AS bigint), 'title again', 'cards' FROM (SELECT p_partkey, j, row_number() OVER (PARTITION BY p_partkey, {_AGAIN} ORDER BY j) AS n {_EACH}) WHERE n > 1")
+def _(s, d):
+    part, name = P.table(s, d, "part"), f"shelfline_{uuid.uuid4().hex[:12]}"
+    for k in ("list", "cards"):
+        rejects.quarantine(rejects.feed_rejects(_lists(part, k), k), name, k, F.lit("2024-01-01").cast("timestamp"))
+    return s.table(name).select("feed_id", "pos", "reason", c("source").alias("kind"))
+
+
+@query("a08_rows_in_are_rows_out", f"SELECT kind, rows_in, rows_out, rejected FROM (SELECT 'list' AS kind, (SELECT count(*) {_EACH}) AS rows_in, (SELECT count(*) {_EACH} AND (p_partkey + j) % 5 <> 0) AS rows_out, (SELECT count(*) {_EACH} AND (p_partkey + j) % 5 = 0) AS rejected UNION ALL SELECT 'cards', (SELECT count(*) {_EACH}), (SELECT count(*) FROM (SELECT DISTINCT p_partkey, {_AGAIN} {_EACH})), (SELECT count(*) {_EACH}) - (SELECT count(*) FROM (SELECT DISTINCT p_partkey, {_AGAIN} {_EACH})))")
+def _(s, d):
+    part = P.table(s, d, "part")
+
+    def told(k: str) -> DataFrame:
+        feeds = written(_lists(part, k), "feeds")
+        n = feeds.filter("feed_id % 10 < 6").agg((F.count("*") * 3).alias("rows_in"))
+        out = S.parse_product_feed(feeds, k).agg(F.count("*").alias("rows_out"))
+        bad = rejects.feed_rejects(feeds, k).filter("pos IS NOT NULL").agg(F.count("*").alias("rejected"))
+        return n.crossJoin(out).crossJoin(bad).select(F.lit(k).alias("kind"), "rows_in", "rows_out", "rejected")  # one row each
+
+    return told("list").unionByName(told("cards"))
+
+
+@query("a09_page_rejects", "SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 'empty page' ELSE 'no price' END AS reason FROM pages WHERE page_id % 4 <> 0")
+def _(s, d):
+    priced = F.concat("html", F.lit('<meta content="1.5" itemprop="price">'))
+    pages = P.table(s, d, "pages").select("page_id", "url", F.when(c("page_id") % 4 == 0, priced).when(c("page_id") % 4 == 1, " ").otherwise(c("html")).alias("html"))
+    return rejects.page_rejects(pages, "page_id").select("page_id", "reason")
+
+
 @query("a14_standardize_sources", " UNION ALL ".join(f"SELECT shop_name, product_name, raw_price, currency, product_url, image_url FROM ({_FEED_SQL[k]})" for k in ("single", "search", "cards")))
 def _(s, d):
     part = P.table(s, d, "part")
@@ -129,6 +188,16 @@ def _(s, d):
     return S.parse_osm_elements(docs).drop("pos")
 
 
+@query("a11_element_rejects", "SELECT c_custkey, CASE WHEN c_custkey % 10 < 8 THEN cast(j AS bigint) END AS pos, CASE c_custkey % 10 WHEN 9 THEN 'malformed JSON' WHEN 8 THEN 'no elements' ELSE CASE j WHEN 0 THEN 'no name' ELSE 'no shop to keep' END END AS reason FROM customer, (VALUES (0), (1), (2)) AS j(j) WHERE CASE WHEN c_custkey % 10 >= 8 THEN j = 0 ELSE j = 0 OR (j = 1 AND c_custkey % 2 = 1) END")
+def _(s, d):
+    """Three elements a payload: one without a name, one that is kept where the kitchen is Thai, one kept by its name."""
+    k = c("c_custkey")
+    element = lambda j, name, cuisine: F.struct(F.lit(str(j)).alias("id"), F.lit("node").alias("type"), F.create_map(F.lit("name"), name, F.lit("cuisine"), cuisine).alias("tags"))
+    parts = F.array(element(0, F.lit("  "), F.lit("thai")), element(1, F.lit("Corner"), F.when(k % 2 == 0, "Thai").otherwise("bakery")), element(2, F.lit("Toko Two"), F.lit("")))
+    text = F.when(k % 10 == 9, "[1").when(k % 10 == 8, '{"elements": []}').otherwise(F.to_json(F.struct(parts.alias("elements"))))
+    return rejects.element_rejects(P.table(s, d, "customer").select("c_custkey", text.alias("payload")), "c_custkey").select("c_custkey", "pos", "reason")
+
+
 @query("c22_clean_image_url", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'https://x/' || o_orderkey WHEN 1 THEN 'u' || o_orderkey WHEN 2 THEN 'c' || o_orderkey WHEN 3 THEN 'i' || o_orderkey ELSE '' END AS image_url FROM orders")
 def _(s, d):
     k = c("o_orderkey")
@@ -136,11 +205,14 @@ def _(s, d):
     return P.table(s, d, "orders").select("o_orderkey", X.clean_image_url(raw).alias("image_url"))
 
 
-@query("b07_numeric_collation", "SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY lower(p_type), p_size, p_partkey) AS place FROM part")
+@query("b07_numeric_collation", "SELECT p_partkey, p_brand, row_number() OVER (ORDER BY lower(p_name), p_size, p_partkey % 5 = 0 AND contains(lower(p_name), 'e'), p_partkey % 3 = 0, p_partkey) AS place FROM part WHERE contains(lower(p_brand), 'brand#1')")
 def _(s, d):
+    """By the collation's rules: letters, then numbers by value, then accents, then case."""
     size = F.when(c("p_partkey") % 2 == 0, c("p_size").cast("string")).otherwise(F.lpad(c("p_size").cast("string"), 4, "0"))
-    named = F.concat(F.when(c("p_partkey") % 3 == 0, F.lower("p_type")).otherwise(c("p_type")), F.lit(" "), size)
-    return P.table(s, d, "part").select("p_partkey", "p_brand", F.row_number().over(Window.partitionBy("p_brand").orderBy(X.collation_key(named), "p_partkey")).alias("place"))
+    cased = F.when(c("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.lower("p_name"))
+    accented = F.when(c("p_partkey") % 5 == 0, F.translate(cased, "eE", "éÉ")).otherwise(cased)
+    rows = P.table(s, d, "part").select("p_partkey", "p_brand", F.concat_ws(" ", accented, size).alias("name"))
+    return R.search_and_rank(rows, "BRAND#1", "p_brand", "name", then=("p_partkey",)).select("p_partkey", "p_brand", "place")
 
 
 @query("a02_append_with_audit", "SELECT *, TIMESTAMP '2024-01-01 00:00:00' AS _loaded_at FROM events UNION ALL SELECT *, TIMESTAMP '2024-01-01 00:00:00' FROM events")
@@ -166,17 +238,44 @@ def _(s, d):
     return _new_table(s, df, refresh)
 
 
-@query("a04_evolve_schema", "SELECT r_regionkey, r_name, cast(NULL AS varchar) AS website, cast(NULL AS double) AS score FROM region")
+@query("a04_evolve_schema", "SELECT o_orderkey, cast(cast(o_totalprice AS float) AS double) AS o_totalprice, cast(NULL AS varchar) AS o_orderpriority, cast(NULL AS bigint) AS o_custkey, '1' AS generation FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_totalprice, o_orderpriority, NULL, '2' FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT o_orderkey, NULL, o_orderpriority, o_custkey, '3' FROM orders WHERE o_orderkey % 3 = 2")
+def _(s, d):
+    """Three generations of a stored table: narrow types, wider ones and a column more, another column and one less."""
+    o, path = P.table(s, d, "orders"), _shared(s, "generations")
+    third = lambda n: o.filter(c("o_orderkey") % 3 == n)
+    T.append_generation(third(0).select(c("o_orderkey").cast("int"), c("o_totalprice").cast("float")), path, "1")
+    T.append_generation(third(1).select("o_orderkey", "o_totalprice", "o_orderpriority"), path, "2")
+    T.append_generation(third(2).select("o_orderkey", "o_custkey", "o_orderpriority"), path, "3")
+    return T.read_generations(s, path)
+
+
+@query("a04_evolve_frame", "SELECT o_orderkey, o_orderstatus, cast(NULL AS varchar) AS website, cast(NULL AS double) AS score FROM orders")
 def _(s, d):
     from pyspark.sql import types as Y
 
-    target = Y.StructType([Y.StructField("r_name", Y.StringType()), Y.StructField("website", Y.StringType()), Y.StructField("score", Y.DoubleType())])
-    return T.evolve_schema(P.table(s, d, "region").select("r_regionkey", "r_name"), target)
+    target = Y.StructType([Y.StructField("O_ORDERSTATUS", Y.StringType()), Y.StructField("website", Y.StringType()), Y.StructField("score", Y.DoubleType())])
+    return T.evolve_schema(P.table(s, d, "orders").select("o_orderkey", "o_orderstatus"), target)
 
 
-@query("a06_create_or_replace", "SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY 1")
+@query("a07_layers", f"WITH {P.LISTINGS} SELECT shop_name, count(*) AS listings, count(DISTINCT product_name) AS products FROM listings GROUP BY 1")
 def _(s, d):
-    return _new_table(s, P.table(s, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("nations")), lambda df, name: T.create_or_replace(name, df))
+    """A raw view, a staging table in a schema of its own, and a mart over it, each by its layer's rule."""
+    n = uuid.uuid4().hex[:12]
+    layers = T.Layers(schemas={"staging": f"stage_{n}"}, overrides={f"mart_{n}": "table"})
+    layers.materialize(s, "raw", f"raw_{n}", P.listings(s, d))
+    staged = layers.materialize(s, "staging", f"staged_{n}", s.table(f"raw_{n}").select("shop_name", "product_name"))
+    return layers.materialize(s, "datamart", f"mart_{n}", staged.groupBy("shop_name").agg(F.count("*").alias("listings"), F.countDistinct("product_name").alias("products")))
+
+
+@query("a06_create_or_replace", "SELECT o_custkey, count(*) AS orders, max(o_orderdate) AS last_order FROM orders GROUP BY 1")
+def _(s, d):
+    o = P.table(s, d, "orders")
+
+    def twice(df, name):
+        T.create_or_replace(name, o.select("o_orderkey"))
+        T.create_or_replace(name, df)
+
+    return _new_table(s, o.groupBy("o_custkey").agg(F.count("*").alias("orders"), F.max("o_orderdate").alias("last_order")), twice)
 
 
 @query("a09_page_titles", r"SELECT page_id, nullif(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '') AS title FROM pages")
@@ -184,10 +283,25 @@ def _(s, d):
     return S.page_titles(P.table(s, d, "pages"))
 
 
-@query("a09_extract_product_page")
+_PRICE9 = "(page_id % 90 + 1)"
+_TITLE9 = "coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), ''), url)"
+
+
+@query("a09_extract_product_page", f"SELECT url, CASE WHEN page_id % 7 IN (4, 5) THEN 'Item ' || page_id ELSE {_TITLE9} END AS product_name, '€' || {_PRICE9} || CASE page_id % 7 WHEN 0 THEN '.25' WHEN 1 THEN '.50' WHEN 2 THEN '.75' WHEN 3 THEN '.05' WHEN 4 THEN '.10' ELSE '.20' END AS raw_price, CASE WHEN page_id % 7 = 4 THEN 'USD' ELSE 'EUR' END AS currency, CASE page_id % 7 WHEN 4 THEN 'https://i/ld' WHEN 5 THEN 'https://i/og' WHEN 0 THEN 'https://i/og' ELSE '' END AS image_url FROM pages WHERE page_id % 7 <> 6")
 def _(s, d):
-    # These pages state no price; one is added so that every page goes through the extractor.
-    pages = P.table(s, d, "pages").select("url", F.concat("html", F.lit('<span class="item-price">€ 0,00</span><span class="item-price">€ '), (c("page_id") + 1).cast("string"), F.lit(',50</span>')).alias("html"))
+    """These pages state no price: each page gets one of the five markups, or none, by its number; later ones stand beside
+    earlier ones, which win."""
+    n, price = c("page_id") % 7, (c("page_id") % 90 + 1).cast("string")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    meta = text('<meta content="', price, '.25" itemprop="price">')
+    woo = text('<span class="woocommerce-Price-amount amount">€&nbsp;', price, ",50</span>")
+    inc = text('<span id="Price1_inc">€ ', price, ",75</span>")
+    item = text('<span class="item-price">€ 0,00</span><span class="item-price">€ ', price, ",05</span>")
+    ld = text('<script type="application/ld+json">{"@type":"Product","name":"Item ', c("page_id").cast("string"), '","image":["https://i/ld"],"offers":[{"lowPrice":"', price, '.10","priceCurrency":"USD"}]}</script>')
+    offer = text('<script type="application/ld+json">[{"@type":"Thing"},{"@type":"Offer","name":"Item ', c("page_id").cast("string"), '","price":', price, ".2}]</script>")
+    image = F.lit('<meta property="og:image" content="https://i/og">')
+    marks = F.when(n == 0, text(ld, item, inc, woo, meta, image)).when(n == 1, text(ld, item, inc, woo)).when(n == 2, text(item, inc)).when(n == 3, text(item, ld)).when(n == 4, ld).when(n == 5, text(offer, image)).otherwise("")
+    pages = P.table(s, d, "pages").select("url", F.concat(F.regexp_replace("html", r"(?i)<img\b[^>]*>", ""), marks).alias("html"))
     return S.extract_product_page(pages)
 
 
@@ -296,6 +410,8 @@ _LISTING_SCALARS = {
     "c33_url_origin": (["product_url"], lambda: X.url_origin(c("product_url")), "regexp_extract(product_url, '^[a-z]+://[^/?#]+')"),
     "c33_url_host": (["product_url"], lambda: X.url_host(c("product_url")), "regexp_extract(product_url, '^[a-z]+://([^/?#]+)', 1)"),
     "c34_format_eur": (["raw_price"], lambda: X.format_eur(X.parse_price(c("raw_price"))), f"printf('€%.2f', {P.PRICE})"),
+    "c34_format_eur_german": (["raw_price"], lambda: X.format_eur(X.parse_price(c("raw_price")) * 100, "german"), f"translate(format('{{:,.2f}}', {P.half_up(f'({P.PRICE}) * 100', 2)}), ',.', '.,') || chr(160) || '€'"),
+    "c01_parse_price_blanks": (["raw_price", "scrape_run_id"], lambda: X.parse_price(F.concat(F.when(c("scrape_run_id").cast("long") % 2 == 0, "\u00a0").otherwise("\t"), F.when(c("scrape_run_id").cast("long") % 3 == 0, F.replace("raw_price", F.lit(","), F.lit("\u00a0,"))).otherwise(c("raw_price")), F.lit(" \u00a0"))), f"CASE WHEN scrape_run_id::bigint % 3 <> 0 THEN {P.PRICE} END"),
     "c41_prefer_existing": (["product_name", "shop_name"], lambda: X.prefer_existing(F.regexp_extract("product_name", "ring|rod", 0), c("shop_name")), "coalesce(nullif(regexp_extract(product_name, 'ring|rod'), ''), shop_name)"),
     "c42_node_key": (["shop_name", "product_name"], lambda: X.node_key(c("shop_name"), c("product_name")), "shop_name || '||' || product_name"),
     "c42_split_node": (["shop_name", "product_name"], lambda: X.split_node(X.node_key(c("shop_name"), c("product_name")))["name"], "product_name"),
@@ -309,6 +425,12 @@ _JOINED = lambda x: f"array_to_string(list_sort({x}), ',')"
 _STRICT_UNIT = lambda e: rf"regexp_extract(lower({e}), '(\d+(?:[.,]\d+)?)\s*(l|ml)\b', 2)"
 _STRICT = lambda e: rf"(try_cast(nullif(replace(regexp_extract(lower({e}), '(\d+(?:[.,]\d+)?)\s*(l|ml)\b', 1), ',', '.'), '') AS double) * CASE WHEN {_STRICT_UNIT(e)} = 'l' THEN 1000 ELSE 1 END)"
 
+#: Of the text that c30 makes: the first word stands once (words are compared, as this SQL's patterns have no back-references).
+_SQUEEZED = "trim(regexp_replace(product_name, '\\s+', ' ', 'g')) || ' & more'"
+_DOUBLED = "(split_part(trim(regexp_replace(product_name, '\\s+', ' ', 'g')), ' ', 1) = split_part(trim(regexp_replace(product_name, '\\s+', ' ', 'g')), ' ', 2))"
+_ONCE = f"CASE WHEN {_DOUBLED} THEN substr({_SQUEEZED}, length(split_part(product_name, ' ', 1)) + 2) ELSE {_SQUEEZED} END"
+_SHORT = f"CASE WHEN length({_ONCE}) > 40 THEN left({_ONCE}, 38) || '…' ELSE {_ONCE} END"
+
 _NAME_SCALARS = {
     "c03_volume_ml_default": (lambda n: X.volume_ml_default(n), P.VOLUME),
     "c04_volume_block_key": (lambda n: X.volume_block_key(n), P.KEY),
@@ -319,7 +441,8 @@ _NAME_SCALARS = {
     "c12_strip_phrases": (lambda n: X.strip_phrases(X.normalize_name(n, P.ALIASES), P.PHRASES), _STRIPPED("product_name")),
     "c13_tokenize_name": (lambda n: F.array_join(F.array_sort(X.tokenize_name(n, P.ALIASES, P.PHRASES)), ","), _JOINED(_TOKENS("product_name"))),
     "c15_detect_brands": (lambda n: F.array_join(F.array_sort(X.detect_brands(n, P.PHRASES, P.HINTS, P.ALIASES)), ","), _JOINED(_BRANDS("product_name"))),
-    "c30_short_name": (lambda n: X.short_name(F.concat(n, F.lit(" "), n)), None),
+    # Doubled names: the doubled first word goes only where the first two words are equal, the doubled beginning only up to 25 characters.
+    "c30_short_name": (lambda n: X.short_name(F.concat(F.when(F.length(n) % 2 == 0, F.concat(F.substring_index(n, " ", 1), F.lit("  "))).otherwise(F.lit("")), F.regexp_replace(n, " ", "  "), F.lit(" Naturally BREWED &amp; more"))), _SHORT),
     "c31_format_size": (lambda n: X.format_size(X.volume_ml_default(n)), f"CASE WHEN ({P.VOLUME}) >= 1000 AND ({P.VOLUME}) % 1000 = 0 THEN cast(({P.VOLUME}) // 1000 AS varchar) || 'L' WHEN ({P.VOLUME}) >= 1000 THEN printf('%.1f', {P.half_up(f'({P.VOLUME}) / 1000.0::double', 1)}) || 'L' ELSE cast(({P.VOLUME}) AS varchar) || 'ml' END"),
 }
 
@@ -377,6 +500,14 @@ def _(s, d):
     return P.vectors(s, d).select("id_1", "id_2", "cosine")
 
 
+@query("c23_lsh_pairs")
+def _(s, d):
+    # Vectors of the table, and of each third one a copy that is a little off.
+    e = P.table(s, d, "embeddings").select("vec_id", "embedding")
+    near = e.filter("vec_id % 3 = 0").select((-c("vec_id") - 1).alias("vec_id"), F.transform("embedding", lambda x, i: x + 0.03 * F.sin(c("vec_id") + i)).cast("array<float>").alias("embedding"))
+    return pairs.lsh_pairs(e.unionByName(near), "vec_id", "embedding", 64)
+
+
 @query("c24_geo_mean_score", f"WITH {P.SCORED} SELECT id_1, id_2, {P.half_up('least(1.0, greatest(0.0, sqrt(image_similarity * name_similarity)))', 4)} AS score FROM scored")
 def _(s, d):
     return P.scored(s, d).select("id_1", "id_2", M.geo_mean_score(c("image_similarity"), c("name_similarity")).alias("score"))
@@ -452,7 +583,11 @@ def _(s, d):
     return marts.conversation_rollup(P.table(s, d, "conversations")).select("conv_id", L.prompt_text(c("history")).alias("prompt"))
 
 
-@query("c40_fallback_history")
+_JSON_TEXT = lambda e: f"replace(replace(replace({e}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n')"
+_TURN = lambda role, text: f"'{{\"role\":\"' || {role} || '\",\"text\":\"' || {_JSON_TEXT(text)} || '\"}}'"
+
+
+@query("c40_fallback_history", f"WITH h AS (SELECT conv_id, '[' || string_agg({_TURN('role', 'text')}, ',' ORDER BY turn) || ']' AS whole, arg_max(text, turn) AS reply FROM conversations GROUP BY 1), u AS (SELECT conv_id, string_agg({_TURN(chr(39) + 'user' + chr(39), 'trim(text)')}, ',' ORDER BY n) AS said FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user') WHERE n <= 3 AND trim(text) <> '' GROUP BY 1) SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN whole ELSE '[' || concat_ws(',', said, CASE WHEN reply <> '' THEN {_TURN(chr(39) + 'user' + chr(39), chr(39) + 'The answer was: ' + chr(39) + ' || reply || ' + chr(39) + '.' + chr(39))} END) || ']' END AS history FROM h LEFT JOIN u USING (conv_id)")
 def _(s, d):
     rows = marts.conversation_rollup(P.table(s, d, "conversations"))
     stored = F.when(c("conv_id") % 2 == 0, c("conversation_json"))
@@ -486,21 +621,29 @@ def _(s, d):
 
 @query("d04_join_unordered_pairs", f"WITH {P.pairs_sql('base')}, l AS (SELECT DISTINCT upper(shop_name_2) AS s1, product_name_2 || ' ' AS n1, shop_name_1 AS s2, product_name_1 AS n2, CASE WHEN length(product_name_1) % 2 = 0 THEN 'SAME' ELSE 'DIFFERENT' END AS verdict FROM pairs WHERE length(product_name_2) % 3 > 0) SELECT p.day, p.shop_name_1, p.product_name_1, p.shop_name_2, p.product_name_2, l.verdict AS ground_truth_verdict FROM pairs p LEFT JOIN l ON lower(trim(p.shop_name_1)) = lower(trim(s2)) AND lower(trim(p.product_name_1)) = lower(trim(n2)) AND lower(trim(p.shop_name_2)) = lower(trim(s1)) AND lower(trim(p.product_name_2)) = lower(trim(n1))")
 def _(s, d):
-    pairs = P.pairs(s, d, "base").drop("base")
-    labels = pairs.select(F.upper("shop_name_2").alias("shop_name_1"), F.concat("product_name_2", F.lit(" ")).alias("product_name_1"), c("shop_name_1").alias("shop_name_2"), c("product_name_1").alias("product_name_2")).distinct()
+    rows = P.pairs(s, d, "base").drop("base")
+    labels = rows.select(F.upper("shop_name_2").alias("shop_name_1"), F.concat("product_name_2", F.lit(" ")).alias("product_name_1"), c("shop_name_1").alias("shop_name_2"), c("product_name_1").alias("product_name_2")).distinct()
     labels = labels.withColumn("verdict", F.when(F.length("product_name_2") % 2 == 0, "SAME").otherwise("DIFFERENT")).withColumn("manual_check", F.when((F.length("product_name_1") - 1) % 3 > 0, F.lower("verdict")).otherwise("UNCERTAIN"))
-    return R.join_unordered_pairs(pairs, labels, ["shop_name_1", "product_name_1"], ["shop_name_2", "product_name_2"])
+    return R.join_unordered_pairs(rows, labels, ["shop_name_1", "product_name_1"], ["shop_name_2", "product_name_2"])
 
 
 @query("d05_blocked_pairs", f"WITH {P.DAILY}, latest AS (SELECT * FROM daily WHERE date_trunc('month', day) = (SELECT max(date_trunc('month', day)) FROM daily)) SELECT DISTINCT a.brand, a.size, a.shop_name AS shop_name_1, a.product_name AS product_name_1, a.product_url AS product_url_1, b.shop_name AS shop_name_2, b.product_name AS product_name_2, b.product_url AS product_url_2 FROM latest a JOIN latest b ON a.brand = b.brand AND a.size = b.size AND a.shop_name < b.shop_name WHERE a.brand <> 'UNKNOWN'")
 def _(s, d):
     rows = R.latest_snapshot(P.daily(s, d), X.month_of(c("day"))).filter("brand <> 'UNKNOWN'")
-    return R.blocked_pairs(rows, ["brand", "size"], "shop_name", ["product_name", "product_url"], salt=4)
+    return pairs.blocked_pairs(rows, ["brand", "size"], "shop_name", ["product_name", "product_url"])
+
+
+@query("d05_blocked_pairs_hot", "WITH o AS (SELECT DISTINCT o_orderpriority AS block, cast(o_custkey % 2000 AS varchar) AS shop, o_orderstatus AS status FROM orders) SELECT block, count(*) AS pairs, sum(cast(a.shop AS bigint) * 3 + cast(b.shop AS bigint))::bigint AS mixed, sum(CASE WHEN a.status = b.status THEN 1 ELSE 0 END)::bigint AS same FROM o a JOIN o b USING (block) WHERE a.shop < b.shop GROUP BY 1")
+def _(s, d):
+    # Five blocks that hold all rows: each is cut into tiles.
+    rows = P.table(s, d, "orders").select(c("o_orderpriority").alias("block"), (c("o_custkey") % 2000).cast("string").alias("shop"), c("o_orderstatus").alias("status"))
+    met = pairs.blocked_pairs(rows, ["block"], "shop", ["status"], tile=500)
+    return met.groupBy("block").agg(F.count("*").alias("pairs"), F.sum(c("shop_1").cast("long") * 3 + c("shop_2").cast("long")).alias("mixed"), F.sum((c("status_1") == c("status_2")).cast("long")).alias("same"))
 
 
 @query("d06_block_combinations", f"WITH {P.DAILY} SELECT DISTINCT a.day, a.brand, a.size, a.shop_name AS shop_name_1, a.product_name AS product_name_1, a.image_url AS image_url_1, b.shop_name AS shop_name_2, b.product_name AS product_name_2, b.image_url AS image_url_2 FROM daily a JOIN daily b ON a.day = b.day AND a.brand = b.brand AND a.size = b.size AND a.shop_name < b.shop_name WHERE a.brand <> 'UNKNOWN'")
 def _(s, d):
-    return R.blocked_pairs(P.daily(s, d).filter("brand <> 'UNKNOWN'"), ["day", "brand", "size"], "shop_name", ["product_name", "image_url"])
+    return pairs.blocked_pairs(P.daily(s, d).filter("brand <> 'UNKNOWN'"), ["day", "brand", "size"], "shop_name", ["product_name", "image_url"])
 
 
 @query("d07_anti_join_done", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events)")
@@ -519,7 +662,15 @@ _DICT = ", ".join(f"('{b}', '{k}')" for b, k in P.KEYWORDS)
 
 @query("d09_dictionary_join", f"WITH k(label, keyword) AS (VALUES {_DICT}), m AS (SELECT p_partkey, label, row_number() OVER (PARTITION BY p_partkey ORDER BY length(keyword) DESC, label, keyword) AS n FROM part JOIN k ON contains(lower(p_name), keyword)) SELECT p.p_partkey, p.p_name, CASE WHEN p.p_name = 'red rod' THEN 'UNKNOWN' ELSE coalesce(m.label, 'UNKNOWN') END AS label FROM part p LEFT JOIN m ON m.p_partkey = p.p_partkey AND m.n = 1")
 def _(s, d):
-    return R.dictionary_join(P.table(s, d, "part").select("p_partkey", "p_name"), "p_name", s.createDataFrame(P.KEYWORDS, "label string, keyword string"), "keyword", "label", ["red rod"])
+    return keywords.dictionary_join(P.table(s, d, "part").select("p_partkey", "p_name"), "p_name", s.createDataFrame(P.KEYWORDS, "label string, keyword string"), "keyword", "label", ["red rod"])
+
+
+@query("d09_dictionary_join_large", "WITH n AS (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_partkey || ' ' || p_size AS name FROM part), k AS (SELECT DISTINCT lower(k) AS k, label FROM (SELECT cast(c_custkey AS varchar) AS k, c_mktsegment AS label FROM customer UNION ALL SELECT right(c_name, 4) || ' ', c_mktsegment || '+' FROM customer UNION ALL SELECT substring(p_name, 2, 6), p_brand FROM part)), m AS (SELECT p_partkey, label, row_number() OVER (PARTITION BY p_partkey ORDER BY length(k) DESC, label, k) AS n FROM n JOIN k ON contains(lower(name), k)) SELECT n.p_partkey, coalesce(m.label, 'UNKNOWN') AS label FROM n LEFT JOIN m ON m.p_partkey = n.p_partkey AND m.n = 1")
+def _(s, d):
+    part, customer = P.table(s, d, "part"), P.table(s, d, "customer")
+    names = part.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", c("p_partkey").cast("string"), c("p_size").cast("string")).alias("name"))
+    entries = [customer.select(c("c_custkey").cast("string").alias("k"), c("c_mktsegment").alias("label")), customer.select(F.concat(F.right("c_name", F.lit(4)), F.lit(" ")).alias("k"), F.concat("c_mktsegment", F.lit("+")).alias("label")), part.select(F.substring("p_name", 2, 6).alias("k"), c("p_brand").alias("label"))]
+    return keywords.dictionary_join(names, "name", reduce(DataFrame.unionAll, entries), "k", "label").select("p_partkey", "label")
 
 
 @query("d10_enrich_dim", "SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -536,27 +687,32 @@ _SPREAD = lambda col, name: f"{P.mean(col)} AS avg_{name}, min({col}) AS min_{na
 
 @query("e01_price_comparison", f"WITH {P.COMPARISON} SELECT * FROM comparison")
 def e01(s, d):
-    return P.comparison(s, d)
+    return P.computed_comparison(s, d)
 
 
 @query("e01_price_comparison_all", f"WITH {P.COMPARISON} SELECT * FROM comparison_all")
+def _(s, d):
+    return P.computed_comparison(s, d, "all")
+
+
+@query("e01_comparison_table", f"WITH {P.COMPARISON} SELECT * FROM comparison_all")
 def _(s, d):
     return P.comparison(s, d, "all")
 
 
 @query("e02_price_by_brand", f"WITH {P.COMPARISON} SELECT brand, scrape_month, count(DISTINCT global_product_id) AS product_count, count(DISTINCT shop_name) AS shop_count, {_SPREAD('avg_price_per_100ml', 'price_per_100ml')}, {_SPREAD('avg_price_eur', 'price_eur')} FROM comparison GROUP BY 1, 2")
 def _(s, d):
-    return marts.price_by_brand(P.comparison(s, d))
+    return marts.price_by_brand(P.comparison(s, d), latest=False)
 
 
 @query("e03_price_by_shop", f"WITH {P.COMPARISON} SELECT shop_name, scrape_month, count(DISTINCT global_product_id) AS product_count, count(DISTINCT brand) AS brand_count, {_SPREAD('avg_price_per_100ml', 'price_per_100ml')}, {_SPREAD('avg_price_eur', 'price_eur')} FROM comparison GROUP BY 1, 2")
 def _(s, d):
-    return marts.price_by_shop(P.comparison(s, d))
+    return marts.price_by_shop(P.comparison(s, d), latest=False)
 
 
 @query("e04_shop_stats", f"WITH {P.COMPARISON} SELECT shop_name, count(DISTINCT global_product_id) AS product_count, {_SPREAD('avg_price_eur', 'price')} FROM comparison GROUP BY 1")
 def _(s, d):
-    return marts.shop_stats(P.comparison(s, d))
+    return marts.shop_stats(P.comparison(s, d), latest=False)
 
 
 @query("e05_scd2_versions", f"WITH {P.HISTORY} SELECT * FROM versions")
@@ -593,7 +749,7 @@ def _(s, d):
 
 @query("e09_scorecards", f"WITH {P.COMPARISON} SELECT {P.mean('avg_price_eur')} AS avg_price, min(min_price_eur) AS cheapest, max(max_price_eur) AS most_expensive, count(*) AS products, max(shop_count) AS shops, count(DISTINCT global_product_id) AS distinct_products, count(DISTINCT shop_name) AS distinct_shops, strftime(max(scrape_month), '%Y-%m') AS last_updated FROM comparison")
 def _(s, d):
-    return marts.scorecards(P.comparison(s, d))
+    return marts.scorecards(P.comparison(s, d), latest=False)
 
 
 @query("e10_distinct_pairs", f"WITH {P.pairs_sql('base')} SELECT DISTINCT product_name_1, product_name_2 FROM pairs")
@@ -614,6 +770,13 @@ def _(s, d):
     return R.price_trend(P.comparison(s, d, "all"), "scrape_month", "brand", "avg_price_eur", _PIVOTED)
 
 
+@query("e12_trend_by_product", f"WITH {P.COMPARISON}, n AS (SELECT greatest(1, ceil(count(DISTINCT product_name) / 100.0))::bigint AS families FROM comparison_all), l AS (SELECT scrape_month, product_name, min(avg_price_eur) AS price FROM comparison_all GROUP BY 1, 2), f AS (SELECT scrape_month, product_name, price, cast('0x' || md5(product_name)[1:8] AS bigint) % families AS family FROM l, n) SELECT scrape_month, family, string_agg(product_name || '=' || printf('%.2f', price), ';' ORDER BY product_name) AS prices FROM f GROUP BY 1, 2")
+def _(s, d):
+    trend = R.price_trend_by_product(P.comparison(s, d, "all"), "scrape_month", "product_name", "avg_price_eur", 100)
+    pairs = F.transform(F.array_sort(F.map_entries("prices")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.2f", e["value"])))
+    return trend.select("scrape_month", "family", F.array_join(pairs, ";").alias("prices"))
+
+
 @query("e13_facet_values", f"WITH {P.COMPARISON} SELECT DISTINCT facet, value FROM (SELECT 'brand' AS facet, brand AS value FROM comparison UNION ALL SELECT 'volume_ml', cast(volume_ml AS varchar) FROM comparison UNION ALL SELECT 'shop_name', shop_name FROM comparison UNION ALL SELECT 'product_name', product_name FROM comparison)")
 def _(s, d):
     return R.facet_values(P.comparison(s, d), ["brand", "volume_ml", "shop_name", "product_name"])
@@ -624,9 +787,21 @@ def _(s, d):
     return marts.component_listing(graph.connected_components(P.edges(s, d), "a", "b")).select("root", F.array_join("members", ",").alias("members"), "size")
 
 
+@query("e14_component_chunks", "WITH m AS (SELECT l_orderkey % 50 AS root, l_partkey AS node FROM lineitem GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY node) - 1 AS pos, count(*) OVER (PARTITION BY root) AS size FROM m) SELECT root, pos // 100 AS chunk, string_agg(cast(node AS varchar), ',' ORDER BY node) AS members, size FROM n WHERE size > 1 GROUP BY 1, 2, 4")
+def _(s, d):
+    """Fifty groups that hold all parts: each is several lists."""
+    nodes = P.table(s, d, "lineitem").select((c("l_orderkey") % 50).alias("root"), c("l_partkey").alias("node"))
+    return marts.component_listing(nodes, 100).select("root", "chunk", F.array_join("members", ",").alias("members"), "size")
+
+
 @query("e15_conversation_rollup", "WITH u AS (SELECT conv_id, string_agg(text, ' / ' ORDER BY turn) FILTER (n <= 3) AS reason FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user') GROUP BY 1) SELECT c.conv_id, coalesce(any_value(reason), '') AS reason, arg_max(text, turn) AS ai_reply, count(*) AS turns FROM conversations c LEFT JOIN u USING (conv_id) GROUP BY 1")
 def _(s, d):
-    return marts.conversation_rollup(P.table(s, d, "conversations")).select("conv_id", "reason", "ai_reply", F.size("history").cast("long").alias("turns"))
+    return marts.conversation_summary(P.table(s, d, "conversations"))
+
+
+@query("e15_history_chunks", f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations) SELECT conv_id, pos // 3 AS chunk, '[' || string_agg({_TURN('role', 'text')}, ',' ORDER BY turn) || ']' AS history FROM n GROUP BY 1, 2")
+def _(s, d):
+    return marts.history_chunks(P.table(s, d, "conversations"), chunk=3)
 
 
 @query("e16_label_progress", f"WITH {P.SCORED} SELECT cast(count_if(v = 'SAME') AS bigint) AS same, cast(count_if(v = 'DIFFERENT') AS bigint) AS different, cast(count_if(v NOT IN ('SAME', 'DIFFERENT')) AS bigint) AS uncertain, cast(count_if(v IS NOT NULL) AS bigint) AS done, cast(count_if(v IS NULL) AS bigint) AS remaining, count(*) AS total FROM (SELECT CASE WHEN is_match THEN coalesce(ground_truth_verdict, 'odd') ELSE ground_truth_verdict END AS v FROM scored)")
@@ -638,7 +813,7 @@ def _(s, d):
 
 @query("e17_market_snapshot", f"WITH {P.COMPARISON}, m AS (SELECT {P.mean('avg_price_eur')} AS market_avg, count(DISTINCT global_product_id) AS market_products, count(DISTINCT brand) AS market_brands, count(DISTINCT shop_name) AS market_shops FROM comparison) SELECT s.*, m.* FROM (SELECT shop_name, {P.mean('avg_price_eur')} AS avg_price, count(DISTINCT global_product_id) AS products, printf('%.2f', min(min_price_eur)) || ' – ' || printf('%.2f', max(max_price_eur)) AS price_range FROM comparison GROUP BY 1) s, m")
 def _(s, d):
-    return marts.market_snapshot(P.comparison(s, d))
+    return marts.market_snapshot(P.comparison(s, d), latest=False)
 
 
 @query("e18_shop_origin_first", f"WITH {P.LISTINGS} SELECT shop_name, regexp_extract(arg_min(product_url, (scraped_at, scrape_run_id, product_url)), '^[a-z]+://[^/?#]+') AS origin FROM listings GROUP BY 1")
@@ -685,7 +860,12 @@ def _(s, d):
 
 @query("f06_rank_shops", f"WITH {P.COMPARISON} SELECT shop_name, avg_price, cast(row_number() OVER (ORDER BY avg_price, shop_name) AS int) AS position FROM (SELECT shop_name, {P.mean('avg_price_eur')} AS avg_price FROM comparison GROUP BY 1)")
 def _(s, d):
-    return marts.rank_shops(P.comparison(s, d))
+    return marts.rank_shops(P.comparison(s, d), latest=False)
+
+
+@query("f06_positions", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders")
+def _(s, d):
+    return ranks.positions(P.table(s, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), c("o_orderkey")])
 
 
 _LAST_PRICE = "last_price AS (SELECT product_name, scrape_month, max(avg_price_eur) AS price FROM comparison_all x WHERE scrape_month = (SELECT max(scrape_month) FROM comparison_all y WHERE y.product_name = x.product_name) GROUP BY 1, 2)"
@@ -725,9 +905,10 @@ def _(s, d):
 # Sets and graph
 
 
-@query("h01_union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
+@query("h01_union_all", "SELECT c_name AS name, c_acctbal AS balance FROM customer UNION ALL SELECT s_name, s_acctbal FROM supplier")
 def _(s, d):
-    return P.table(s, d, "nation").select(c("n_name").alias("name")).unionByName(P.table(s, d, "region").select(c("r_name").alias("name")))
+    cust, sup = P.table(s, d, "customer"), P.table(s, d, "supplier")
+    return cust.select(c("c_name").alias("name"), c("c_acctbal").alias("balance")).unionByName(sup.select(c("s_acctbal").alias("balance"), c("s_name").alias("name")))
 
 
 def _groups(s, d):
@@ -742,9 +923,11 @@ def _(s, d):
     return P.edges(s, d).unionByName(marts.star_edges(_groups(s, d), "grp", ["node"]))
 
 
-@query("h03_set_difference", "SELECT DISTINCT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("h03_set_difference", "SELECT p_partkey, p_size FROM part WHERE p_partkey % 3 > 0 EXCEPT SELECT l_partkey, p_size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45")
 def _(s, d):
-    return P.table(s, d, "customer").select("c_nationkey").distinct().exceptAll(P.table(s, d, "supplier").select("s_nationkey").distinct())
+    part, l = P.table(s, d, "part"), P.table(s, d, "lineitem")
+    sold = l.filter("l_quantity > 45").select(c("l_partkey").alias("p_partkey")).join(part, "p_partkey").select("p_partkey", "p_size").distinct()
+    return part.filter("p_partkey % 3 > 0").select("p_partkey", "p_size").distinct().exceptAll(sold)
 
 
 @query("i01_connected_components", f"WITH {P.ROOTS} SELECT node, root FROM roots")
@@ -853,7 +1036,19 @@ def _(s, d):
 
 @query("k06_check_summary", f"WITH {P.HISTORY}, r(model, failures) AS (SELECT 'fact_price', (SELECT cast(count_if(price_eur IS NULL) AS bigint) FROM fact) UNION ALL SELECT 'fact_price', (SELECT cast(count_if(product_id IS NULL) AS bigint) FROM fact) UNION ALL SELECT 'dim_price_history', (SELECT count(*) FROM (SELECT product_id FROM history GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'listings', (SELECT cast(count_if(NOT price_eur BETWEEN 0.01 AND 50.0) AS bigint) FROM fact)) SELECT CASE WHEN split_part(model, '_', 1) IN ('raw', 'staging', 'dim', 'fact', 'datamart') THEN split_part(model, '_', 1) ELSE 'other' END AS layer, count(*) AS total, cast(count_if(failures = 0) AS bigint) AS passed, cast(count_if(failures > 0) AS bigint) AS failed, cast(0 AS bigint) AS warned, count(DISTINCT model) AS models FROM r GROUP BY 1")
 def _(s, d):
-    staged = P.staged(s, d)
-    fact, history = WH.fact_price(staged), WH.scd2_build(staged)[0]
-    checks = [("fact_price", quality.not_null(fact, ["price_eur", "product_id"])), ("dim_price_history", quality.unique(history, "product_id")), ("listings", quality.accepted_range(fact, "price_eur", 0.01, 50.0))]
+    rows = written(P.staged(s, d), "staged-listings")
+    fact, history = WH.fact_price(rows), WH.scd2_build(rows)[0]
+    checks = [("fact_price", fact, [quality.is_not_null("price_eur"), quality.is_not_null("product_id")]), ("dim_price_history", history, [quality.is_unique("product_id")]), ("listings", fact, [quality.is_between("price_eur", 0.01, 50.0)])]
     return quality.check_summary(quality.run_checks(checks))
+
+
+_SUITE = {"not_null_l_shipdate": "count_if(l_shipdate IS NULL)", "not_null_l_tax": "count_if(l_tax IS NULL)", "accepted_values_l_returnflag": "count_if(l_returnflag NOT IN ('A', 'N'))", "accepted_range_l_discount": "count_if(l_discount NOT BETWEEN 0.02 AND 0.08)"}
+_UNIQUE = {"unique_l_orderkey": "l_orderkey", "unique_combination_l_orderkey_l_partkey": "l_orderkey, l_partkey", "unique_combination_l_orderkey_l_linenumber": "l_orderkey, l_linenumber"}
+
+
+@query("k06_fused_suite", " UNION ALL ".join([f"SELECT 'lineitem' AS model, '{k}' AS check_name, cast({v} AS bigint) AS failures FROM lineitem" for k, v in _SUITE.items()] + [f"SELECT 'lineitem', '{k}', count(*) FROM (SELECT 1 FROM lineitem GROUP BY {v} HAVING count(*) > 1)" for k, v in _UNIQUE.items()] + ["SELECT 'orders', 'unique_o_orderkey', count(*) FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1)"]))
+def _(s, d):
+    q = quality
+    rows = [q.is_not_null("l_shipdate"), q.is_not_null("l_tax"), q.is_accepted("l_returnflag", ["A", "N"]), q.is_between("l_discount", 0.02, 0.08)]
+    keys = [q.is_unique("l_orderkey"), q.are_unique(["l_orderkey", "l_partkey"]), q.are_unique(["l_orderkey", "l_linenumber"])]
+    return q.run_checks([("lineitem", P.table(s, d, "lineitem"), rows + keys), ("orders", P.table(s, d, "orders"), [q.is_unique("o_orderkey")])]).drop("status")

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.functions import text as X
-from shelfline.operators import relational as R
+from shelfline.operators import pairs as pairing
 from shelfline.operators import warehouse as WH
+from shelfline.sources.snapshots import Snapshots
+from shelfline.staging import fingerprint, shared_dir
 
 BRANDS = [(f"brand#{n} ", f"Brand {n}") for n in (4, 19, 8, 2, 16)]
 VARIANTS = [(["%hot%", "%c_ld%"], "Thermal"), (["%red%"], "Red"), (["%ring%"], "Ring")]
@@ -45,11 +47,28 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return WH.staging(listings(spark, sf_dir), brands=BRANDS, variants=VARIANTS)
 
 
-def comparison(spark: SparkSession, sf_dir: str, months: str = "latest") -> DataFrame:
+def computed_comparison(spark: SparkSession, sf_dir: str, months: str = "latest") -> DataFrame:
+    """The price comparison from raw listings."""
     s = staged(spark, sf_dir)
     return WH.price_comparison(WH.fact_price(s), WH.scd2_build(s)[1], months)
 
 
+def comparison_table(spark: SparkSession, sf_dir: str) -> Snapshots:
+    """The comparison of all months, kept by month in the shared folder: written when it is first asked for, and again
+    when a file under it has changed."""
+    sources = [table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier")]
+    kept = WH.comparison_table(spark, f"{shared_dir(spark)}/comparison-{fingerprint(*sources)}")
+    if kept.manifest() is None:
+        kept.upsert(computed_comparison(spark, sf_dir, "all"), on_duplicate="unique")
+    return kept
+
+
+def comparison(spark: SparkSession, sf_dir: str, months: str = "latest") -> DataFrame:
+    """The kept comparison; of the latest month only its part is read."""
+    kept = comparison_table(spark, sf_dir)
+    return kept.read_last() if months == "latest" else kept.read()
+
+
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).select("product_name").distinct()
 
@@ -62,17 +81,13 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str, block: str) -> DataFrame:
     """Cross-shop pairs of one day and one base name (or size)."""
-    return R.blocked_pairs(daily(spark, sf_dir), ["day", block], "shop_name", ["product_name"])
+    return pairing.blocked_pairs(daily(spark, sf_dir), ["day", block], "shop_name", ["product_name"])
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of embeddings of one label, each vector scaled once."""
-    from shelfline.functions import matching as M
-
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", M.unit(F.col("embedding")).alias("u"))
-    a, b = e.select("label", F.col("vec_id").alias("id_1"), F.col("u").alias("u_1")), e.select("label", F.col("vec_id").alias("id_2"), F.col("u").alias("u_2"))
-    cos = F.least(F.lit(1.0), F.greatest(F.lit(0.0), M.dot(F.col("u_1"), F.col("u_2"))))
-    return a.join(b, "label").filter("id_1 < id_2").select("label", "id_1", "id_2", X.round_half_up(cos, 4).alias("cosine"))
+    """Pairs of embeddings of one label."""
+    found = pairing.scored_pairs(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding")
+    return found.withColumn("cosine", X.round_half_up(F.col("cosine"), 4))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

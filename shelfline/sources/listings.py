@@ -50,22 +50,28 @@ def _money(c: Column) -> Column:
     return F.coalesce(F.format_string("€%.2f", c.try_cast("double")), F.lit(""))
 
 
+_CARD = "array<struct<title:string,price:struct<now:string>,images:array<struct<url:string>>,link:string>>"
+
+
+def products_of(doc: Column, kind: str) -> Column:
+    """The products of a list, a search result, or cards (of all cards; only if these hold none, the payload's own)."""
+    if kind == "cards":
+        cards = F.flatten(F.transform(doc["cards"], lambda c: F.coalesce(c["products"], F.array().cast(_CARD))))
+        return F.when(F.size(cards) > 0, cards).otherwise(doc["products"])
+    return doc["products"] if kind == "list" else doc["resources"]["results"]["products"]
+
+
 def parse_product_feed(feeds: DataFrame, kind: str, keep=None, sizes: list[str] | None = None, key: str = "feed_id", shop: str = "shop_name", base: str = "base_url", payload: str = "payload") -> DataFrame:
     """Listings of JSON payloads (feed_id, shop_name, base_url, payload) of one kind: single, list, search or cards.
 
     keep(title) filters titles. With sizes, only each size's first product whose title has it stays. Cards keep each
-    title's first product. Malformed payloads give no rows.
+    title's first product. Malformed payloads give no rows; what isn't taken is told by sources.rejects.
     """
     doc = feeds.select(key, shop, F.regexp_replace(F.col(base), "/+$", "").alias("base"), F.from_json(payload, FEEDS[kind]).alias("d"))
     if kind == "single":
         rows = doc.select(key, shop, "base", F.lit(0).alias("pos"), F.col("d.product").alias("p")).filter("p IS NOT NULL")
     else:
-        many = {
-            "list": F.col("d.products"),
-            "search": F.col("d.resources.results.products"),
-            "cards": F.when(F.size(cards := F.flatten(F.transform(F.col("d.cards"), lambda c: F.coalesce(c["products"], F.array().cast("array<struct<title:string,price:struct<now:string>,images:array<struct<url:string>>,link:string>>"))))) > 0, cards).otherwise(F.col("d.products")),
-        }[kind]
-        rows = doc.select(key, shop, "base", F.posexplode(many).alias("pos", "p"))
+        rows = doc.select(key, shop, "base", F.posexplode(products_of(F.col("d"), kind)).alias("pos", "p"))
     absolute = lambda url: F.when((url == "") | url.startswith("http"), url).otherwise(F.concat("base", url))
     title = F.coalesce(F.col("p.title"), F.lit(""))
     if kind in ("single", "list"):
@@ -208,9 +214,12 @@ def first_priced_link(links: DataFrame, prices: DataFrame, key: str = "page_id")
     return first_per_key(joined, [key], ["pos"])
 
 
+ELEMENTS = "elements array<struct<id:string,type:string,tags:map<string,string>>>"
+
+
 def parse_osm_elements(docs: DataFrame, payload: str = "payload") -> DataFrame:
     """Shops of map exports {elements: [{id, type, tags}]}: those with a name that looks like a shop to keep."""
-    rows = docs.select(F.posexplode(F.from_json(payload, "elements array<struct<id:string,type:string,tags:map<string,string>>>")["elements"]).alias("pos", "e"))
+    rows = docs.select(F.posexplode(F.from_json(payload, ELEMENTS)["elements"]).alias("pos", "e"))
     tag = lambda k: F.coalesce(F.try_element_at(F.col("e.tags"), F.lit(k)), F.lit(""))
     first = lambda *ks: F.coalesce(*(F.nullif(tag(k), F.lit("")) for k in ks), F.lit(""))
     shops = rows.select(

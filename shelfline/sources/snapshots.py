@@ -139,11 +139,11 @@ class Snapshots:
 
         The first run takes all rows. Later ones take rows past the table's largest time and drop late ones; a table that
         has lost all its rows has no such time and takes none. late="newer" takes rows of any time instead, if in `order` they
-        come after the stored row of their keys. Keys that a source has twice are an error, or with "last" the last in order counts.
+        come after the stored row of their keys. Keys that a source has twice are an error, or with "last" the last in order counts, or with "unique" the caller knows of none.
         `batch` (stream, number): what a stream has brought once isn't brought again, however often it is sent.
         """
-        if on_duplicate not in ("error", "last") or late not in ("drop", "newer"):
-            raise ValueError("on_duplicate is error or last, late is drop or newer")
+        if on_duplicate not in ("error", "last", "unique") or late not in ("drop", "newer"):
+            raise ValueError("on_duplicate is error, last or unique, late is drop or newer")
         now = self.manifest()
         if now and batch and now["streams"].get(batch[0], -1) >= batch[1]:
             return None

@@ -35,6 +35,44 @@ def evolve_schema(df: DataFrame, target: T.StructType) -> DataFrame:
     return df.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in target.fields if f.name.lower() not in have))
 
 
+#: Types that hold all values of those before them, by family: what Parquet's reader widens as it reads.
+_WIDER = [[T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()], [T.FloatType(), T.DoubleType()], [T.ByteType(), T.ShortType(), T.IntegerType(), T.DoubleType()], [T.DateType(), T.TimestampNTZType()]]
+
+
+def widened(schemas: list[T.StructType]) -> T.StructType:
+    """One schema for files of several: all columns in the order they came in, each of the narrowest type that holds all its own."""
+    fields: dict[str, T.StructField] = {}
+    for schema in schemas:
+        for f in schema.fields:
+            key = f.name.lower()
+            if key not in fields:
+                fields[key] = T.StructField(f.name, f.dataType, True)
+            elif fields[key].dataType != f.dataType:
+                both = next(([t for t in row if t in (f.dataType, fields[key].dataType)] for row in _WIDER if f.dataType in row and fields[key].dataType in row), None)
+                if both is None:
+                    raise ValueError(f"{f.name}: no type holds both {fields[key].dataType.simpleString()} and {f.dataType.simpleString()}")
+                fields[key] = T.StructField(fields[key].name, both[-1], True)
+    return T.StructType(list(fields.values()))
+
+
+def append_generation(df: DataFrame, path: str, generation: str) -> None:
+    """Add rows to a stored table of files, in whatever columns and types they have; nothing that is there is written anew. A
+    generation that is there already is an error, so that a job that is run again doesn't add its rows twice."""
+    df.write.parquet(f"{path}/generation={generation}")
+
+
+def read_generations(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table of all its generations: columns that a generation lacks are null, types are widened as files are read, no
+    column is dropped. Schemas come from one footer of each generation."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    names = sorted(s.getPath().getName() for s in at.getFileSystem(conf).listStatus(at) if s.isDirectory() and s.getPath().getName().startswith("generation="))
+    if not names:
+        raise ValueError(f"{path} has no generation")
+    schema = widened([spark.read.parquet(f"{path}/{n}").schema for n in names])
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("generation", T.StringType())])).option("basePath", path).parquet(*(f"{path}/{n}" for n in names))
+
+
 def create_or_replace(name: str, df: DataFrame) -> None:
     """Create a table from a query, replacing one of that name."""
     df.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -35,6 +36,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(*tables: DataFrame) -> str:
+    """A name for the files that frames read, as they are now: their paths, sizes and times of change."""
+    told, conf = hashlib.sha256(), None
+    for df in tables:
+        conf = conf or df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for name in sorted(df.inputFiles()):
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            found = path.getFileSystem(conf).getFileStatus(path)
+            told.update(f"{name} {found.getLen()} {found.getModificationTime()}\n".encode())
+    return told.hexdigest()[:24]
+
+
 def clear_staged(spark: SparkSession) -> bool:
     """Delete all that this application has staged; frames that read it can't be used any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

@@ -67,13 +67,6 @@ def test_scorecards_of_nothing(spark):
     assert (row.avg_price, row.products, row.shops, row.last_updated) == (0.0, 0, 0, "—")
 
 
-def test_blocked_pairs_salted_alike(spark):
-    rows = [("b", f"s{i}", f"n{i % 5}") for i in range(20)] + [(None, "s1", "n")]
-    df = spark.createDataFrame(rows, "block string, shop string, name string")
-    plain = sorted(map(tuple, R.blocked_pairs(df, ["block"], "shop", ["name"]).collect()))
-    assert len(plain) == 190 and plain == sorted(map(tuple, R.blocked_pairs(df, ["block"], "shop", ["name"], salt=3).collect()))
-
-
 def test_histogram_keeps_all_when_few_are_left(spark):
     px = spark.createDataFrame([("a", 10, 10, 10)] * 50 + [("a", 100, 100, 100)] * 10 + [("b", 100, 0, 8)] * 120, "image_id string, r int, g int, b int")
     got = {r.image_id: r.histogram for r in marts.color_histogram(px).collect()}

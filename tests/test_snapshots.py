@@ -146,8 +146,8 @@ def test_newer_rows_replace_older_ones_whatever_their_order(spark, make, tmp_pat
         assert sorted((at, v, k) for k, v, at in rows_of(table.read())) == want
 
 
-def listing_files(folder, rng, n=6):
-    rows = [(rng.randrange(20), f"v{i}", f"2024-01-{rng.randrange(1, 29):02d}") for i in range(90)]
+def listing_files(folder, rng, n=3):
+    rows = [(rng.randrange(12), f"v{i}", f"2024-01-{rng.randrange(1, 29):02d}") for i in range(45)]
     os.makedirs(folder)
     order = list(range(n))
     rng.shuffle(order)
@@ -158,15 +158,14 @@ def listing_files(folder, rng, n=6):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_stream_gives_the_batch_rows(spark, make, tmp_path, seed):
-    rows = listing_files(f"{tmp_path}/in", random.Random(seed))
+def test_stream_gives_the_batch_rows(spark, make, tmp_path):
+    rows = listing_files(f"{tmp_path}/in", random.Random(1))
     want = sorted({k: max((at, v, k) for k2, v, at in rows if k2 == k) for k, _, _ in rows}.values())
     table = Snapshots(spark, f"{tmp_path}/t", ["k"], "at")
     go = lambda: J.stream_listings(spark, f"{tmp_path}/in", SCHEMA, f"{tmp_path}/cp", table, delay="30 days", maxFilesPerTrigger=1)
     go()
     got = lambda: sorted((at, v, k) for k, v, at in rows_of(table.read()))
-    assert got() == want and len(table.versions()) >= 6
+    assert got() == want and len(table.versions()) >= 3
     # The stream's last commit is lost: the batch is sent again, and the table stays as it is.
     commits = sorted(int(f) for f in os.listdir(f"{tmp_path}/cp/commits") if f.isdigit())
     for f in (f"{commits[-1]}", f".{commits[-1]}.crc"):
