@@ -9,8 +9,8 @@ prefixes and suffixes. Next-symbol distributions are smoothed: (n(sx) + beta * P
 adds up log10 P(symbol | longest suffix state).
 
 The states are a staged table. At most `dense_states` of them are scored by an automaton; else those seen most often, with
-`broadcast_contexts` next symbols in all, are broadcast as sorted keys, and runs that reach a state beyond them meet theirs
-in a shuffle join. All three give the same scores.
+`held_runs` next symbols in all, are written to the shared folder by tasks and read by each worker as sorted keys, and runs
+that reach a state beyond them meet theirs in a shuffle join. All three give the same scores.
 
 The base score sums log10((c + 0.1) / (N + 0.1 * (V + 1))) over words and one end, with c a token's training count. Counts
 of the words met most often (at most `broadcast_words`) are broadcast; all others meet their counts in a shuffle join.
@@ -28,11 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.llm import common as C
+from shelfline.llm.warc import open_fs
 
 END = 10  # a line end never stands within a normalised text; a run of them stands before it
 
@@ -370,7 +373,44 @@ def _automaton(root: np.ndarray, entries: DataFrame, depth: int, beta: float) ->
     return Tree(depth, letters, sorted(per, key=lambda s: (len(s), s)), per, beta)
 
 
-def _held(root: np.ndarray, entries: DataFrame, depth: int, beta: float, most: int) -> Backoff:
+class HeldStates:
+    """Where tables of the states held lie in the shared folder: tasks wrote them, sorted, and each worker reads them once into
+    arrays. Nothing but their paths goes through the driver."""
+
+    def __init__(self, depth: int, root: np.ndarray, tables: dict[str, str]):
+        self.depth, self.root, self.tables = depth, root, tables
+
+    def load(self) -> Backoff:
+        if (name := self.tables["runs"]) not in _loaded:
+            _loaded.clear()
+            runs, contexts, beyond = (self._columns(x) for x in ("runs", "contexts", "beyond"))
+            levels = [(*runs[k], *contexts[k]) for k in range(1, self.depth + 1)]
+            _loaded[name] = Backoff(self.depth, self.root, levels, [x[0] for x in beyond])
+        return _loaded[name]
+
+    def _columns(self, name: str) -> list[list[np.ndarray]]:
+        """Columns after k, by k; the first one sorted."""
+        fs, at = open_fs(self.tables[name])
+        files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet"))
+        parts: list[list] = [[] for _ in range(self.depth + 1)]
+        for path in files:
+            table = pq.read_table(path, filesystem=fs)
+            k, *columns = (table.column(i).to_numpy() for i in range(table.num_columns))
+            edges = np.searchsorted(k, np.arange(self.depth + 2))
+            for m in range(self.depth + 1):
+                parts[m].append([c[edges[m] : edges[m + 1]] for c in columns])
+        out = []
+        for own in parts:
+            joined = [np.concatenate(c) for c in zip(*own, strict=True)] if own else [np.empty(0, np.int64)] * 2
+            order = np.argsort(joined[0], kind="stable")
+            out.append([joined[0][order].view(np.uint64), *(c[order] for c in joined[1:])])
+        return out
+
+
+_loaded: dict[str, Backoff] = {}
+
+
+def _held(root: np.ndarray, entries: DataFrame, depth: int, beta: float, most: int) -> HeldStates:
     """The states seen most often, as many whole classes of counts as have at most `most` entries. States are seen no more
     often than their suffixes, so that these are held too."""
     rank = F.floor(8 * F.log2("total"))
@@ -386,20 +426,16 @@ def _held(root: np.ndarray, entries: DataFrame, depth: int, beta: float, most: i
     beyond = states.filter("NOT held").select((F.col("k") - 1).alias("k"), F.col("ctx").bitwiseAND(parent).alias("ctx")).distinct()
     roots = beyond.filter("k = 0").select("k", "ctx")
     beyond = beyond.join(states.filter("held").select("k", "ctx"), ["k", "ctx"]).select("k", "ctx").unionByName(roots)
-
-    def at_driver(df: DataFrame) -> list[list[np.ndarray]]:
-        """Columns after k, by k."""
-        k, *columns = (c.to_numpy() for c in df.toArrow().columns)
-        return [[c[k == m] for c in columns] for m in range(depth + 1)]
-
-    held = at_driver(told.filter("held").select("k", "key", F.log10("prob").cast("float").alias("log10")))
-    contexts = at_driver(states.filter("held").select("k", "ctx", _back(F.col("total"), beta).cast("float").alias("back")))
-    levels = []
-    for k in range(1, depth + 1):
-        (keys, logs), (ctx, back) = held[k], contexts[k]
-        by_key, by_ctx = np.argsort(keys), np.argsort(ctx)
-        levels.append((keys[by_key].view(np.uint64), logs[by_key], ctx[by_ctx].view(np.uint64), back[by_ctx]))
-    return Backoff(depth, np.log10((root + 0.5) / (root.sum() + 128)), levels, [np.sort(x[0]).view(np.uint64) for x in at_driver(beyond)])
+    wanted = {
+        "runs": told.filter("held").select("k", "key", F.log10("prob").cast("float").alias("log10")),
+        "contexts": states.filter("held").select("k", "ctx", _back(F.col("total"), beta).cast("float").alias("back")),
+        "beyond": beyond,
+    }
+    tables = {}
+    for name, df in wanted.items():
+        tables[name] = C.new_path(entries.sparkSession, f"held-{name}")
+        df.sortWithinPartitions("k", df.columns[1]).write.parquet(tables[name])
+    return HeldStates(depth, np.log10((root + 0.5) / (root.sum() + 128)), tables)
 
 
 def _beyond(open_runs: DataFrame, entries: DataFrame, depth: int, beta: float) -> DataFrame:
@@ -419,7 +455,7 @@ def _beyond(open_runs: DataFrame, entries: DataFrame, depth: int, beta: float) -
     return joined.groupBy("row").agg(F.sum(F.col("times") * (F.coalesce("log10", "v") + F.coalesce("lost", F.lit(0.0)))).alias("more_score"))
 
 
-def score_texts(documents: DataFrame, held_fold: int = 10, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, least: int = 20, share: float = 0.0, nats: float = 1.0, least_kl: float = 0.05, beta: float = 5.0, broadcast_words: int = 400_000, dense_states: int = 20_000, broadcast_contexts: int = 6_000_000) -> DataFrame:
+def score_texts(documents: DataFrame, held_fold: int = 10, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, least: int = 20, share: float = 0.0, nats: float = 1.0, least_kl: float = 0.05, beta: float = 5.0, broadcast_words: int = 400_000, dense_states: int = 20_000, held_runs: int = 6_000_000) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
     fold = C.crc_mod(id_col, held_fold)
@@ -431,7 +467,7 @@ def score_texts(documents: DataFrame, held_fold: int = 10, id_col: str = "doc_id
     below = n_tokens + 0.1 * (v + 1)
     root, entries = fit_states(counts, depth, least, share, nats, least_kl, beta)
     few = entries.select("k", "ctx").distinct().count() <= dense_states
-    tree = _automaton(root, entries, depth, beta) if few else _held(root, entries, depth, beta, broadcast_contexts)
+    tree = _automaton(root, entries, depth, beta) if few else _held(root, entries, depth, beta, held_runs)
     # The words met most often: as many whole classes of counts as the bound takes.
     cut, sum_words = 1 << 62, 0
     for c, w in words.groupBy(F.least("n", F.lit(100_000)).alias("c")).agg(F.count("*").alias("w")).orderBy(F.desc("c")).toLocalIterator():
@@ -448,6 +484,7 @@ def score_texts(documents: DataFrame, held_fold: int = 10, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, keys, n = shared.value
+        tree = tree.load() if isinstance(tree, HeldStates) else tree
         row = TaskContext.get().partitionId() << 36
         logs = np.log10((n + 0.1) / below)
         end = math.log10((ends + 0.1) / below)

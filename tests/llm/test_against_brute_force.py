@@ -254,7 +254,7 @@ def test_lm_tree_keeps_every_context_and_byte(spark):
     want, states = plain_tree_scores(texts, held, 6, 4, 1.0, 0.002, 5.0)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     for dense, sparse in ((20_000, 0), (0, 2_000_000), (0, states // 2), (0, 0)):
-        got = {r.doc_id: r.score for r in lm_scoring.score_texts(df, least=4, least_kl=0.002, dense_states=dense, broadcast_contexts=sparse).collect()}
+        got = {r.doc_id: r.score for r in lm_scoring.score_texts(df, least=4, least_kl=0.002, dense_states=dense, held_runs=sparse).collect()}
         assert got == pytest.approx(want, rel=1e-5)
 
 
