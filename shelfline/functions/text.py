@@ -46,25 +46,31 @@ def _first(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
+#: The patterns of sizes in names, which differ on purpose, as each reader of names has its own.
+ML_LOOSE, LITRES_LOOSE = r"(\d+)\s*[Mm][Ll]", r"(\d+(?:\.\d+)?)\s*[Ll]"
+BLOCK_LITRES = ("([0-9]+)[ ]*(?:liter|litre)", "([0-9]+)[ ]*l[^a-z]", "([0-9]+)[ ]*l$")
+BLOCK_SIZE = "([0-9]+[ ]*(?:ml|kg|g))"
+STRICT_SIZE = r"(\d+(?:[.,]\d+)?)\s*(l|ml)\b"
+
+
 def volume_ml_default(name: Column, default: int = 500) -> Column:
     """Millilitres before `ml`; else litres before `l`, rounded; else the default. Loose: a unit may begin a longer word."""
-    ml, litres = _first(name, r"(\d+)\s*[Mm][Ll]").try_cast("long"), _first(name, r"(\d+(?:\.\d+)?)\s*[Ll]").try_cast("double")
-    return F.when(name.rlike(r"\d+\s*[Mm][Ll]"), ml).when(name.rlike(r"\d+(?:\.\d+)?\s*[Ll]"), F.floor(litres * 1000 + 0.5)).otherwise(F.lit(default).cast("long"))
+    ml, litres = _first(name, ML_LOOSE).try_cast("long"), _first(name, LITRES_LOOSE).try_cast("double")
+    return F.when(name.rlike(ML_LOOSE), ml).when(name.rlike(LITRES_LOOSE), F.floor(litres * 1000 + 0.5)).otherwise(F.lit(default).cast("long"))
 
 
 def volume_block_key(name: Column) -> Column:
     """A size as text for blocking: litres become `<n>000ml`, else the first `<n>ml`, `<n>kg` or `<n>g`; whole digits only."""
     low = F.lower(name)
-    litre = F.coalesce(*(_first(low, p).try_cast("long") for p in ("([0-9]+)[ ]*(?:liter|litre)", "([0-9]+)[ ]*l[^a-z]", "([0-9]+)[ ]*l$")))
-    return F.when(litre.isNotNull(), F.concat((litre * 1000).cast("string"), F.lit("ml"))).otherwise(F.replace(_first(low, "([0-9]+[ ]*(?:ml|kg|g))"), F.lit(" "), F.lit("")))
+    litre = F.coalesce(*(_first(low, p).try_cast("long") for p in BLOCK_LITRES))
+    return F.when(litre.isNotNull(), F.concat((litre * 1000).cast("string"), F.lit("ml"))).otherwise(F.replace(_first(low, BLOCK_SIZE), F.lit(" "), F.lit("")))
 
 
 def volume_ml_strict(name: Column) -> Column:
     """Millilitres of the first number with unit `l` or `ml`, a decimal comma allowed; null if there is none."""
-    pattern = r"(\d+(?:[.,]\d+)?)\s*(l|ml)\b"
     low = F.lower(name)
-    value = F.replace(_first(low, pattern), F.lit(","), F.lit(".")).try_cast("double")
-    return F.when(_first(low, pattern, 2) == "l", value * 1000).otherwise(value)
+    value = F.replace(_first(low, STRICT_SIZE), F.lit(","), F.lit(".")).try_cast("double")
+    return F.when(_first(low, STRICT_SIZE, 2) == "l", value * 1000).otherwise(value)
 
 
 def classify_brand(name: Column, brands: list[tuple[str, str]] = rules.BRANDS, other: str = "Other") -> Column:
@@ -157,13 +163,17 @@ def collation_order(c: Column, collations: tuple[str, ...] = ("UNICODE_CI_AI", "
     return [level(x) for x in collations]
 
 
-def short_name(name: Column, most: int = 40) -> Column:
+#: What a short label drops, in order (pattern, by), and its length.
+SHORTENED = [(r"(?i)^(\S+)\s+\1\s+", "$1 "), (r"(?i)^(.{4,25}?)\s+\1\s+", "$1 "), (r"(?i)\bNaturally Brewed\b", ""), (r"\s{2,}", " ")]
+LABEL = 40
+
+
+def short_name(name: Column, most: int = LABEL) -> Column:
     """A label: entities read, doubled beginnings once, filler out, blanks squeezed, long ones cut with an ellipsis."""
     s = F.replace(name, F.lit("&amp;"), F.lit("&"))
-    s = F.regexp_replace(s, r"(?i)^(\S+)\s+\1\s+", "$1 ")
-    s = F.regexp_replace(s, r"(?i)^(.{4,25}?)\s+\1\s+", "$1 ")
-    s = F.trim(F.regexp_replace(s, r"(?i)\bNaturally Brewed\b", ""))
-    s = F.trim(F.regexp_replace(s, r"\s{2,}", " "))
+    for pattern, by in SHORTENED:
+        s = F.regexp_replace(s, pattern, by)
+        s = F.trim(s) if "1" not in by else s
     return F.when(F.length(s) > most, F.concat(F.left(s, F.lit(most - 2)), F.lit("…"))).otherwise(s)
 
 
@@ -202,7 +212,11 @@ def prefer_existing(a: Column, b: Column) -> Column:
     return F.coalesce(F.nullif(a, F.lit("")), b)
 
 
-def surrogate_key(*cols: Column, sentinel: str = "_dbt_utils_surrogate_key_null_") -> Column:
+#: Fixed value: what stands for null in a surrogate key.
+NULL_KEY = "_dbt_utils_surrogate_key_null_"
+
+
+def surrogate_key(*cols: Column, sentinel: str = NULL_KEY) -> Column:
     """md5 of the columns' texts joined by a dash, null by a fixed sentinel."""
     return F.md5(F.concat_ws("-", *(F.coalesce(c.cast("string"), F.lit(sentinel)) for c in cols)).cast("binary"))
 

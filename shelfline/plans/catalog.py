@@ -284,7 +284,10 @@ def _(s, d):
 
 
 _PRICE9 = "(page_id % 90 + 1)"
-_TITLE9 = "coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), ''), url)"
+_TITLE9 = "regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&euro;", "€"), ("&amp;", "&")):
+    _TITLE9 = f"replace({_TITLE9}, '{_a}', '{_b}')"
+_TITLE9 = f"coalesce(nullif(trim({_TITLE9}), ''), url)"
 
 
 @query("a09_extract_product_page", f"SELECT url, CASE WHEN page_id % 7 IN (4, 5) THEN 'Item ' || page_id ELSE {_TITLE9} END AS product_name, '€' || {_PRICE9} || CASE page_id % 7 WHEN 0 THEN '.25' WHEN 1 THEN '.50' WHEN 2 THEN '.75' WHEN 3 THEN '.05' WHEN 4 THEN '.10' ELSE '.20' END AS raw_price, CASE WHEN page_id % 7 = 4 THEN 'USD' ELSE 'EUR' END AS currency, CASE page_id % 7 WHEN 4 THEN 'https://i/ld' WHEN 5 THEN 'https://i/og' WHEN 0 THEN 'https://i/og' ELSE '' END AS image_url FROM pages WHERE page_id % 7 <> 6")

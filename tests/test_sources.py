@@ -75,9 +75,14 @@ def test_map_elements(spark):
 
 
 def test_standardize(spark):
-    one = spark.createDataFrame([("S", "P", "1", "EUR", "u", "i")], S.LISTING)
-    out = S.standardize_sources({"a": one, "b": one}, {"a": "k", "b": "k"}, {"k": lambda d: d})
-    assert out.count() == 2 and out.columns == S.LISTING
+    feed = spark.createDataFrame([(1, "One", "https://one/", json.dumps({"product": {"title": "A", "handle": "a", "variants": [{"price": "1.5"}]}}))], "feed_id int, shop_name string, base_url string, payload string")
+    cards = spark.createDataFrame([(7, "Two", "https://two", json.dumps({"cards": [{"products": [{"title": "B", "price": {"now": 2}, "link": "/b"}, {"title": "B", "price": {"now": 3}}]}]}))], feed.schema)
+    parsers = {"feed": lambda df: S.parse_product_feed(df, "single"), "cards": lambda df: S.parse_product_feed(df, "cards")}
+    out = S.standardize_sources({"One": feed, "Two": cards}, {"One": "feed", "Two": "cards"}, parsers)
+    assert out.columns == S.LISTING
+    assert sorted(map(tuple, out.collect())) == [("One", "A", "€1.5", "EUR", "https://one/products/a", ""), ("Two", "B", "€2.00", "EUR", "https://two/b", "")]
+    with pytest.raises(KeyError):
+        S.standardize_sources({"One": feed}, {}, parsers)
 
 
 def test_layers(spark):
