@@ -31,9 +31,13 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
 
 
 def first_rows(rows: DataFrame, size: Column, most: int, *order: str) -> DataFrame:
-    """Of a bounded sample the rows in order whose sizes add up to `most` at most, but one row in any case."""
-    before = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_size", size).filter(F.col("_before") + F.col("_size") <= F.greatest(F.lit(most), F.when(F.col("_before") == 0, F.col("_size")))).orderBy(*order).drop("_before", "_size")
+    """Of a bounded sample, which `order` tells apart, the rows in order whose sizes add up to `most` at most, but one row in any
+    case. Only orders and sizes meet in one task; what rows hold is written by the tasks that make it."""
+    kept = staged(rows.withColumn("_size", size), "sample")
+    before = F.coalesce(F.sum("_size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = kept.select(*order, "_size", before.alias("_before"))
+    first = sums.filter(F.col("_before") + F.col("_size") <= F.greatest(F.lit(most), F.when(F.col("_before") == 0, F.col("_size")))).select(*order)
+    return kept.join(F.broadcast(first), list(order)).drop("_size").orderBy(*order)
 
 
 def text_groups(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, list[bytes]]]:

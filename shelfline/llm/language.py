@@ -103,14 +103,15 @@ def identify(documents: DataFrame, folds: int = 3, held: int = 1, id_col: str =
     train = documents.filter((fold != held) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
     n, seen = document_frequencies(train.select(text), bits)
     idf = np.log((1 + n) / (1 + seen)) + 1
-    chosen = train.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.lit(3)).alias("order"))
+    # Rows are drawn by a hash of id and text, each such pair once, however often it or its id stands there.
+    own = train.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col, F.lit(3)).alias("order"), text.alias("text"))
     # The first rows of every language, one after the other: a seldom one is learnt as well. Hashes below a share that a
     # language's count gives are enough, so that no language's rows are ever sorted whole.
-    counts = train.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("rows"))
-    near = chosen.join(counts, "lang").filter((F.col("order") / float(1 << 63) + 1) / 2 * F.col("rows") <= 2.0 * most_rows + 100)
+    counts = own.groupBy("lang").agg(F.approx_count_distinct("order").alias("rows"))
+    near = own.select("lang", "order").join(counts, "lang").filter((F.col("order") / float(1 << 63) + 1) / 2 * F.col("rows") <= 2.0 * most_rows + 100).select("lang", "order").distinct()
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order")))
-    chosen = near.filter(F.col("place") <= most_rows).orderBy("place", "order", "lang").limit(most_rows).select("id", "lang", "order")
-    picked = train.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(chosen), "id").select("order", "lang", "text")
+    chosen = near.filter(F.col("place") <= most_rows).orderBy("place", "order", "lang").limit(most_rows).select("lang", "order")
+    picked = own.join(F.broadcast(chosen), ["order", "lang"]).groupBy("order", "lang").agg(F.first("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -31,11 +31,15 @@ Rule = tuple[tuple[str, float | None, float | None], ...]
 def labelled_statistics(documents: DataFrame, labels: DataFrame, label: str, fold: Column, most_rows: int, id_col: str, text_col: str) -> DataFrame:
     """y and the statistics of a bounded sample of labelled training rows."""
     named = labels.filter(F.col(label).isin(0, 1) & fold).select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y"), F.xxhash64(id_col, F.lit(9)).alias("order"))
-    chosen = named.orderBy("order", "y").limit(most_rows).select("id", "y")
+    chosen = named.distinct().orderBy("order", "y", "id").limit(most_rows).select("id", "y")
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = docs.join(F.broadcast(chosen), "id")  # most_rows bounds what is broadcast
-    # Written by the scan's own tasks; only the bounded sample is read back in few partitions.
-    return C.staged(S.with_statistics(rows, "text"), "labelled").coalesce(4)
+    # Statistics are worked out by the scan's own tasks. Of rows that share an id one is learnt from, the first by a hash
+    # of its text, so that the bound holds whatever ids repeat; only the bounded sample is read back in few partitions.
+    told = S.with_statistics(rows.withColumn("_h", F.xxhash64("text")), "text")
+    kept = [c for c in told.columns if c not in ("id", "y", "_h")]
+    best = told.groupBy("id", "y").agg(F.min_by(F.struct(*kept), "_h").alias("_r")).select("y", *(F.col(f"_r.{c}").alias(c) for c in kept))
+    return C.staged(best, "labelled").coalesce(4)
 
 
 def paths(tree: str) -> list[Rule]:

@@ -7,8 +7,8 @@ one for each coordinate, and in truth those that separate the classes. Learning
 never texts, come to the driver.
 
 Defined results: null and empty texts score by the bias alone; without labels of both kinds every score is the share of
-label 1 (0.5 without labels); labels of null ids or null values are ignored; repeated labels count as often; repeated
-documents each get a row; further columns are ignored.
+label 1 (0.5 without labels); labels of null ids or null values are ignored; repeated labels count once, and of documents
+that share an id one is learnt from; repeated documents each get a row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,21 +53,24 @@ def features(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
 def labelled_features(documents: DataFrame, labels: DataFrame, label: str, fold, most_rows: int, most_features: int, bits: int, id_col: str, text_col: str) -> pa.Table:
     """(y, coordinates) of a bounded sample of labelled training rows, in the order of a hash of the id."""
     named = labels.filter(F.col(label).isin(0, 1) & fold).select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y"), F.xxhash64(id_col, F.lit(5)).alias("order"))
-    chosen = named.orderBy("order", "y").limit(most_rows)
+    chosen = named.distinct().orderBy("order", "y", "id").limit(most_rows)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = docs.join(F.broadcast(chosen), "id").select("order", "y", "text")  # most_rows bounds what is broadcast
+    rows = docs.join(F.broadcast(chosen), "id").select("id", "order", "y", F.xxhash64("text").alias("h"), "text")  # most_rows bounds what is broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, texts in C.text_groups(batch.column(2)):
+            for at, to, texts in C.text_groups(batch.column(4)):
                 coordinate, owner = features(texts, bits)
                 pair = np.unique(owner * (1 << bits) + coordinate)
                 cuts = np.searchsorted(pair, np.arange(len(texts) + 1) << bits)
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array((pair & ((1 << bits) - 1)).astype(np.int32)))
-                yield pa.RecordBatch.from_pydict({"order": batch.column(0).slice(at, to - at), "y": batch.column(1).slice(at, to - at), "x": lists})
+                own = {name: batch.column(i).slice(at, to - at) for i, name in enumerate(("id", "order", "y", "h"))}
+                yield pa.RecordBatch.from_pydict(own | {"x": lists})
 
-    told = rows.mapInArrow(run, "order long, y double, x array<int>")
-    return C.first_rows(told, F.size("x"), most_features, "order", "y").toArrow()
+    # Of rows that share an id one is learnt from, the first by a hash of its text, so that the bound holds whatever ids repeat.
+    kind = documents.schema[id_col].dataType.simpleString()
+    told = rows.mapInArrow(run, f"id {kind}, order long, y double, h long, x array<int>").groupBy("id", "order", "y").agg(F.min_by("x", "h").alias("x"))
+    return C.first_rows(told, F.size("x"), most_features, "order", "y", "id").select("order", "y", "x").toArrow()
 
 
 def fit(sample: pa.Table, bits: int, passes: int, alpha: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +112,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic"
         table = np.zeros(1 << bits, np.float32)
         table[at] = weight
         for batch in batches:
-            for first, last, texts in C.text_groups(batch.column(2)):
+            for first, last, texts in C.text_groups(batch.column(4)):
                 coordinate, owner = features(texts, bits)
                 told = table[coordinate] != 0
                 pair = np.unique(owner[told] * (1 << bits) + coordinate[told])
