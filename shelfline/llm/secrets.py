@@ -64,6 +64,23 @@ def running_sums(sizes: Column) -> Column:
     return C.let(F.struct(sizes.alias("v"), F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(sizes)))).cast("int").alias("b")), lambda x: in_blocks(x["v"], x["b"]))
 
 
+def running_max(v: Column) -> Column:
+    """For each place of an array of ints the largest up to it, by maxima of blocks of about the root of its size."""
+
+    def in_blocks(v: Column, b: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / b).cast("int")), lambda i: F.array_max(F.slice(v, i * b + 1, b)))
+        heads = C.let(blocks, lambda tops: F.transform(tops, lambda _, i: F.array_max(F.slice(tops, F.lit(1), i))))
+        return C.let(heads, lambda h: F.transform(v, lambda _, i: F.greatest(F.get(h, F.floor(i / b).cast("int")), F.array_max(F.slice(v, F.floor(i / b).cast("int") * b + 1, i % b + 1)))))
+
+    return C.let(F.struct(v.alias("v"), F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(v)))).cast("int").alias("b")), lambda x: in_blocks(x["v"], x["b"]))
+
+
+def up_to(sorted_: Column, value: Column) -> Column:
+    """How many of a sorted array are at most a value, by halving."""
+    powers = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    return F.aggregate(powers, F.lit(0), lambda at, p: F.when((at + p <= F.size(sorted_)) & (F.get(sorted_, at + p - 1) <= value), at + p).otherwise(at))
+
+
 def located(text: Column, pattern: str, keep=None) -> Column:
     """(first, last, text) of each match, from the lengths of matches and of what stands between them."""
 
@@ -183,14 +200,19 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     tested = found.select(F.explode("runs").alias("r")).select(length_class(F.col("r.t.n")).alias("length_class"), evidence(F.col("r.t.p")).alias("bin"))
     chosen = cutoffs(tested, fdr)
 
-    def is_secret(x: Column) -> Column:
+    def rejected(x: Column) -> Column:
         cut = F.lit(401)
         for c, b in chosen.items():
             cut = F.when(length_class(x["t"]["n"]) == c, F.lit(b)).otherwise(cut)
-        outside = ~F.exists(F.col("base"), lambda s: (s["first"] <= x["first"]) & (x["last"] <= s["last"]))
-        return (evidence(x["t"]["p"]) >= cut) & outside
+        return evidence(x["t"]["p"]) >= cut
+
+    def outside(secrets: Column, base: Column) -> Column:
+        """Runs that no base span holds: of the base spans that begin no later, none reaches as far."""
+        known = F.struct(F.transform(base, lambda s: s["first"]).alias("firsts"), running_max(F.transform(base, lambda s: s["last"])).alias("reach"))
+        return C.let(known, lambda k: F.filter(secrets, lambda x: F.coalesce(F.get(k["reach"], up_to(k["firsts"], x["first"]) - 1) < x["last"], F.lit(True))))
 
-    more = of_kind(F.filter("runs", is_secret), 3)
+    told = C.let(F.filter("runs", rejected), lambda runs: F.when((F.size("base") > 0) & (F.size(runs) > 0), outside(runs, F.col("base"))).otherwise(runs))
+    more = of_kind(told, 3)
     return found.select(F.col("_id").alias(id_col), "base", F.sort_array(F.concat("base", more)).alias("spans"))
 
 
