@@ -56,8 +56,8 @@ def computed_comparison(spark: SparkSession, sf_dir: str, months: str = "latest"
 def comparison_table(spark: SparkSession, sf_dir: str) -> Snapshots:
     """The comparison of all months, kept by month in the shared folder: written when it is first asked for, and again
     when a file under it has changed."""
-    sources = [table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier")]
-    kept = WH.comparison_table(spark, f"{shared_dir(spark)}/comparison-{fingerprint(*sources)}")
+    sources = fingerprint(spark, *(f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part", "supplier")))
+    kept = WH.comparison_table(spark, f"{shared_dir(spark)}/comparison-{sources}")
     if kept.manifest() is None:
         kept.upsert(computed_comparison(spark, sf_dir, "all"), on_duplicate="unique")
     return kept

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,16 +36,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fingerprint(*tables: DataFrame) -> str:
-    """A name for the files that frames read, as they are now: their paths, sizes and times of change."""
-    told, conf = hashlib.sha256(), None
-    for df in tables:
-        conf = conf or df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for name in sorted(df.inputFiles()):
-            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            found = path.getFileSystem(conf).getFileStatus(path)
-            told.update(f"{name} {found.getLen()} {found.getModificationTime()}\n".encode())
-    return told.hexdigest()[:24]
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A name for the files under paths as they are now: their names, sizes and times of change, not what they hold. Spark
+    lists and sums them up, however many they are."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "length", "modificationTime")
+    n, size, mixed = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.lit(0))).first()
+    return f"{n}-{size}-{mixed & (2**64 - 1):016x}"
 
 
 def clear_staged(spark: SparkSession) -> bool:
