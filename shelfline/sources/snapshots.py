@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,7 @@ class Snapshots:
     """A table of rows with unique keys and a time, at a path in a file system that all tasks reach.
 
     Its first version comes with the first upsert. Rows with a null key column are kept and replace none; rows without a
-    time share a part of their own. Columns of a later source must be those of the table (see `widened` in sources.tables).
+    time share a part of their own. Parts are days or months of the session's time zone. Columns of a later source must be those of the table (see `widened` in sources.tables).
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], time: str, every: str = "month"):
@@ -153,11 +153,11 @@ class Snapshots:
         if now and late == "drop":
             fresh = fresh.filter(time > F.lit(now["mark"]).cast(kind)) if now["mark"] is not None else fresh.filter("false")
         if on_duplicate == "last":
-            w = W.partitionBy(*self.keys).orderBy(*(F.desc(c) for c in order))
-            whole = F.lit(True)
-            for k in self.keys:
-                whole = whole & F.col(k).isNotNull()
-            fresh = fresh.withColumn("_n", F.when(whole, F.row_number().over(w)).otherwise(1)).filter("_n = 1").drop("_n")
+            # A maximum that tasks combine first, so that a key of many rows meets in none; rows with a null key pass.
+            named = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in self.keys))
+            rest = [c for c in columns if c not in self.keys]
+            best = fresh.filter(named).groupBy(*self.keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+            fresh = best.select(*self.keys, *(F.col(f"_r.{c}").alias(c) for c in rest)).select(*columns).unionByName(fresh.filter(~named))
         fresh = staged(fresh.withColumn(_PART, self.part_of(time)), "batch")
         old = self._rows(now, sorted(now["parts"])) if now else None
         if on_duplicate == "error":
@@ -165,7 +165,8 @@ class Snapshots:
             if twice:
                 raise ValueError(f"the batch has a key twice: {twice[0]}")
         if late == "newer" and now:
-            stored = old.select(*self.keys, F.struct(*order).alias("_stored"))
+            # The table's rows of these keys first: a batch that is small is broadcast, and the table isn't shuffled.
+            stored = old.join(fresh.select(*self.keys), self.keys, "left_semi").select(*self.keys, F.struct(*order).alias("_stored"))
             fresh = staged(fresh.join(stored, self.keys, "left").filter(F.col("_stored").isNull() | (F.struct(*order) > F.col("_stored"))).select(*columns, _PART), "batch")
         brought = [r[0] for r in fresh.select(_PART).distinct().collect()]
         if not brought and now and not batch:

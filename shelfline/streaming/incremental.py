@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfline.sources.snapshots import Snapshots
@@ -25,12 +24,13 @@ def incremental_upsert(source: DataFrame, target: DataFrame | None, keys: list[s
     """
     fresh = new_rows(source, target, watermark)
     if on_duplicate == "last":
-        w = W.partitionBy(*keys).orderBy(*(F.desc(c) for c in order or [c for c in source.columns if c not in keys]))
-        fresh = fresh.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+        rest = [c for c in source.columns if c not in keys]
+        best = fresh.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*(order or rest))).alias("_r"))
+        fresh = best.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest)).select(*source.columns)
     elif on_duplicate == "error":
-        twice = fresh.groupBy(*keys).count().filter("count > 1").limit(1)
-        if not twice.isEmpty():
-            raise ValueError(f"the batch has a key twice: {twice.first()}")
+        twice = fresh.groupBy(*keys).count().filter("count > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"the batch has a key twice: {twice[0]}")
     else:
         raise ValueError("on_duplicate is error or last")
     if target is None:
