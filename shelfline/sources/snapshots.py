@@ -85,7 +85,12 @@ class Snapshots:
         if not known:
             return None
         at = known[-1] if version is None else version
-        return json.loads(self.spark.read.text(f"{self.path}/versions/{at:012d}.json", wholetext=True).first()[0])
+        fs, path = self._file("versions", f"{at:012d}.json")
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def commit(self, manifest: dict) -> None:
         name = f"{manifest['version']:012d}.json"
@@ -168,7 +173,7 @@ class Snapshots:
             # The table's rows of these keys first: a batch that is small is broadcast, and the table isn't shuffled.
             stored = old.join(fresh.select(*self.keys), self.keys, "left_semi").select(*self.keys, F.struct(*order).alias("_stored"))
             fresh = staged(fresh.join(stored, self.keys, "left").filter(F.col("_stored").isNull() | (F.struct(*order) > F.col("_stored"))).select(*columns, _PART), "batch")
-        brought = [r[0] for r in fresh.select(_PART).distinct().collect()]
+        brought, last = fresh.agg(F.sort_array(F.collect_set(_PART)), self._text(F.max(time), kind)).first()  # a name for each part
         if not brought and now and not batch:
             return None
         kept = {} if now is None else dict(now["parts"])
@@ -179,11 +184,10 @@ class Snapshots:
         run = uuid.uuid4().hex
         mark = None if now is None else now["mark"]
         if touched:
-            last = fresh.agg(self._text(F.max(time), kind)).first()[0]
             rows.hint("rebalance", _PART).write.partitionBy(_PART).parquet(f"{self.path}/data/{_RUN}={run}")
             written = {n.partition("=")[2] for n in self._names("data", f"{_RUN}={run}") if n.startswith(f"{_PART}=")}
             kept = {p: r for p, r in kept.items() if p not in touched} | {p: run for p in written}
-            mark = last if mark is None or (last is not None and self._later(last, mark, kind)) else mark
+            mark = last if mark is None or (last is not None and (late == "drop" or self._later(last, mark, kind))) else mark
         schema = T.StructType([f for f in fresh.schema.fields if f.name != _PART]).jsonValue() if now is None else now["schema"]
         streams = ({} if now is None else now["streams"]) | ({batch[0]: batch[1]} if batch else {})
         manifest = {"version": 1 if now is None else now["version"] + 1, "mark": mark, "parts": dict(sorted(kept.items())), "streams": streams, "written": touched, "schema": schema}
