@@ -44,6 +44,8 @@ SKETCH_BITS, _BLOCK_BITS = 21, 15
 #: Entries of one column that go to one task: a column of more, by its sketch, is dealt in parts.
 HOT = 20_000
 _PARITY = ("p0", "p1", "p2", "p3")
+#: Bytes of text whose n-grams are worked out at once: some thirty times as many are held meanwhile, and workers keep them.
+PIECE = 1 << 20
 #: Asked sets up to which their ids are broadcast, and up to which a bitmap of eight bits for each stands in for them.
 FEW_IDS, BITMAP_IDS = 300_000, 1 << 24
 
@@ -96,7 +98,7 @@ def _over_texts(documents: DataFrame, id_col: str, text_col: str, width: int, sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit, finish = start()
         for batch in batches:
-            for at, to, texts in C.text_groups(batch.column(1), 4 << 20):
+            for at, to, texts in C.text_groups(batch.column(1), PIECE):
                 yield emit(batch.column(0).slice(at, to - at), len(texts), *text_sets(texts, width))
         yield from finish()
 
@@ -168,8 +170,9 @@ def column_counts(sigs: DataFrame) -> np.ndarray:
 
     out = np.zeros((1 << (SKETCH_BITS - _BLOCK_BITS), 1 << _BLOCK_BITS), np.int32)
     summed = sigs.filter("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(run, "block int, counts binary")
-    for r in summed.toLocalIterator():  # as many rows as blocks
-        out[r.block] = np.frombuffer(r.counts, np.int32)
+    told = summed.toArrow()  # as many rows as blocks, 8 MB at most, by one job: an iterator has one for each partition
+    for b, raw in zip(told.column(0).to_pylist(), told.column(1), strict=True):
+        out[b] = np.frombuffer(raw.as_buffer(), np.int32)
     return out.ravel()
 
 
@@ -344,9 +347,14 @@ def _named(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return shared.select(*own).join(groups, F.col("sid") == F.col("node"), "left").select(*own, F.coalesce("root", "sid").alias("g"))
 
 
-def _large_columns(shared: DataFrame, block: int) -> DataFrame | None:
-    """(h, size) of columns of more than `block` sets, None without any: they are few, as they share the entries."""
-    large = C.staged(shared.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > block), "large-columns")
+def column_sizes(shared: DataFrame, most: int) -> DataFrame:
+    """(h, size) of columns of more than `most` sets: they are few, as they share the entries."""
+    return C.staged(shared.groupBy("h").agg(F.count("*").alias("size")).filter(F.col("size") > most), "large-columns")
+
+
+def _large_columns(shared: DataFrame, block: int, sizes: DataFrame | None = None) -> DataFrame | None:
+    """(h, size) of columns of more than `block` sets, None without any; sizes has them, and maybe smaller ones, if they are counted."""
+    large = (column_sizes(shared, block) if sizes is None else sizes).filter(F.col("size") > block)
     count = large.count()
     return (F.broadcast(large) if count <= 200_000 else large) if count else None
 
@@ -456,18 +464,18 @@ def _lined_up(rows: DataFrame, large: DataFrame | None, kinds: int, block: int,
     return rows.repartition("h", "i").sortWithinPartitions("h", "i", "o").drop("o")
 
 
-def neighbour_pairs(shared: DataFrame, groups: DataFrame, percent: int, kinds: int, reach: int, tries: int, block: int, seed: int) -> DataFrame:
+def neighbour_pairs(shared: DataFrame, groups: DataFrame, percent: int, kinds: int, reach: int, tries: int, block: int, seed: int, sizes: DataFrame | None = None) -> DataFrame:
     """(a, b): in an order that a hash of one of `kinds` draws, each set meets the next `reach` of its column's run; it
     goes on with the `tries` sets of other groups that it meets most."""
-    met = _meetings(_lined_up(_named(shared, groups), _large_columns(shared, block), kinds, block, seed), percent, reach)
+    met = _meetings(_lined_up(_named(shared, groups), _large_columns(shared, block, sizes), kinds, block, seed), percent, reach)
     both = met.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "c").select("p.x", "p.y", "c")
     best = both.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).filter(F.col("r") <= tries)
     return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def crossing_pairs(shared: DataFrame, groups: DataFrame, percent: int, block: int) -> DataFrame:
+def crossing_pairs(shared: DataFrame, groups: DataFrame, percent: int, block: int, sizes: DataFrame | None = None) -> DataFrame:
     """(a, b) of all sets of different groups that meet in a column where a linked pair could meet first."""
-    rows = _dealt(_named(shared, groups), _large_columns(shared, block), block)
+    rows = _dealt(_named(shared, groups), _large_columns(shared, block, sizes), block)
     return _meetings(rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "g"), percent, None).select("a", "b")
 
 
@@ -503,6 +511,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_c
     sigs = told.filter("block IS NULL")
     sketch = spark.sparkContext.broadcast(column_counts(told))
     shared = C.staged(shared_entries(entries(documents, width, percent, sketch, id_col, text_col, hot), pivots), "entries")
+    sketch.destroy()
     firsts = C.staged(sigs.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), *(F.first(p).alias(p) for p in _PARITY)), "sets")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
@@ -518,19 +527,19 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 75, id_c
     groups = C.staged(connected_components(near, "a", "b"), "groups")
     # Columns of no more sets than `reach` need no neighbours: their pairs are few.
     told = shared.select("h", "sid", "n", "place")
-    if (columns := _large_columns(shared, reach)) is not None:
+    sizes = column_sizes(shared, min(reach, block))
+    if (columns := _large_columns(shared, reach, sizes)) is not None:
         dense = C.staged(told.join(columns.select("h"), "h", "left_semi"), "dense-entries")
         before, seed = near.count(), 0
         while before:
-            more = links(neighbour_pairs(dense, groups, percent, 4, reach, 2 * tries, block, seed), "neighbour-links")
+            more = links(neighbour_pairs(dense, groups, percent, 4, reach, 2 * tries, block, seed, sizes), "neighbour-links")
             if found := more.count():
                 groups = united(groups, more)
             before, seed = found if 10 * found > before else 0, seed + 1
         told = with_parities(told, dense, columns, firsts)
-    more = links(crossing_pairs(told, groups, percent, block), "crossing-links")
+    more = links(crossing_pairs(told, groups, percent, block, sizes), "crossing-links")
     if not more.isEmpty():
         groups = united(groups, more)
-    sketch.unpersist()
     # Only ids are joined: groups are over sets, and each set's smallest id stands for its copies.
     by_set = firsts.select("sid", "id").join(groups, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("g"), "id")
     least = by_set.groupBy("g").agg(F.min("id").alias("component_id"))

@@ -1,6 +1,8 @@
 import random
 
 from pyspark.sql import functions as F
+from shelfline.llm import common as C
+from shelfline.llm import shingles
 from shelfline.operators import graph, marts
 from shelfline.operators import relational as R
 from shelfline.operators import warehouse as WH
@@ -36,6 +38,42 @@ def test_components_at_random(spark):
     assert roots(spark, [(b, a) for a, b in edges]) == want
 
 
+def test_components_alike_at_every_size(spark):
+    rng = random.Random(5)
+    for edges, kind in ([[(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(500)], "long"], [[(f"n{i}\u00e9", f"n{i + 1}\u00e9") for i in range(200)] + [("z", "z"), ("Z", None)], "string"]):
+        df = spark.createDataFrame(edges, f"a {kind}, b {kind}")
+        few, many = (sorted(map(tuple, graph.connected_components(df, "a", "b", small=n).collect())) for n in (graph.SMALL, 0))
+        assert few == many and len(few) == len({x for e in edges if None not in e for x in e})
+
+
+def jobs_of(spark, work):
+    """How many jobs work() starts."""
+    ran = spark.sparkContext._jsc.sc().dagScheduler
+    before = ran().nextJobId()
+    work()
+    return ran().nextJobId() - before
+
+
+def test_few_edges_need_no_rounds(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(3000)], "a long, b long")
+    assert jobs_of(spark, lambda: graph.connected_components(path, "a", "b").collect()) <= 5
+
+
+def test_sketch_comes_by_jobs_that_no_partition_adds_to(spark):
+    texts = spark.range(200).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 40), i -> cast(xxhash64(id, i) AS string))) AS text")
+    told = C.staged(shingles.signatures(texts, 5, "doc_id", "text"), "signatures")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        counts = []
+        assert jobs_of(spark, lambda: counts.append(shingles.column_counts(told))) <= 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert counts[0].sum() == 200 * 36
+
+
 def test_one_latest_version(spark):
     rows = [("p", f"u{i % 3}", f"i{i % 2}", f"2024-01-0{i + 1}") for i in range(6)]
     df = spark.createDataFrame(rows, "product_id string, product_url string, image_url string, scraped_at string").select("*", *(F.lit("x").alias(c) for c in WH.ATTRIBUTES if c not in ("product_id", "product_url", "product_image_url")))
