@@ -62,6 +62,7 @@ def shuffled_rows(spark, run):
 #: By the block that holds all rows of a day.
 NO_PAIR_SHUFFLED = {
     "d03_resolve_pair_ids": "base",
+    "d04_join_unordered_pairs": "base",
 }
 
 
@@ -74,7 +75,7 @@ def test_no_pair_is_shuffled(spark, tmp_path, name):
     assert len(want[1]) > 20 * DAYS * A_DAY and shuffled < 12 * DAYS * A_DAY
 
 
-@pytest.mark.parametrize("name", ["d03_resolve_pair_ids"])
+@pytest.mark.parametrize("name", ["d03_resolve_pair_ids", "d04_join_unordered_pairs"])
 def test_names_of_several_spellings(spark, tmp_path, name):
     con = listings(tmp_path, False, spelled=True)
     assert spark_rows(catalog.QUERIES[name](spark, str(tmp_path))) == sql_rows(con, catalog.SQL[name])
