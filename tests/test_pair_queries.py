@@ -4,6 +4,8 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
+from shelfline.operators import pairs
 from shelfline.plans import catalog
 
 from tests.helpers import plain, spark_rows
@@ -63,6 +65,7 @@ def shuffled_rows(spark, run):
 NO_PAIR_SHUFFLED = {
     "d03_resolve_pair_ids": "base",
     "d04_join_unordered_pairs": "base",
+    "e10_distinct_pairs": "base",
 }
 
 
@@ -75,6 +78,20 @@ def test_no_pair_is_shuffled(spark, tmp_path, name):
     assert len(want[1]) > 20 * DAYS * A_DAY and shuffled < 12 * DAYS * A_DAY
 
 
+@pytest.mark.parametrize("tile", [1, 3, 7, 2048])
+def test_distinct_pairs_don_t_depend_on_tiles(spark, tile):
+    rng = random.Random(3)
+    rows = [(rng.choice("xyz"), rng.randrange(6), f"s{rng.randrange(9)}", f"n{rng.randrange(30)}") for _ in range(400)]
+    rows += [(None, 1, "s", "n"), ("x", None, "s", "n"), ("x", 1, None, "n"), ("x", 1, "s", None), ("w", 1, "s", "alone"), ("v", 1, "s1", "n"), ("v", 2, "s2", "m")]
+    df = spark.createDataFrame(rows, "b string, day int, shop string, name string")
+    got = [tuple(r) for r in pairs.distinct_pairs(df, ["b"], ["day"], "shop", "name", {"n": F.length("name")}, tile).collect()]
+    own = [r for r in rows if None not in r]
+    want = {(x[0], x[3], len(x[3]), y[3], len(y[3])) for x in own for y in own if x[:2] == y[:2] and x[2] < y[2]}
+    assert len(got) == len(want) and set(got) == want
+    none = pairs.distinct_pairs(df.limit(0), ["b"], ["day"], "shop", "name", tile=tile)
+    assert none.columns == ["b", "name_1", "name_2"] and none.count() == 0
+
+
 @pytest.mark.parametrize("name", ["d03_resolve_pair_ids", "d04_join_unordered_pairs"])
 def test_names_of_several_spellings(spark, tmp_path, name):
     con = listings(tmp_path, False, spelled=True)
