@@ -63,6 +63,7 @@ def shuffled_rows(spark, run):
 
 #: By the block that holds all rows of a day.
 NO_PAIR_SHUFFLED = {
+    "c14_jaccard": "base",
     "d03_resolve_pair_ids": "base",
     "d04_join_unordered_pairs": "base",
     "e10_distinct_pairs": "base",
