@@ -64,6 +64,7 @@ def shuffled_rows(spark, run):
 #: By the block that holds all rows of a day.
 NO_PAIR_SHUFFLED = {
     "c14_jaccard": "base",
+    "c16_brand_conflict": "base",
     "c17_exclusive_conflict": "size",
     "c18_qualifier_mismatch": "size",
     "d03_resolve_pair_ids": "base",
