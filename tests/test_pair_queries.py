@@ -65,6 +65,7 @@ def shuffled_rows(spark, run):
 NO_PAIR_SHUFFLED = {
     "c14_jaccard": "base",
     "c16_brand_conflict": "base",
+    "c16_same_brand": "base",
     "c17_exclusive_conflict": "size",
     "c18_qualifier_mismatch": "size",
     "d03_resolve_pair_ids": "base",
