@@ -68,6 +68,7 @@ NO_PAIR_SHUFFLED = {
     "c16_same_brand": "base",
     "c17_exclusive_conflict": "size",
     "c18_qualifier_mismatch": "size",
+    "c19_same_volume": "base",
     "d03_resolve_pair_ids": "base",
     "d04_join_unordered_pairs": "base",
     "e10_distinct_pairs": "base",
