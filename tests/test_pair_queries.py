@@ -69,6 +69,7 @@ NO_PAIR_SHUFFLED = {
     "c17_exclusive_conflict": "size",
     "c18_qualifier_mismatch": "size",
     "c19_same_volume": "base",
+    "c19_volume_mismatch": "base",
     "d03_resolve_pair_ids": "base",
     "d04_join_unordered_pairs": "base",
     "e10_distinct_pairs": "base",
