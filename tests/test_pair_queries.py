@@ -71,6 +71,7 @@ NO_PAIR_SHUFFLED = {
     "c19_same_volume": "base",
     "c19_volume_mismatch": "base",
     "c20_match_threshold": "base",
+    "c21_match_verdict": "base",
     "d03_resolve_pair_ids": "base",
     "d04_join_unordered_pairs": "base",
     "e10_distinct_pairs": "base",
