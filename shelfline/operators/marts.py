@@ -156,7 +156,8 @@ def cumulative_share(histogram: DataFrame, verdicts: tuple[str, ...] = ("SAME",
 
 
 def label_progress(todo: DataFrame, labels: DataFrame, keys: list[str], verdict: str = "verdict") -> DataFrame:
-    """One row: labels by verdict (unexpected ones count as uncertain), pairs done, remaining and in all."""
+    """One row: labels by verdict (unexpected ones count as uncertain), pairs done, remaining and in all. For labels of a table
+    of their own; pairs that carry theirs are counted by labelled_progress, in one pass."""
     own = labels.select(*keys, F.when(F.col(verdict).isin("SAME", "DIFFERENT"), F.col(verdict)).otherwise("UNCERTAIN").alias("_v"))
     count = lambda v: F.count_if(F.col("_v") == v).alias(v.lower())
     told = own.agg(count("SAME"), count("DIFFERENT"), count("UNCERTAIN"))
@@ -165,6 +166,13 @@ def label_progress(todo: DataFrame, labels: DataFrame, keys: list[str], verdict:
     return told.crossJoin(pairs)
 
 
+def labelled_progress(pairs: DataFrame, verdict: Column) -> DataFrame:
+    """label_progress of pairs that carry their label, null for none: tasks count, and nothing else is shuffled or kept."""
+    known = verdict.isin("SAME", "DIFFERENT")
+    counts = {"same": verdict == "SAME", "different": verdict == "DIFFERENT", "uncertain": ~known, "done": verdict.isNotNull(), "remaining": verdict.isNull(), "total": F.lit(True)}
+    return pairs.agg(*(F.count_if(test).alias(name) for name, test in counts.items()))
+
+
 def component_listing(components: DataFrame, chunk: int = 10_000) -> DataFrame:
     """(root, chunk, members, size) of components of more than one member: members in order, in lists of at most `chunk`.
 

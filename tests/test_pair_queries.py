@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from shelfline.operators import pairs
+from shelfline.operators import marts, pairs
 from shelfline.plans import catalog
 
 from tests.helpers import plain, spark_rows
@@ -105,3 +105,21 @@ def test_distinct_pairs_don_t_depend_on_tiles(spark, tile):
 def test_names_of_several_spellings(spark, tmp_path, name):
     con = listings(tmp_path, False, spelled=True)
     assert spark_rows(catalog.QUERIES[name](spark, str(tmp_path))) == sql_rows(con, catalog.SQL[name])
+
+
+def test_label_progress_is_counted_in_one_pass(spark, tmp_path):
+    n = 700
+    rows = spark.range(n).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda j: F.sin(F.col("id") * 7 + j * 3).cast("float")).alias("embedding"), (F.col("id") % 2).cast("int").alias("label"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got, shuffled = shuffled_rows(spark, lambda: spark_rows(catalog.QUERIES["e16_label_progress"](spark, str(tmp_path))))
+    assert got == sql_rows(con, catalog.SQL["e16_label_progress"]) and shuffled < 3 * n
+
+
+def test_label_progress_of_two_tables_and_of_one(spark):
+    told = spark.createDataFrame([(i, i + 1, v) for i, v in enumerate(["SAME", "DIFFERENT", "odd", None, "SAME", None])], "a int, b int, v string")
+    want = {"same": 2, "different": 1, "uncertain": 1, "done": 4, "remaining": 2, "total": 6}
+    assert marts.labelled_progress(told, F.col("v")).first().asDict() == want
+    assert marts.label_progress(told, told.filter("v IS NOT NULL"), ["a", "b"], "v").first().asDict() == want
+    assert marts.labelled_progress(told.limit(0), F.col("v")).first().asDict() == dict.fromkeys(want, 0)
