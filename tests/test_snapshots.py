@@ -180,3 +180,52 @@ def test_stream_gives_the_batch_rows(spark, make, tmp_path):
     go()
     assert (0, "newest", "2024-02-01") in rows_of(table.read()) and "too old" not in {r[1] for r in rows_of(table.read())}
     assert json.dumps(table.manifest()["streams"])
+
+
+def test_batches_are_written_once(spark, tmp_path):
+    table = Snapshots(spark, str(tmp_path / "t"), ["k"], "at")
+    batch = lambda n: spark.range(n * 3000, n * 3000 + 3000).select(F.col("id").alias("k"), F.md5(F.col("id").cast("string")).alias("v"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 6 * 2_700_000).alias("at"))
+    sizes = []
+    for n in range(6):
+        told = table.upsert(batch(n), on_duplicate="last", late="newer", batch=("s", n))
+        sizes.append(sum(map(os.path.getsize, files(table.path))))
+        assert len(told["written"]) == 6 and table.read().count() == 3000 * n + 3000
+    assert sizes[-1] < 1.2 * 6 * sizes[0]
+    # One key of an old batch comes again: its part is written anew, the others stay.
+    kept = table.manifest()["parts"]
+    table.upsert(spark.range(7, 8).select(F.col("id").alias("k"), F.lit("new").alias("v"), F.lit("2024-09-09").cast("timestamp").alias("at")), late="newer", batch=("s", 6))
+    now = table.manifest()["parts"]
+    assert [p for p in kept if now[p] != kept[p]] == ["2024-02"] and "2024-09" in now
+    assert table.read().count() == 18_000 and table.read().filter("k = 7").first()["v"] == "new"
+
+
+@pytest.mark.parametrize("runs, keys", [(1, 1_000_000), (2, 20), (64, 1)])
+def test_runs_of_a_part_are_merged(spark, make, tmp_path, monkeypatch, runs, keys):
+    from shelfline.sources import snapshots
+
+    monkeypatch.setattr(snapshots, "MOST_RUNS", runs)
+    monkeypatch.setattr(snapshots, "MOST_KEYS", keys)
+    rng = random.Random(9)
+    table, want = Snapshots(spark, str(tmp_path / "t"), ["k"], "at"), {}
+    for n in range(6):
+        rows = [(k, f"v{n}", f"2024-0{rng.randrange(1, 4)}-{rng.randrange(1, 28):02d}") for k in rng.sample(range(80), 30)]
+        table.upsert(make(*rows), late="newer", batch=("s", n))
+        for k, v, at in rows:
+            want[k] = max(want.get(k, ("", "")), (at, v))
+        table.clear_old(1)
+        assert rows_of(table.read()) == sorted(((k, v, at) for k, (at, v) in want.items()), key=str)
+        assert all(len(r) <= runs for r in table.manifest()["parts"].values()) and table.versions() == [n + 1]
+
+
+def test_a_stream_leaves_nothing_staged(spark, tmp_path):
+    from shelfline.staging import shared_dir
+
+    left = lambda: {n for n in os.listdir(shared_dir(spark)) if n.startswith(("batch-", "arrivals-"))} if os.path.isdir(shared_dir(spark)) else set()
+    before = left()
+    rows = listing_files(f"{tmp_path}/in", random.Random(2))
+    table = Snapshots(spark, f"{tmp_path}/t", ["k"], "at")
+    J.stream_listings(spark, f"{tmp_path}/in", SCHEMA, f"{tmp_path}/cp", table, delay="30 days", keep=1, maxFilesPerTrigger=1)
+    assert sorted((at, v, k) for k, v, at in rows_of(table.read())) == sorted({k: max((at, v, k) for k2, v, at in rows if k2 == k) for k, _, _ in rows}.values())
+    assert left() <= before and len(table.versions()) == 1
+    named = {(r, p) for p, runs in table.manifest()["parts"].items() for r in runs}
+    assert {(f.split("run=")[1].split("/")[0], f.split("_part=")[1].split("/")[0]) for f in files(table.path)} == named
